@@ -213,9 +213,9 @@ def parse_streams(media: DataFrame) -> DataFrame:
 
     schema = StructType(media.select("doc_id", "n_bytes", "media").schema.fields + StructType.fromDDL(SCHEMA_PARSED).fields)
 
-    def make():
-        names = to_arrow_schema(StructType.fromDDL(SCHEMA_PARSED))
+    names = to_arrow_schema(StructType.fromDDL(SCHEMA_PARSED))
 
+    def make():
         def run(table: pa.Table) -> pa.Table:
             found = [demux(m or b"") for m in column(table, "media").to_pylist()]
             out = {n: table[n] for n in ("doc_id", "n_bytes", "media")}
