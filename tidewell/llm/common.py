@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +57,14 @@ def inputs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mor
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *more)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch to ARROW_ROWS rows, if it is higher."""
+def prepare(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch to ARROW_ROWS rows, if it is higher; lets Python workers find this package."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, ARROW_ROWS)
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], limit: int, col: str = "text") -> Iterator[pa.Table]:
@@ -90,7 +94,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.Table], pa.Table
 
     The function may return None or a table; its columns follow ``schema``.
     """
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
 
     def run(batches):
         f = make()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, token_shards, transport_stream
+from tidewell.llm import bpe, packing, token_shards, transport_stream
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
     "op7_media": transport_stream.op7_media,
     "op8_token_shards": token_shards.op8_token_shards,
     "op10_bpe": bpe.op10_bpe,

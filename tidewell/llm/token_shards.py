@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.llm import tokens
-from tidewell.llm.common import ARROW_ROWS, column, discard, documents, inputs, map_batches, materialize, small_batches
+from tidewell.llm.common import ARROW_ROWS, column, discard, documents, inputs, map_batches, materialize, prepare
 
 MAGIC, HEAD = b"TWSHARD1", struct.Struct("<8s32sBIQ")
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1_000, 8 << 20, 64 << 10
@@ -118,7 +118,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int | None = None
 
     frames = materialize(map_batches(docs, make_frames, "doc_id long, n_ids long, frame binary"), "frames", "none")
     width = tokens.encoder(tokenizer_path).width
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def shards(batches):
         from pyspark import TaskContext
@@ -153,7 +153,7 @@ def read_shards(shards: DataFrame, dictionary: bytes) -> DataFrame:
 
     The starts of parts come from one row a part; there are at most ``spark.sql.shuffle.partitions`` parts, so they are broadcast.
     """
-    small_batches(shards.sparkSession)
+    prepare(shards.sparkSession)
 
     def read(batches):
         for batch in batches:
