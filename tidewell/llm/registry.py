@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, packing, token_shards, transport_stream
+from tidewell.llm import bpe, packing, substring_dedup, token_shards, transport_stream
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_packing": packing.op3_packing,
     "op7_media": transport_stream.op7_media,
     "op8_token_shards": token_shards.op8_token_shards,
