@@ -3,22 +3,21 @@
 A byte-level BPE vocabulary splits a text by a pattern before it merges, and a space after a character that is not
 white space always starts a new match. So a text without white space before a space can be cut at its spaces,
 and each part encoded on its own gives the same ids. Other texts, and vocabularies that normalise their input or
-split otherwise, are encoded whole. Parts are counted by Arrow's dictionary encoding, so the library sees each
-distinct part once a batch, and not at all while a bounded cache holds it.
+split otherwise, are encoded whole. Arrow's dictionary encoding finds the distinct parts, so the library sees each
+once a batch, many in one call.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct parts that a process keeps ids of; the cache is emptied when it is full.
-CACHE = 400_000
+#: Words that are encoded as one text.
+JOINED = 500
 
 #: White space before a space, or any white space that Arrow and the pattern may see differently.
 UNSAFE = "[\t\n\x0b\x0c\r\x1c-\x1f ] |[\x1c-\x1f\u0085   -     　]"
@@ -40,21 +39,38 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_parts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache: dict[str, bytes] = {}
+        self.starts_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.starts_word[[i for token, i in self.tokenizer.get_vocab().items() if token[:1] == "\u0120"]] = True  # how byte-level vocabularies write a space
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _distinct(self, parts: list[str]) -> list[bytes]:
-        missing = [p for p in parts if p not in self.cache]
-        if len(self.cache) + len(missing) > CACHE:
-            self.cache.clear()
-            missing = parts
-        for i in range(0, len(missing), 50_000):
-            some = missing[i : i + 50_000]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[part] = array("I", e.ids).tobytes()
-        return [self.cache[p] for p in parts]
+    def _spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each word with a space before it: all ids, and where each word's ids begin.
+
+        Words without white space at their end are encoded many at a time, joined by spaces; an id whose token starts
+        with a space then starts a word. The others are encoded one by one.
+        """
+        n = len(words)
+        odd = pc.fill_null(pc.match_substring_regex(words, "[\t-\r ]$|^$"), False).to_numpy(zero_copy_only=False)
+        plain = words.filter(pa.array(~odd)) if odd.any() else words
+        cuts = np.unique(np.append(np.arange(0, len(plain), JOINED), len(plain))).astype(np.int32)
+        texts = [" " + t for t in pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), plain), " ").to_pylist()] if len(plain) else []
+        ids = np.concatenate([np.empty(0, np.uint32), *self._whole(texts)])
+        begins = np.flatnonzero(self.starts_word[ids])
+        if len(begins) != len(plain):
+            raise ValueError("the vocabulary does not keep words apart")
+        if not odd.any():
+            return ids, begins
+        rest = self._whole([" " + w for w in words.filter(pa.array(odd)).to_pylist()])
+        where = np.empty(n, np.int64)
+        sizes = np.empty(n, np.int64)
+        where[~odd], sizes[~odd] = begins, np.diff(np.append(begins, len(ids)))
+        sizes[odd] = [len(r) for r in rest]
+        where[odd] = len(ids) + np.cumsum(sizes[odd]) - sizes[odd]
+        ids = np.concatenate([ids, *rest])
+        order = np.repeat(where - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return ids[order], np.cumsum(sizes) - sizes
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit numbers; texts hold no nulls."""
@@ -69,19 +85,19 @@ class Encoder:
         if len(rows):
             lists = pc.split_pattern(texts if len(rows) == n else texts.take(pa.array(rows)), " ")
             ends = np.asarray(lists.offsets)
-            ends = ends[1:] - ends[0]
+            ends = (ends[1:] - ends[0]).astype(np.int64)
             words = lists.flatten().dictionary_encode()
             codes = words.indices.to_numpy().astype(np.int64)
             firsts = np.concatenate([[0], ends[:-1]])
-            first_words = words.dictionary.take(pa.array(codes[firsts])).to_pylist()
-            distinct = [" " + w for w in words.dictionary.to_pylist()]
-            codes[firsts] = len(distinct) + np.arange(len(rows))
-            found = self._distinct(distinct) + self._distinct(first_words)
-            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-            flat, begins = np.frombuffer(b"".join(found), np.uint32), np.cumsum(sizes) - sizes
+            opening = self._whole(words.dictionary.take(pa.array(codes[firsts])).to_pylist())
+            flat, begins = self._spaced(words.dictionary)
+            sizes = np.append(np.diff(np.append(begins, len(flat))), [len(o) for o in opening])
+            begins = np.append(begins, len(flat) + np.cumsum(sizes[len(begins) :]) - sizes[len(begins) :])
+            flat = np.concatenate([flat, *opening])
+            codes[firsts] = len(words.dictionary) + np.arange(len(rows))
             taken = sizes[codes]
             upto = np.cumsum(taken)
-            ids = flat[np.repeat(begins[codes] - (upto - taken), taken) + np.arange(upto[-1] if len(upto) else 0)]
+            ids = flat[np.repeat(begins[codes] - (upto - taken), taken) + np.arange(upto[-1])]
             bounds = upto[ends - 1]
             for i, a, b in zip(rows, np.concatenate([[0], bounds[:-1]]), bounds, strict=True):
                 out[i] = ids[a:b]
