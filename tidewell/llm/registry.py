@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, packing, substring_dedup, token_shards, transport_stream
+from tidewell.llm import bpe, packing, simhash, substring_dedup, token_shards, transport_stream
 
 QUERIES = {
+    "op9_simhash": simhash.op9_simhash,
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_packing": packing.op3_packing,
     "op7_media": transport_stream.op7_media,
