@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, multiset_hash, packing, simhash, substring_dedup, token_shards, transport_stream
+from tidewell.llm import bpe, language_id, multiset_hash, packing, simhash, substring_dedup, token_shards, transport_stream
 
 QUERIES = {
+    "op4_language_id": language_id.op4_language_id,
     "op2_fingerprints": multiset_hash.op2_fingerprints,
     "op9_simhash": simhash.op9_simhash,
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
