@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, language_id, multiset_hash, packing, simhash, substring_dedup, token_shards, transport_stream
+from tidewell.llm import bpe, language_id, multiset_hash, packing, pseudonyms, simhash, substring_dedup, token_shards, toxicity, transport_stream
 
 QUERIES = {
+    "op6_pseudonyms": pseudonyms.op6_pseudonyms,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op4_language_id": language_id.op4_language_id,
     "op2_fingerprints": multiset_hash.op2_fingerprints,
     "op9_simhash": simhash.op9_simhash,
