@@ -26,7 +26,7 @@ BUCKET_KEYS = 1 << 21
 
 
 def write_blocks(docs: DataFrame) -> DataFrame:
-    """The table of blocks (block, body) of docs (doc_id, text)."""
+    """The table of blocks (block, body) of docs, which has a column text."""
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -44,7 +44,7 @@ def write_blocks(docs: DataFrame) -> DataFrame:
     before = spark.conf.get(key)
     spark.conf.set(key, BLOCKS_PER_FILE)  # a reader holds the rows of one file at most
     try:
-        return materialize(docs.select("doc_id", "text").mapInArrow(run, "block long, body binary"), "blocks", "none")
+        return materialize(docs.mapInArrow(run, "block long, body binary"), "blocks", "none")
     finally:
         spark.conf.set(key, before)
 

@@ -57,6 +57,15 @@ def inputs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mor
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *more)
 
 
+def typed(df: DataFrame, names: list[str]) -> str:
+    """Columns with their types, each followed by a comma, to begin a schema with."""
+    return "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
+
+
+def carried(table: pa.Table, names: list[str]) -> dict[str, pa.ChunkedArray]:
+    return {n: table[n] for n in names}
+
+
 def prepare(spark: SparkSession) -> None:
     """Lowers the session's Arrow batch to ARROW_ROWS rows, if it is higher; lets Python workers find this package."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

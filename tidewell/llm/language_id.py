@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.blocks import words_of
-from tidewell.llm.common import column, documents, inputs, map_batches, mix64
+from tidewell.llm.common import carried, column, documents, inputs, map_batches, mix64, typed
 
 ORDER, SAMPLE_DOCS, REJECT_AT = 5, 1_000, 6.0
 #: Languages that a model holds; with more, those of most rows.
@@ -248,8 +248,8 @@ def fit(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> Identifier
     return Identifier(sample.sort_by([("lang", "ascending"), ("h", "ascending")]) if sample.num_rows else empty)
 
 
-def identify(docs: DataFrame, identifier: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, accepted of every row."""
+def identify(docs: DataFrame, identifier: Identifier, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score, accepted of every row; ``carry`` names columns of docs to return too."""
     model = docs.sparkSession.sparkContext.broadcast(identifier)
 
     def make():
@@ -257,12 +257,13 @@ def identify(docs: DataFrame, identifier: Identifier, id_col: str = "doc_id", te
 
         def run(table: pa.Table) -> pa.Table:
             langs, score, accepted = fitted.predict(column(table, "text"))
-            return pa.table({"doc_id": table["doc_id"], "lang_pred": pa.array(langs, pa.string()), "score": score, "accepted": accepted})
+            return pa.table(carried(table, names) | {"lang_pred": pa.array(langs, pa.string()), "score": score, "accepted": accepted})
 
         return run
 
-    docs = inputs(docs, id_col, text_col)
-    return map_batches(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, accepted boolean")
+    names = ["doc_id", *carry]
+    docs = inputs(docs, id_col, text_col, *(c for c in carry if c != "text"))
+    return map_batches(docs, make, f"{typed(docs, names)}lang_pred string, score double, accepted boolean")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

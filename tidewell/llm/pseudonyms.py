@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm.common import column, documents, inputs, map_batches
+from tidewell.llm.common import carried, column, documents, inputs, map_batches, typed
 
 ROUNDS = 10
 #: Stands in where no key is given; pass a secret one in production.
@@ -227,8 +227,8 @@ class Pseudonymiser:
         return "".join([*out, text[at:]]), found
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text with pseudonyms, n_found, found array<struct<kind, start, end, pseudonym>> of every row."""
+def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text with pseudonyms, n_found, found array<struct<kind, start, end, pseudonym>> of every row, and columns to carry."""
 
     def make():
         own = Pseudonymiser(key)
@@ -239,12 +239,13 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id",
             some = pc.match_substring_regex(texts, "[0-9@]").to_pylist()
             results = [own.replace(t) if s else (t, []) for t, s in zip(texts.to_pylist(), some, strict=True)]
             spans = pa.array([[dict(zip(("kind", "start", "end", "pseudonym"), f, strict=True)) for f in found] for _, found in results], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("pseudonym", pa.string())])))
-            return pa.table({"doc_id": table["doc_id"], "text": pa.array([t for t, _ in results], pa.string()), "n_found": pa.array([len(f) for _, f in results], pa.int32()), "found": spans})
+            return pa.table(carried(table, names) | {"text": pa.array([t for t, _ in results], pa.string()), "n_found": pa.array([len(f) for _, f in results], pa.int32()), "found": spans})
 
         return run
 
-    docs = inputs(docs, id_col, text_col)
-    return map_batches(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_found int, found array<struct<kind:string,start:int,end:int,pseudonym:string>>")
+    names = ["doc_id", *carry]
+    docs = inputs(docs, id_col, text_col, *carry)
+    return map_batches(docs, make, f"{typed(docs, names)}text string, n_found int, found array<struct<kind:string,start:int,end:int,pseudonym:string>>")
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import blocks as bl
 from tidewell.llm import recompression
-from tidewell.llm.common import column, documents, inputs, materialize, mix64
+from tidewell.llm.common import carried, column, documents, inputs, materialize, mix64, typed
 
 WINDOW = 35
 #: Words that an anchor stands for and keys of candidate windows a word, for the number of buckets.
@@ -82,10 +82,13 @@ def _candidates(block: Block, found: list | None, buckets: int) -> np.ndarray:
     return shared[own]
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, text: the kept words joined by one space, of every row of docs."""
-    docs = inputs(docs, id_col, text_col)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), keep_whole: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, text: the kept words joined by one space, of every row of docs, and columns to carry.
+
+    With ``keep_whole`` texts that lose nothing keep their white space.
+    """
+    docs = inputs(docs, id_col, text_col, *carry)
+    names = ["doc_id", *carry]
     table = bl.write_blocks(docs)
     n_blocks = table.count()
     buckets = max(24, -(-n_blocks * WORDS_PER_BLOCK // (8 * bl.BUCKET_KEYS)))
@@ -118,14 +121,17 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
         texts = []
         for text, a, b, n in zip(column(block.table, "text").to_pylist(), block.ends - block.sizes, block.ends, removed, strict=True):
             words = text.encode().split()  # at exactly the white space that separates words here
+            if keep_whole and not n:
+                texts.append(text)
+                continue
             texts.append(b" ".join(words if not n else compress(words, keep[a:b].tolist())).decode())
-        return pa.table({"doc_id": block.table["doc_id"], "n_words": block.sizes, "n_removed": removed, "text": pa.array(texts, pa.string())})
+        return pa.table(carried(block.table, names) | {"n_words": block.sizes, "n_removed": removed, "text": pa.array(texts, pa.string())})
 
     anchors = bl.shared_bits(bl.map_blocks(table, send_anchors, bl.KEYS_SCHEMA))
     sent = materialize(bl.map_blocks(table.join(anchors, "block", "left"), send_windows, bl.KEYS_SCHEMA), "windows", "none")
     marked = sent.where("bucket < 0").select("block", F.col("twice").alias("marked"))
     windows = bl.shared_bits(sent.where("bucket >= 0"))
-    return bl.map_blocks(table.join(marked, "block", "left").join(windows, "block", "left"), finish, f"doc_id {kind}, n_words long, n_removed long, text string")
+    return bl.map_blocks(table.join(marked, "block", "left").join(windows, "block", "left"), finish, f"{typed(docs, names)}n_words long, n_removed long, text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
