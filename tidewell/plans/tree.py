@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-SUBQUERIES = ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "DynamicPruningSubquery", "FunctionTableSubqueryArgumentExpression")
+SUBQUERIES = ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "DynamicPruningSubquery", "FunctionTableSubqueryArgumentExpression")
 
 
 def items(seq) -> list:
