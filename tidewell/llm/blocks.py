@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import column, materialize, pieces, prepare
+from tidewell.llm.common import column, materialize, pieces, prepare, release
 
 BLOCK_BYTES, BLOCKS_PER_FILE = 4 << 20, 32
 #: Keys that one bucket holds, about.
@@ -140,5 +140,7 @@ def map_blocks(blocks: DataFrame, f: Callable[[dict], pa.Table | None], schema:
                 out = f(batch.slice(k, 1).to_pylist()[0])
                 if out is not None and out.num_rows:
                     yield from out.combine_chunks().to_batches(max_chunksize=1000)
+                out = None
+        release()
 
     return blocks.mapInArrow(run, schema)

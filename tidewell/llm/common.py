@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -111,10 +112,20 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.Table], pa.Table
             out = f(table)
             if out is not None and out.num_rows:
                 yield from out.combine_chunks().to_batches(max_chunksize=ARROW_ROWS)
+            out = table = None
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Spark keeps Python workers, and what one stage held would add to the next one's."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def column(table: pa.Table, name: str) -> pa.Array:
     """A table's column as one contiguous array."""
     chunked = table.column(name)

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that are encoded as one text.
-JOINED = 500
+#: Words that are encoded as one text, and characters that one call of the library encodes, unless one text is longer.
+JOINED, CALL = 500, 1 << 18
 
 #: White space before a space, or any white space that Arrow and the pattern may see differently.
 UNSAFE = "[\t\n\x0b\x0c\r\x1c-\x1f ] |[\x1c-\x1f\u0085   -     　]"
@@ -43,7 +43,14 @@ class Encoder:
         self.starts_word[[i for token, i in self.tokenizer.get_vocab().items() if token[:1] == "\u0120"]] = True  # how byte-level vocabularies write a space
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """The ids of each text; the library's own results, far larger than ids, live for ``CALL`` characters at a time."""
+        out, start, size = [], 0, 0
+        for k, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= CALL or k == len(texts):
+                out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[start:k], add_special_tokens=False)]
+                start, size = k, 0
+        return out
 
     def _spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each word with a space before it: all ids, and where each word's ids begin.
