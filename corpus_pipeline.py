@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import language_id, packing, pseudonyms, simhash, substring_dedup
-from tidewell.llm.common import shared_dir
+from tidewell.llm.common import scratch, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 CARRIED = ("lang", "source")
@@ -76,9 +76,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, for the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
         path = f"{shared_dir(spark)}/tidewell-pipeline-{uuid.uuid4().hex}/{name}"
-        out.write.parquet(path)
+        with scratch():  # what the stage's operators kept for their own use goes once its rows are written
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -21,6 +22,10 @@ BATCH_BYTES = 8 << 20
 ARROW_ROWS = 1000
 
 
+#: Tables of this process that are still in the shared folder.
+_WRITTEN: list[DataFrame] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, as the session names it.
 
@@ -42,6 +47,7 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewell_path = path
+    _WRITTEN.append(out)
     return out
 
 
@@ -51,6 +57,18 @@ def discard(table: DataFrame) -> None:
     spark = table.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _WRITTEN[:] = [t for t in _WRITTEN if t is not table]
+
+
+@contextlib.contextmanager
+def scratch():
+    """Deletes, at its end, the tables that operators wrote inside; their results must have been read by then."""
+    before = list(_WRITTEN)
+    try:
+        yield
+    finally:
+        for t in [t for t in _WRITTEN if not any(t is b for b in before)]:
+            discard(t)
 
 
 def inputs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:

@@ -6,9 +6,11 @@ divided by the characters predicted (word ends count). The language of least cro
 
 Fitting takes a bounded sample of labelled rows: about ``SAMPLE_DOCS`` whole texts a language, those of least hashed id, which bounds
 the model. Four of five of them are counted, the others calibrate: the temperature that makes the softmax of negative
-cross-entropies most likely, and for each language how high cross-entropies of its own texts come. A text is rejected
-if it lies further above its language's median than ``REJECT_AT`` deviations (of texts, or of characters over the root of
-its length) and also above every calibrating text of that language by over a twentieth. Letters count in lower case.
+cross-entropies most likely, and for each language how high cross-entropies come for its own texts and for texts of other
+languages. A text is rejected if it lies further above its language's median than ``REJECT_AT`` deviations (of texts, or of
+characters over the root of its length), above every calibrating text of that language by over a twentieth, and above
+the median of other languages' texts: if it fits no better than a foreign one. Letters count in lower case; words without a
+letter or with a digit tell nothing of the language and do not count, unless a text has no others.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected. With no labelled row at all every text is. Rows
 keep their number; lang, source and doc_id never reach a prediction.
@@ -165,8 +167,16 @@ class Model:
             upto = np.concatenate([[0.0], np.cumsum(values[codes], dtype=np.float64)])
             return upto[ends] - upto[np.concatenate([[0], ends[:-1]])]
 
-        n = per_text(sizes)
-        by_language = np.stack([per_text(sums[:, j]) for j in range(len(self.names))], axis=1) if self.names else np.zeros((len(ends), 0))
+        digits = pc.match_substring_regex(words.dictionary, "[0-9]").to_numpy(zero_copy_only=False) if len(words) else letters
+        telling = letters & ~digits
+        lone = per_text(telling) == 0  # texts that have no such word are judged by all they have
+
+        def of_texts(values: np.ndarray) -> np.ndarray:
+            out = per_text(values * telling)
+            return np.where(lone, per_text(values), out) if lone.any() else out
+
+        n = of_texts(sizes)
+        by_language = np.stack([of_texts(sums[:, j]) for j in range(len(self.names))], axis=1) if self.names else np.zeros((len(ends), 0))
         return -by_language / np.maximum(1, n)[:, None], n, per_text(letters) > 0
 
 
@@ -205,6 +215,9 @@ class Identifier:
             if len(own):
                 self.mean[j], self.highest[j] = np.median(own), own.max()
                 self.deviation[j] = max(0.02, 1.4826 * np.median(np.abs(own - self.mean[j])))
+            foreign = entropy[(truth != j) & letters, j]
+            if len(foreign):
+                self.highest[j] = max(self.highest[j], np.median(foreign) / 1.05)
         best = None
         for t in (0.5, 1, 2, 4, 8, 16, 32):
             p = self._softmax(entropy, t)[np.arange(len(truth)), truth]

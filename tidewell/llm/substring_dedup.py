@@ -140,6 +140,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+ORACLE_SQL = """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+windows AS (SELECT doc_id, p, md5(array_to_string(list_slice(ws, p, p + 34), ' ')) AS h FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 34)) AS p FROM w)),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 34)) AS k FROM windows JOIN again USING (h)),
+words AS (SELECT doc_id, unnest(generate_series(1, len(ws))) AS k, unnest(ws) AS word FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS t FROM words ANTI JOIN covered USING (doc_id, k) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
+
 def brute_force(rows: list[tuple], window: int = WINDOW) -> dict:
     """doc_id -> (n_words, n_removed, kept text), comparing all windows' words."""
     import re
