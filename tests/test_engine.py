@@ -82,6 +82,7 @@ def test_results(engine):
     assert engine.call("get_join_path", a="events", b="nation")["path"] is None
     assert engine.call("search_schema", query="") == []
     assert "labels" not in str(engine.call("search_schema", query="labels of documents"))
+    engine.call("rebuild_index")
     assert engine.call("get_index_status")["exists"] and not engine.call("get_index_status")["drift"]
     assert "PRIMARY KEY" in engine.call("get_ddl", ref="orders")
     for call in ({"tool": "sample_values", "ref": "customer", "col": "c_name"}, {"tool": "run_select", "sql": "SELECT * FROM labels"}, {"tool": "sample_values", "ref": "labels", "col": "quality"}):
