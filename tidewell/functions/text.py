@@ -46,14 +46,18 @@ def stem(word: Column) -> Column:
     return F.when(word.endswith("ies"), F.concat(cut(3), F.lit("y"))).when(word.endswith("es") & ~word.rlike("(ss|sh|ch)es$"), cut(2)).when(word.endswith("s") & ~word.rlike("(s|u|a)s$"), cut(1)).otherwise(word)
 
 
+def spaced(text: Column) -> Column:
+    """A space between lower and upper case, and between letters and digits."""
+    out = F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")
+    return F.regexp_replace(F.regexp_replace(out, "([A-Za-z])([0-9])", "$1 $2"), "([0-9])([A-Za-z])", "$1 $2")
+
+
 def words(text: Column) -> Column:
     """The lower-cased words of a name: cut between lower and upper case, letters and digits, and at all else.
 
     Words of one character count only if it is a digit. Null gives null.
     """
-    spaced = F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")
-    spaced = F.regexp_replace(F.regexp_replace(spaced, "([A-Za-z])([0-9])", "$1 $2"), "([0-9])([A-Za-z])", "$1 $2")
-    return F.filter(F.split(F.lower(F.regexp_replace(spaced, "[^A-Za-z0-9]", " ")), " +"), lambda w: (F.length(w) > 1) | w.rlike("^[0-9]$"))
+    return F.filter(F.split(F.lower(F.regexp_replace(spaced(text), "[^A-Za-z0-9]", " ")), " +"), lambda w: (F.length(w) > 1) | w.rlike("^[0-9]$"))
 
 
 def tokenize(text: Column) -> Column:

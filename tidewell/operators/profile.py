@@ -18,8 +18,9 @@ def as_text(df: DataFrame, name: str):
 def profile(df: DataFrame, ref: str, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """ref, col, n_rows, n_distinct, null_frac, min, max, avg_width: one row a column.
 
-    All columns are aggregated in one scan and unpivoted afterwards. ``approximate`` counts distinct values by HyperLogLog,
-    which keeps no set of values: the way for large tables.
+    Counts, extremes and widths of all columns come from one scan and are unpivoted afterwards. Exact distinct counts take one
+    aggregate a column, each of which reads its own column alone; ``approximate`` counts them in the same scan by
+    HyperLogLog, which keeps no values: the way for large tables.
     """
     names = columns or df.columns
     aggs = [F.count("*").alias("n")]
@@ -29,14 +30,22 @@ def profile(df: DataFrame, ref: str, columns: list[str] | None = None, approxima
         own = text if plain else col
         aggs += [
             F.count(own).alias(f"f{k}"),
-            (F.approx_count_distinct(own) if approximate else F.countDistinct(own)).alias(f"d{k}"),
+            *([F.approx_count_distinct(own).alias(f"d{k}")] if approximate else []),
             F.min(text if plain or df.schema[c].dataType.typeName() == "string" else own).alias(f"a{k}"),
             F.max(text if plain or df.schema[c].dataType.typeName() == "string" else own).alias(f"b{k}"),
             F.avg(F.octet_length(text)).alias(f"w{k}"),
         ]
     one = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("col"), F.col("n").alias("n_rows"), F.col(f"d{k}").alias("n_distinct"), (1 - F.col(f"f{k}") / F.greatest(F.col("n"), F.lit(1))).alias("null_frac"), as_text(one, f"a{k}").alias("min"), as_text(one, f"b{k}").alias("max"), F.col(f"w{k}").alias("avg_width")) for k, c in enumerate(names)])
-    return one.select(F.explode(rows).alias("p")).select(F.lit(ref).alias("ref"), "p.*")
+    rows = F.array(*[F.struct(F.lit(c).alias("col"), F.col("n").alias("n_rows"), (F.col(f"d{k}") if approximate else F.lit(0).cast("long")).alias("n_distinct"), (1 - F.col(f"f{k}") / F.greatest(F.col("n"), F.lit(1))).alias("null_frac"), as_text(one, f"a{k}").alias("min"), as_text(one, f"b{k}").alias("max"), F.col(f"w{k}").alias("avg_width")) for k, c in enumerate(names)])
+    out = one.select(F.explode(rows).alias("p")).select(F.lit(ref).alias("ref"), "p.*")
+    if approximate:
+        return out
+    distinct = None
+    for c in names:
+        own = as_text(df, c) if df.schema[c].dataType.typeName() in ("array", "struct", "map") else F.col(f"`{c}`")
+        n = df.agg(F.countDistinct(own).alias("d")).select(F.lit(c).alias("col"), "d")
+        distinct = n if distinct is None else distinct.unionAll(n)
+    return out.join(distinct, "col").select("ref", "col", "n_rows", F.col("d").alias("n_distinct"), "null_frac", "min", "max", "avg_width")
 
 
 def top_values(df: DataFrame, ref: str, columns: list[str], k: int = 10) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.functions.text import SYNONYMS, cosine, mined_synonyms, tokenize
+from tidewell.functions.text import ABBREVIATIONS, SYNONYMS, cosine, mined_synonyms, spaced, tokenize
 
 # fixed values: how much a word counts by where it stands
 NAME, COLUMN, KEY_COLUMN, COMMENT, COLUMN_COMMENT = 3.0, 1.0, 1.25, 0.5, 0.3
@@ -78,6 +78,24 @@ def lexical_scores(queries: DataFrame, posts: DataFrame, syn: DataFrame, n_objec
     return summed.select("query", "ref", score.alias("score"))
 
 
+def _forms(token: str) -> list[str]:
+    """All lower-cased words that ``tokenize`` may turn into a token: its plurals and abbreviations."""
+    forms = {token, token + "s", token + "es"} | ({token[:-1] + "ies"} if token.endswith("y") else set())
+    return sorted(forms | {short for short, long in ABBREVIATIONS.items() if token in long or any(f in long for f in forms)})
+
+
+def term_counts(docs: DataFrame, asked: list[str], id_col: str, text_col: str) -> DataFrame:
+    """id, token, n: how often each asked token is in each text.
+
+    Texts become rows of words first, and only words that can be an asked token go through stemming, as plain columns in
+    generated code; counts are combined before they are shuffled.
+    """
+    forms = sorted({f for a in asked for f in _forms(a)})
+    words = docs.select(id_col, F.explode(F.split(F.lower(spaced(F.col(text_col))), "[^a-z0-9]+")).alias("w")).where(F.col("w").isin(forms))
+    tokens = words.groupBy(id_col, "w").agg(F.count("*").alias("c")).select(id_col, "c", F.explode(tokenize(F.col("w"))).alias("token"))
+    return tokens.where(F.col("token").isin(asked)).groupBy(id_col, "token").agg(F.sum("c").alias("n"))
+
+
 def with_value_boost(scores: DataFrame, queries: DataFrame, values_index: DataFrame) -> DataFrame:
     """Adds a boost for every word of the query that is a value of some column of the object."""
     own = queries.select("query", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("token"))

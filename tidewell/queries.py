@@ -244,8 +244,7 @@ def search_documents_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by term frequency times inverse document frequency; counts are combined before they are shuffled."""
     docs = table(spark, sf_dir, "documents")
     asked = ["idiot", "software", "licens", "onea", "leaux", "the"]
-    words = docs.select("doc_id", F.explode(F.filter(text.tokenize(F.col("text")), lambda w: w.isin(asked))).alias("token"))
-    tf = words.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    tf = search.term_counts(docs, asked, "doc_id", "text")
     freq = tf.groupBy("token").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("total"))
     scored = tf.join(F.broadcast(freq), "token").crossJoin(F.broadcast(total)).groupBy("doc_id").agg(F.sum((1 + F.log("n")) * F.log(1 + F.col("total") / F.col("df"))).alias("score"))
