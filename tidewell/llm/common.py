@@ -22,6 +22,9 @@ BATCH_BYTES = 8 << 20
 ARROW_ROWS = 1000
 
 
+#: Bytes of files up to which a table in few files is dealt to all cores.
+SMALL_BYTES = 64 << 20
+
 #: Tables of this process that are still in the shared folder.
 _WRITTEN: list[DataFrame] = []
 
@@ -73,7 +76,14 @@ def scratch():
 
 def inputs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """Only the id as ``doc_id`` and the text as ``text`` (null: empty), whatever other columns there are."""
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *more)
+    return spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *more))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a small table in few files to all cores: a file's row group is read by one task. Larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_BYTES
+    return df.repartition(cores) if small and 0 < len(df.inputFiles()) < cores else df
 
 
 def typed(df: DataFrame, names: list[str]) -> str:

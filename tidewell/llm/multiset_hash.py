@@ -128,6 +128,8 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     keyed = F.struct(F.col("doc_id").isNotNull().alias("given"), "doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row")
     copies = firsts.groupBy("range").agg(F.min(keyed).alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns], mapping[F.col("range")].alias("range"), F.lit(True).alias("copy"))
     every = ranged.withColumn("copy", F.lit(False)).unionByName(copies)
+    # a stated number of partitions: what follows costs more than its bytes tell, so they must not be coalesced by size
+    every = every.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "range")
     w = Window.partitionBy("range").orderBy("copy", F.asc_nulls_first("doc_id"), "text")
     return every.select(*docs.columns, "copy", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried]).where("not copy").drop("copy")
 
