@@ -32,8 +32,9 @@ _WORD, _ELEMENT, _COUNT = (1 << 32) - 1, (1 << 3 * FIELD) - 1, (1 << FIELD) - 1
 RANGE_ROWS, RANGES = 200, 16_384
 
 
-def _sum(hashes: Column, part, modulus_mask: int) -> Column:
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: (a + part(h)).bitwiseAND(F.lit(modulus_mask)))
+def _sum(hashes: str, part: str, modulus_mask: int) -> str:
+    """SQL for the sum of a part of each hash h. As text, since building hundreds of expressions one by one takes seconds."""
+    return f"aggregate({hashes}, 0L, (a, h) -> (a + ({part})) & {modulus_mask}L)"
 
 
 def with_vector(df: DataFrame, text: str, vector: str) -> DataFrame:
@@ -42,11 +43,11 @@ def with_vector(df: DataFrame, text: str, vector: str) -> DataFrame:
     paragraphs = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), PARAGRAPH_END), lambda p: p != "")
     df = df.withColumn(first, paragraphs)
     df = df.withColumn(second, F.transform(first, lambda p: F.xxhash64(F.lit("second"), p))).withColumn(first, F.transform(first, lambda p: F.xxhash64(p)))
-    words = [F.size(first).cast("long")]
+    words = [f"cast(size(`{first}`) as bigint)"]
     for h in (first, second):
-        words += [_sum(F.col(h), lambda x: x.bitwiseAND(F.lit(_WORD)), _WORD), _sum(F.col(h), lambda x: F.shiftrightunsigned(x, 32), _WORD)]
-    bits = [_sum(F.col(h), lambda x, j=j: F.shiftright(x, j).bitwiseAND(F.lit(_BITS)), _ELEMENT) for h in (first, second) for j in range(SHIFTS)]
-    return df.withColumn(vector, F.array(*words, *bits)).drop(first, second)
+        words += [_sum(f"`{h}`", f"h & {_WORD}L", _WORD), _sum(f"`{h}`", "shiftrightunsigned(h, 32)", _WORD)]
+    bits = [_sum(f"`{h}`", f"shiftright(h, {j}) & {_BITS}L", _ELEMENT) for h in (first, second) for j in range(SHIFTS)]
+    return df.withColumn(vector, F.expr(f"array({', '.join(words + bits)})")).drop(first, second)
 
 
 def _masked(vector: Column) -> Column:
@@ -70,8 +71,8 @@ def fingerprint_of(vector: Column) -> Column:
 
 def with_counts(df: DataFrame, vector: str, counts: str) -> DataFrame:
     """Adds the centred counts of set bits: twice the count less the number of paragraphs."""
-    fields = [F.shiftright(F.col(vector)[i], FIELD * k).bitwiseAND(F.lit(_COUNT)) * 2 - F.col(vector)[0] for i in range(5, 5 + 2 * SHIFTS) for k in range(3)]
-    return df.withColumn(counts, F.array(*fields))
+    fields = [f"(shiftright(`{vector}`[{i}], {FIELD * k}) & {_COUNT}L) * 2 - `{vector}`[0]" for i in range(5, 5 + 2 * SHIFTS) for k in range(3)]
+    return df.withColumn(counts, F.expr(f"array({', '.join(fields)})"))
 
 
 def likeness(a: Column, b: Column, counts_a: Column, counts_b: Column) -> Column:
@@ -89,17 +90,16 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return with_vector(inputs(docs, id_col, text_col), "text", "vector").select("doc_id", "vector", fingerprint_of(F.col("vector")).alias("fingerprint"))
 
 
-def _range_of(doc_id: Column, bounds: list[int]) -> Column:
+def _range_of(doc_id: str, bounds: list[int]) -> Column:
     """How many of the ascending bounds are at most doc_id, found in two steps."""
     if not bounds:
         return F.lit(0)
     step = max(1, int(len(bounds) ** 0.5))
     cut = [bounds[k : k + step] for k in range(0, len(bounds), step)]
-    heads = F.array(*[F.lit(c[0]).cast("long") for c in cut])
-    rests = F.array(*[F.array(*[F.lit(x).cast("long") for x in c]) for c in cut])
-    at = F.size(F.filter(heads, lambda x: x <= doc_id))
-    inside = F.size(F.filter(F.element_at(rests, F.greatest(at, F.lit(1))), lambda x: x <= doc_id))
-    return F.when(doc_id.isNull() | (at == 0), 0).otherwise((at - 1) * step + inside)
+    heads, rests = ("array(" + ", ".join(x) + ")" for x in ([f"{c[0]}L" for c in cut], ["array(" + ", ".join(f"{x}L" for x in c) + ")" for c in cut]))
+    at = f"size(filter({heads}, x -> x <= {doc_id}))"
+    inside = f"size(filter(element_at({rests}, greatest({at}, 1)), x -> x <= {doc_id}))"
+    return F.expr(f"CASE WHEN {doc_id} IS NULL OR {at} = 0 THEN 0 ELSE ({at} - 1) * {step} + {inside} END")
 
 
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
@@ -115,7 +115,7 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
         shares = [k / n_ranges for k in range(1, n_ranges)]
         found = docs.agg(F.percentile_approx("doc_id", shares, 100_000).alias("q")).first().q
         bounds = sorted(set(found or []))
-    ranged = docs.withColumn("range", _range_of(F.col("doc_id"), bounds))
+    ranged = docs.withColumn("range", _range_of("doc_id", bounds))
     # the least id of each range that has rows, then that row itself
     least = {r["range"]: r.least for r in ranged.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("least")).collect()}
     used = sorted(least)
@@ -124,7 +124,7 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     before = {r: used[k - 1] for k, r in enumerate(used)}
     some_null = None in least.values()
     firsts = ranged.where(F.col("doc_id").isin([x for x in least.values() if x is not None]) | (F.col("doc_id").isNull() if some_null else F.lit(False)))
-    mapping = F.create_map(*[F.lit(x) for r in used for x in (r, before[r])])
+    mapping = F.expr(f"map({', '.join(f'{r}, {before[r]}' for r in used)})")
     keyed = F.struct(F.col("doc_id").isNotNull().alias("given"), "doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row")
     copies = firsts.groupBy("range").agg(F.min(keyed).alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns], mapping[F.col("range")].alias("range"), F.lit(True).alias("copy"))
     every = ranged.withColumn("copy", F.lit(False)).unionByName(copies)
