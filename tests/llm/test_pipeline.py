@@ -44,7 +44,7 @@ def test_language(stages):
 
 def test_near(stages):
     before, after = (rows(x) for x in stages["near_dedup"])
-    want = simhash.brute_force([(i, r.text) for i, r in before.items()])
+    want = simhash.brute_force([(i, r.text) for i, r in before.items()], shingle=corpus_pipeline.SHINGLE)
     assert set(after) == {i for i, (_, c) in want.items() if i == c} and len(after) < len(before)
 
 

@@ -190,7 +190,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def brute_force(rows: list[tuple], distance: int = DISTANCE) -> dict:
+def brute_force(rows: list[tuple], distance: int = DISTANCE, shingle: int = SHINGLE) -> dict:
     """doc_id -> (fingerprint, component_id), comparing all pairs and hashing shingle by shingle."""
     import re
 
@@ -199,7 +199,7 @@ def brute_force(rows: list[tuple], distance: int = DISTANCE) -> dict:
     fps = []
     for _, text in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        shingles = [" ".join(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))] if words else []
+        shingles = [" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))] if words else []
         hashes = [xxh64_intdigest(s.encode(), SEED) for s in shingles]
         fps.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
     parent = list(range(len(rows)))
