@@ -133,3 +133,30 @@ def test_stream(spark, sf, tmp_path):
     q.awaitTermination(60)
     total = spark.sql("SELECT sum(n) FROM (SELECT start, event_type, max(n) AS n FROM w GROUP BY 1, 2)").first()[0]
     assert total == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_embeddings_are_kept(spark):
+    objects, columns, keys = SEED.objects(spark), SEED.columns(spark), SEED.keys(spark)
+    documents, hashes = search.embedding_document(objects, columns), catalog.object_hashes(objects, columns, keys)
+    first = search.build_embeddings(documents, hashes)
+    marked = first.withColumn("vector", F.transform("vector", lambda _: F.lit(7.0)))
+    stale = marked.withColumn("object_hash", F.when(F.col("ref") == "public.users", "old").otherwise(F.col("object_hash")))
+    again = {r.ref: r.vector for r in search.build_embeddings(documents, hashes, stale).collect()}
+    assert set(again["public.orders"]) == {7.0} and again["public.users"] == {r.ref: r.vector for r in first.collect()}["public.users"]
+
+
+def test_hybrid_keeps_denied_out(spark):
+    objects, columns = SEED.objects(spark), SEED.columns(spark)
+    vectors = search.build_embeddings(search.embedding_document(objects, columns), catalog.object_hashes(objects, columns, SEED.keys(spark)))
+    asked = spark.createDataFrame([("login email",)], "query string")
+    none = spark.createDataFrame([], "query string, ref string, score double")
+    assert search.hybrid_search(asked, none, vectors, objects).first().ref == "public.users"
+    assert search.hybrid_search(asked, none, vectors, objects.where("ref <> 'public.users'")).where("ref = 'public.users'").isEmpty()
+
+
+def test_overlays(spark):
+    objects, columns = SEED.objects(spark), SEED.columns(spark)
+    o = catalog.overlay_objects(objects, spark.createDataFrame([("public.users", "People", True), ("public.orders", None, None)], "ref string, comment string, excluded boolean")).collect()
+    assert {r.ref: (r.comment, r.excluded) for r in o} == {"public.users": ("People", True), "public.orders": ("Purchase records (aka purchases)", False)}
+    c = catalog.overlay_columns(columns, spark.createDataFrame([("public.users", "email", None, True)], "ref string, name string, comment string, pii boolean"))
+    assert [r.name for r in c.where("pii").collect()] == ["email"] and c.where("name = 'email'").first().comment == "Login address (aka username)"

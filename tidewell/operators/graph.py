@@ -38,6 +38,13 @@ def join_graph(objects: DataFrame, columns: DataFrame, keys: DataFrame) -> DataF
     return declared_edges(keys).unionByName(inferred_edges(objects, columns, keys))
 
 
+def overlay_edges(edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """Edges with those of changes (src, dst, via, cols, disabled): the same src, dst and via are replaced, new ones added, disabled ones dropped."""
+    keys = ["src", "dst", "via"]
+    kept = edges.join(changes.select(*keys), keys, "left_anti")
+    return kept.unionByName(changes.where("NOT disabled").select(*keys, "cols", F.lit(False).alias("inferred")))
+
+
 def join_paths(edges: DataFrame, sources: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """src, dst, hops, path: for each source (column node) the shortest path to every node, ties by the path's text.
 

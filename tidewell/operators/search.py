@@ -123,8 +123,8 @@ def search(queries: DataFrame, objects: DataFrame, columns: DataFrame, syn: Data
 def cosine_top(vectors: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     """probe_id, vec_id, score, rank: the k most similar vectors of each probe, itself left out.
 
-    Probes are a stated, small set: they are broadcast against all vectors, which stay where they are; the top k
-    of each task come before the shuffle only through the rank limit that Spark pushes into the window.
+    Probes are a stated, small set: they are broadcast against all vectors, which stay where they are. Spark turns the rank's
+    limit into a limit of each task, so k rows a probe and task are shuffled.
     """
     pairs = vectors.join(F.broadcast(probes.select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("probe"))), F.col("vec_id") != F.col("probe_id"))
     scored = pairs.select("probe_id", "vec_id", cosine(F.col("embedding"), F.col("probe")).alias("score"))
@@ -158,3 +158,35 @@ def hashed_embedding(text: Column, size: int = 64) -> Column:
     """A deterministic stand-in for an embedding model: signed counts of the words' hashes."""
     tokens = tokenize(text)
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(tokens, F.lit(0.0), lambda s, t: s + F.when(F.pmod(F.xxhash64(t), F.lit(size)) == i, F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
+
+
+def build_embeddings(documents: DataFrame, hashes: DataFrame, old: DataFrame | None = None, embed=hashed_embedding, model: str = "hashed-words", size: int = 64) -> DataFrame:
+    """ref, object_hash, model, dim, vector: objects whose hash and model are unchanged keep their vectors, others are embedded.
+
+    ``embed`` is a column function of a text and a size; a model behind a pandas UDF fits as well.
+    """
+    current = documents.join(hashes, "ref")
+    fresh, kept = current, None
+    if old is not None:
+        same = old.where(F.col("model") == model).select("ref", "object_hash", "vector")
+        kept = current.join(same, ["ref", "object_hash"]).select("ref", "object_hash", "vector")
+        fresh = current.join(same, ["ref", "object_hash"], "left_anti")
+    out = fresh.select("ref", "object_hash", embed(F.col("document"), size).alias("vector"))
+    out = out if kept is None else out.unionByName(kept)
+    return out.select("ref", "object_hash", F.lit(model).alias("model"), F.lit(size).alias("dim"), "vector")
+
+
+def hybrid_search(queries: DataFrame, lexical: DataFrame, embeddings: DataFrame, allowed: DataFrame, k: int = TOP, embed=hashed_embedding, size: int = 64) -> DataFrame:
+    """query, ref, score, rank: lexical scores (query, ref, score) and cosines of vectors, fused by rank.
+
+    Both lists hold allowed objects only, so a denied one cannot come in through its vector.
+    """
+    asked = queries.select("query", embed(F.col("query"), size).alias("probe"))
+    near = embeddings.join(allowed.select("ref"), "ref").join(F.broadcast(asked)).select("query", "ref", cosine(F.col("vector"), F.col("probe")).alias("score")).where("score > 0")
+    lists = [ranked(x.join(allowed.select("ref"), "ref"), ["query"], 100).select("query", "ref", (F.col("rank") - 1).alias("rank")) for x in (lexical, near)]
+    a, b = lists[0].withColumnRenamed("rank", "rank_a"), lists[1].withColumnRenamed("rank", "rank_b")
+
+    def part(rank: str) -> Column:
+        return 1.0 / (RRF_K + F.coalesce(F.col(rank), F.lit(RRF_MISSING)))
+
+    return ranked(a.join(b, ["query", "ref"], "full").select("query", "ref", (part("rank_a") + part("rank_b")).alias("score")), ["query"], k)

@@ -395,6 +395,29 @@ def unindexed_fk_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.unindexed_keys(fx.WAREHOUSE.keys(spark), fx.WAREHOUSE.indexes(spark))
 
 
+_CHANGED_EDGES = [("shop.orders", "shop.users", "user_id", "user_id=email", False), ("shop.orders", "shop.addresses", "address_id", "address_id=address_id", True), ("shop.users", "shop.categories", "likes", "name=title", False)]
+
+
+@query(f"""
+WITH base AS ({ORACLE_SQL["join_graph_inferred"]}), {ov.values("changed", "src, dst, via, cols, disabled", _CHANGED_EDGES)}
+SELECT * FROM base WHERE NOT EXISTS (SELECT 1 FROM changed c WHERE c.src = base.src AND c.dst = base.dst AND c.via = base.via)
+UNION ALL SELECT src, dst, via, cols, FALSE FROM changed WHERE NOT disabled
+""")
+def overrides_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.overlay_edges(join_graph_inferred(spark, sf_dir), _rows(spark, _CHANGED_EDGES, "src string, dst string, via string, cols string, disabled boolean"))
+
+
+@query(None)
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical ranks and ranks by hashed word vectors, fused."""
+    objects, columns = fx.WAREHOUSE.objects(spark), fx.WAREHOUSE.columns(spark)
+    hashes = catalog.object_hashes(objects, columns, fx.WAREHOUSE.keys(spark))
+    vectors = search.build_embeddings(search.embedding_document(objects, columns), hashes)
+    asked = _rows(spark, [(q,) for q in _ASKED], "query string")
+    lexical = search.lexical_scores(asked, search.postings(objects, columns), search.synonyms(spark), objects.where("kind = 'table'").count())
+    return search.hybrid_search(asked, lexical.where("score > 0"), vectors, objects.where("NOT excluded")).withColumn("score", F.round("score", 9))
+
+
 @query(f"WITH {ov.catalog(fx.WAREHOUSE)} SELECT kind, schema_name AS schema, name, CAST(row_estimate AS DOUBLE) AS row_estimate FROM objects WHERE NOT excluded")
 def list_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.list_objects(fx.WAREHOUSE.objects(spark), None)

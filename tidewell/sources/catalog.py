@@ -112,3 +112,17 @@ def prefix_completion(names: DataFrame, prefix: str, limit: int = 50) -> DataFra
     """ref values that start with a prefix (as the whole ref or its bare name), ascending."""
     p = prefix.lower()
     return names.where(F.lower("ref").startswith(p) | F.lower(F.substring_index("ref", ".", -1)).startswith(p)).select("ref").orderBy("ref").limit(limit)
+
+
+def overlay_objects(objects: DataFrame, changes: DataFrame) -> DataFrame:
+    """Objects with comments and exclusions that changes (ref, comment, excluded) give; nulls leave what is there."""
+    c = changes.select("ref", F.col("comment").alias("new_comment"), F.col("excluded").alias("new_excluded"))
+    joined = objects.join(c, "ref", "left")
+    return joined.withColumns({"comment": F.coalesce("new_comment", "comment"), "excluded": F.coalesce("new_excluded", "excluded")}).select(objects.columns)
+
+
+def overlay_columns(columns: DataFrame, changes: DataFrame) -> DataFrame:
+    """Columns with comments and protection that changes (ref, name, comment, pii) give."""
+    c = changes.select("ref", "name", F.col("comment").alias("new_comment"), F.col("pii").alias("new_pii"))
+    joined = columns.join(c, ["ref", "name"], "left")
+    return joined.withColumns({"comment": F.coalesce("new_comment", "comment"), "pii": F.coalesce("new_pii", "pii")}).select(columns.columns)
