@@ -430,3 +430,22 @@ def test_components_of_a_chain(spark):
     chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = components.components(chain).collect()
     assert len(got) == 201 and {r.root for r in got} == {0}
+
+
+# --- very long texts
+
+
+def test_long_texts(spark, sf):
+    rng = random.Random(9)
+    big = " ".join(f"w{rng.randrange(10**5)}" for _ in range(60_000))
+    rows = [big, "x" * 200_000, ". ".join(f"s{k}" for k in range(9_000)), big[:1_000], None]
+    df = frame(spark, rows)
+    removed = {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(df).collect()}
+    assert removed == {i: n for i, (_, n, _) in substring_dedup.brute_force(list(enumerate(rows))).items()} and removed[0] == removed[3] > 0
+    assert all(len(r.fingerprint) == len(plain_vector(spark, "a").fingerprint) for r in multiset_hash.fingerprint_documents(df).collect())
+    assert packing.placed(*packing.pack(df, BPE, 0)).groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+    assert {r.doc_id: len(r.payload) for r in transport_stream.parse_streams(transport_stream.to_streams(df)).collect()}[1] == 200_000
+    assert language_id.identify(df, language_id.fit(spark.read.parquet(f"{sf}/documents.parquet"))).count() == len(rows)
+    assert pseudonyms.pseudonymise(df).count() == simhash.near_duplicates(df).count() == len(rows)
+    got = sorted((r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in token_shards.read_shards(*token_shards.write_shards(df, BPE, 2)).collect())
+    assert got == token_shards.reference(list(enumerate(rows)), BPE, 2)
