@@ -5,7 +5,8 @@ shared folder and gives what it reads back to the next one. All but the last ret
 table goes through all stages.
 
 1. language_id: documents whose language is rejected go; models learn from the rows outside the held-out fold.
-2. near_dedup: of each component of near fingerprints (of five-word shingles) the document of least doc_id stays.
+2. near_dedup: of each component of texts whose five-word shingles have a Jaccard similarity of at least 0.8 the document of
+   least doc_id stays.
 3. substring_dedup: windows of words that also start elsewhere are cut; texts that lose nothing stay as they are.
 4. pii: personal values become pseudonyms.
 5. packing: pieces of token ids with their places in sequences of at most 2048.
@@ -18,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import language_id, packing, pseudonyms, simhash, substring_dedup
+from tidewell.llm import language_id, packing, pseudonyms, shingle_join, substring_dedup
 from tidewell.llm.common import scratch, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -45,7 +46,7 @@ def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = simhash.near_duplicates(docs, SHINGLE).where("doc_id = component_id").select("doc_id").distinct()
+    kept = shingle_join.similar_rows(docs, SHINGLE).where("doc_id = least.doc_id").select("doc_id").distinct()
     return _one_each(docs.join(kept, "doc_id", "left_semi").select(*COLUMNS))
 
 

@@ -32,25 +32,35 @@ SHINGLE, DISTANCE, SEED = 4, 4, 42
 LIST = 20_000
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """The unsigned SimHash of one text."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of every shingle of one text, repeats included."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()  # bytes.lower changes A-Z alone; bytes.split knows just this white space
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum([len(w) + 1 for w in words])
     begins = (ends - [len(w) + 1 for w in words])[:n].tolist()
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begins, stops, strict=True)], "<u8")
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begins, stops, strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned SimHash of shingle hashes."""
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):
         counts += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """The unsigned SimHash of one text."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp: the fingerprint as a signed 64-bit number, of every row."""
 
