@@ -242,6 +242,16 @@ def test_language_odd(spark, sf):
     assert all(r.lang_pred == "und" for r in language_id.identify(frame(spark, ODD), nothing).collect())
 
 
+def test_language_left_out(spark, sf):
+    """A whole language that was not learned is rejected, whatever other languages there are; learned ones are kept."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").where("lang IS NOT NULL")
+    assert language_id.identify(docs, language_id.fit(docs)).where("not accepted").isEmpty()
+    for lang in ("en", "fr", "de", "es"):
+        fitted = language_id.fit(docs.where(F.col("lang") != lang))
+        out = {r.accepted: r["count"] for r in language_id.identify(docs.where(F.col("lang") == lang), fitted).groupBy("accepted").count().collect()}
+        assert out.get(True, 0) <= 0.05 * sum(out.values())  # some texts hold another language too
+
+
 def test_kneser_ney_is_a_distribution():
     model = language_id.Model(["x"], [pa.array(["abc", "abd", "bcd", "abab", "c"])], [np.array([3, 1, 2, 1, 4])])
     points, _ = language_id._characters(pa.array(["abcd"]))

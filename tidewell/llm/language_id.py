@@ -6,11 +6,12 @@ divided by the characters predicted (word ends count). The language of least cro
 
 Fitting takes a bounded sample of labelled rows: about ``SAMPLE_DOCS`` whole texts a language, those of least hashed id, which bounds
 the model. Four of five of them are counted, the others calibrate: the temperature that makes the softmax of negative
-cross-entropies most likely, and for each language how high cross-entropies come for its own texts and for texts of other
-languages. A text is rejected if it lies further above its language's median than ``REJECT_AT`` deviations (of texts, or of
-characters over the root of its length), above every calibrating text of that language by over a twentieth, and above
-the median of other languages' texts: if it fits no better than a foreign one. Letters count in lower case; words without a
-letter or with a digit tell nothing of the language and do not count, unless a text has no others.
+cross-entropies most likely, and for each language how high its own texts come. That is judged by a text's distinct words, each
+in the language that fits it best: so words said over and over and passages in another learned language do not count against a
+text. A text is rejected if it lies further above its language's median than ``REJECT_AT`` deviations (of texts, or of characters
+over the root of its length) and than nearly all calibrating texts of that language. Texts of other languages have no say in it.
+Letters count in lower case, signs around a word do not; words without a letter or with a digit tell nothing of the language
+and do not count, unless a text has no others.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected. With no labelled row at all every text is. Rows
 keep their number; lang, source and doc_id never reach a prediction.
@@ -44,6 +45,13 @@ def _characters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, place
 
 
+def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of the texts in lower case and without signs around them, and how many end with each text."""
+    words, ends = words_of(pc.utf8_lower(texts))
+    bare = pc.replace_substring_regex(words.dictionary, r"^[^\p{L}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", "")
+    return pa.DictionaryArray.from_arrays(words.indices, pc.if_else(pc.equal(pc.binary_length(bare), 0), words.dictionary, bare)), ends
+
+
 def _grams(points: np.ndarray, order: int) -> np.ndarray:
     """The hash of the ``order`` characters that end at each place; only those within a word are of use."""
     total = np.zeros(len(points), np.uint64)
@@ -156,9 +164,9 @@ class Model:
         starts = np.cumsum(sizes + 1) - (sizes + 1)
         return np.add.reduceat(total, starts, axis=0) if len(words) else np.zeros((0, len(self.names))), sizes
 
-    def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text its cross-entropy by language (nats a character), the characters predicted, and whether it has a letter."""
-        words, ends = words_of(pc.utf8_lower(texts))
+    def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each text its cross-entropy by language (nats a character), what ``_once`` gives, and whether it has a letter."""
+        words, ends = _words(texts)
         sums, sizes = self.score(words.dictionary)
         letters = pc.match_substring_regex(words.dictionary, r"\p{L}").to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)
         codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -177,7 +185,18 @@ class Model:
 
         n = of_texts(sizes)
         by_language = np.stack([of_texts(sums[:, j]) for j in range(len(self.names))], axis=1) if self.names else np.zeros((len(ends), 0))
-        return -by_language / np.maximum(1, n)[:, None], n, per_text(letters) > 0
+        rejecting, once = self._once(sums, sizes, telling, lone, codes, ends)
+        return -by_language / np.maximum(1, n)[:, None], rejecting, once, per_text(letters) > 0
+
+    def _once(self, sums: np.ndarray, sizes: np.ndarray, telling: np.ndarray, lone: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the cross-entropy of its distinct words, each in its best language, and the characters these have."""
+        texts = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        pairs = np.unique(texts * max(1, len(sizes)) + codes)
+        text, word = np.divmod(pairs, max(1, len(sizes)))
+        weight = telling[word] | lone[text]
+        best = sums.max(axis=1) if self.names else np.zeros(len(sizes))
+        n = np.bincount(text, sizes[word] * weight, len(ends))
+        return -np.bincount(text, best[word] * weight, len(ends)) / np.maximum(1, n), n
 
 
 class Identifier:
@@ -193,7 +212,7 @@ class Identifier:
         for name in names:
             own = rows[name]
             counted = own[np.arange(len(own)) % 5 != 4]
-            found, _ = words_of(pc.utf8_lower(texts.take(pa.array(counted))))
+            found, _ = _words(texts.take(pa.array(counted)))
             c = np.bincount(found.indices.to_numpy(zero_copy_only=False), minlength=len(found.dictionary))
             if len(found):
                 kept.append(name)
@@ -205,19 +224,18 @@ class Identifier:
     def _calibrate(self, texts: pa.Array, rows: dict[str, np.ndarray]) -> None:
         names = self.model.names
         held = [(j, r[np.arange(len(r)) % 5 == 4] if len(r) >= 5 else r) for j, r in enumerate(rows.values())]
-        self.mean, self.deviation, self.highest, self.temperature = np.zeros(len(names)), np.ones(len(names)), np.zeros(len(names)), 1.0
+        self.mean, self.deviation, self.limit, self.temperature = np.zeros(len(names)), np.ones(len(names)), np.full(len(names), REJECT_AT), 1.0
         if not held:
             return
-        entropy, n, letters = self.model.entropies(texts.take(pa.array(np.concatenate([r for _, r in held]))))
+        entropy, once, n, letters = self.model.entropies(texts.take(pa.array(np.concatenate([r for _, r in held]))))
         truth = np.concatenate([np.full(len(r), j) for j, r in held])
         for j in range(len(names)):
-            own = entropy[(truth == j) & letters, j]
+            rows_of = (truth == j) & letters
+            own = once[rows_of]
             if len(own):
-                self.mean[j], self.highest[j] = np.median(own), own.max()
+                self.mean[j] = np.median(own)
                 self.deviation[j] = max(0.02, 1.4826 * np.median(np.abs(own - self.mean[j])))
-            foreign = entropy[(truth != j) & letters, j]
-            if len(foreign):
-                self.highest[j] = max(self.highest[j], np.median(foreign) / 1.05)
+                self.limit[j] = max(REJECT_AT, np.quantile(self._above(own, n[rows_of], j), 0.99))
         best = None
         for t in (0.5, 1, 2, 4, 8, 16, 32):
             p = self._softmax(entropy, t)[np.arange(len(truth)), truth]
@@ -225,6 +243,10 @@ class Identifier:
             if best is None or loss < best:
                 best, self.temperature = loss, float(t)
 
+    def _above(self, once: np.ndarray, n: np.ndarray, j: int | np.ndarray) -> np.ndarray:
+        """How many deviations texts of n characters lie above the median of language j."""
+        return (once - self.mean[j]) / np.maximum(self.deviation[j], 1.5 / np.sqrt(np.maximum(1, n)))
+
     @staticmethod
     def _softmax(entropy: np.ndarray, t: float) -> np.ndarray:
         z = np.exp(-t * (entropy - entropy.min(axis=1, keepdims=True)))
@@ -232,14 +254,13 @@ class Identifier:
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and acceptance of each text."""
-        entropy, n, letters = self.model.entropies(texts)
+        entropy, once, n, letters = self.model.entropies(texts)
         if not self.model.names:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         j = entropy.argmin(axis=1)
         rows = np.arange(len(j))
         score = np.where(letters, self._softmax(entropy, self.temperature)[rows, j], 0.0)
-        spread = np.maximum(self.deviation[j], 1.5 / np.sqrt(np.maximum(1, n)))
-        accepted = letters & (entropy[rows, j] <= np.maximum(self.mean[j] + REJECT_AT * spread, 1.05 * self.highest[j]))
+        accepted = letters & (self._above(once, n, j) <= self.limit[j])
         return [self.model.names[k] if ok else "und" for k, ok in zip(j, letters, strict=True)], score, accepted
 
 
