@@ -101,6 +101,13 @@ def test_store(spark, tmp_path):
     assert store.changed_objects(hashes, hashes).count() == 0
 
 
+def test_labels_of_a_whole_table(spark, sf):
+    from tidewell.queries import QUERIES
+
+    got = QUERIES["fk_label_resolve_all"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/orders.parquet").count() and got.where("o_custkey__resolved IS NULL").isEmpty()
+
+
 def test_labels_and_targets(spark):
     assert lookup.label_column([("id", "int"), ("Title", "string")]) == "Title"
     assert lookup.label_column([("id", "string"), ("city", "string")], ("id",)) == "city"

@@ -31,6 +31,12 @@ def resolve_labels(rows: DataFrame, column: str, target: DataFrame, key: str, la
     return rows.join(F.broadcast(found.dropDuplicates(["__key"])), rows[column] == F.col("__key"), "left").drop("__key")
 
 
+def join_labels(rows: DataFrame, column: str, target: DataFrame, key: str, label: str) -> DataFrame:
+    """Adds <column>__resolved as ``resolve_labels`` does, for any number of ids: a join, nothing is collected."""
+    found = target.select(F.col(key).alias("__key"), F.col(label).cast("string").alias(f"{column}__resolved")).dropDuplicates(["__key"])
+    return rows.join(found, rows[column] == F.col("__key"), "left").drop("__key")
+
+
 def resolve_refs(refs: DataFrame, known: DataFrame, distance: int = 2) -> DataFrame:
     """asked, status (exact, unique, ambiguous, unknown), ref, choices, suggestion, for each asked reference.
 

@@ -101,6 +101,14 @@ def fk_label_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.resolve_labels(rows, "o_custkey", table(spark, sf_dir, "customer"), "c_custkey", "c_name")
 
 
+@query("""
+SELECT o_orderkey, o_custkey, c_name AS o_custkey__resolved FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+""")
+def fk_label_resolve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return lookup.join_labels(rows, "o_custkey", table(spark, sf_dir, "customer"), "c_custkey", "c_name")
+
+
 # --- profiles -------------------------------------------------------------------------------------------------
 
 _PROFILED = {"orders": ["o_custkey", "o_orderstatus", "o_orderpriority"], "lineitem": ["l_linenumber", "l_returnflag", "l_shipdate"], "events": ["event_type", "user_id"], "customer": ["c_mktsegment", "seg_or_null"]}
