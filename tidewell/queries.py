@@ -290,6 +290,17 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("probe_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query("""
+SELECT p.vec_id AS probe_id, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score
+FROM embeddings p JOIN embeddings v ON p.vec_id <> v.vec_id WHERE p.vec_id % 50 = 0
+QUALIFY row_number() OVER (PARTITION BY p.vec_id ORDER BY list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) DESC, v.vec_id) <= 20
+""")
+def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    best = search.cosine_top(vectors, vectors.where("vec_id % 50 = 0"), 20)
+    return best.select("probe_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 @query("""
 WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents QUALIFY r < 40),
 b AS (SELECT doc_id, row_number() OVER (ORDER BY quality DESC, toxic, doc_id) - 1 AS r FROM labels QUALIFY r < 40)
