@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import public_tokenizers as P
 from tidewell.llm import blocks, bpe, components, language_id, multiset_hash, packing, pseudonyms, recompression, simhash, substring_dedup, token_shards, tokens, toxicity, transport_stream
@@ -126,9 +127,11 @@ def test_fingerprints_odd(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=6))
 def test_encoder_equals_library(some):
-    enc = tokens.encoder(BPE)
-    some += ["a  b", " a", "a \n b", "don't  stop"]
-    assert [list(x) for x in enc.encode(pa.array(some, pa.string()))] == [e.ids for e in enc.tokenizer.encode_batch(some, add_special_tokens=False)]
+    library = Tokenizer.from_file(BPE)  # one of its own, as it comes from the file
+    some += ["a  b", " a", "a \n b", "don't  stop", "hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b c"]
+    assert [list(x) for x in tokens.encoder(BPE).encode(pa.array(some, pa.string()))] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+    library.encode_special_tokens = True
+    assert [list(x) for x in tokens.encoder(BPE, plain=True).encode(pa.array(some, pa.string()))] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
 
 
 @settings(max_examples=60, deadline=None)
@@ -155,7 +158,7 @@ def test_shards(spark, texts, shard_bytes):
     got = sorted((r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in token_shards.read_shards(table, dictionary).collect())
     assert got == token_shards.reference(rows, BPE, 2)
     shard = table.orderBy("part", "seq").first().shard
-    ids = tokens.encoder(BPE).tokenizer.encode(rows[0][1], add_special_tokens=False).ids
+    ids = Tokenizer.from_file(BPE).encode(rows[0][1], add_special_tokens=False).ids
     assert token_shards.read_document(shard, dictionary, 0).tolist() == [*ids, 2]
     with pytest.raises(ValueError):
         token_shards.Shard(shard, b"another")
@@ -192,10 +195,10 @@ def test_bound_sees_more_than_volume():
 def test_packing(spark, texts, group):
     rows = [*texts, *ODD]
     pieces = packing.make_pieces(frame(spark, rows), BPE, 0)
-    report = []
+    report, library = [], Tokenizer.from_file(BPE)
     out = packing.placed(pieces, packing.assign(pieces, group=group, report=report)).toPandas()
     for k, t in enumerate(rows):
-        ids = [*tokens.encoder(BPE).tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
         own = out[out.doc_id == k].sort_values("piece")
         assert own.length.sum() == len(ids) and list(own.piece) == list(range(len(own)))
         for r in own.itertuples():

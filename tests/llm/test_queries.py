@@ -8,8 +8,9 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 
-from tidewell.llm import bpe, packing, pseudonyms, registry, simhash, substring_dedup, token_shards, tokens
+from tidewell.llm import bpe, packing, pseudonyms, registry, simhash, substring_dedup, token_shards
 
 BPE = P.path("byte_bpe_50k.json")
 
@@ -40,12 +41,12 @@ def test_op1(spark, sf, rows):
 
 
 def test_op3(spark, sf, rows):
-    out = registry.QUERIES["op3_packing"](spark, sf).toPandas()
+    out, library = registry.QUERIES["op3_packing"](spark, sf).toPandas(), Tokenizer.from_file(BPE)
     for i, text in rows:
-        ids = np.array([*tokens.encoder(BPE).tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], "<u4")
         for r in out[out.doc_id == i].itertuples():
             assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
-    assert out.length.sum() == sum(len(tokens.encoder(BPE).tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert out.length.sum() == sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
     assert out.sequence_id.nunique() <= packing.lower_bound(out.length.values) + 1
 
 

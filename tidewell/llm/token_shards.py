@@ -185,7 +185,9 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference(rows: list[tuple[int, str | None]], tokenizer_path: str, end_id: int) -> list[tuple]:
     """doc_id, start, n_tokens, ids_crc32 of a few documents, by the library alone."""
-    tokenizer, start, out = tokens.encoder(tokenizer_path).tokenizer, 0, []
+    from tokenizers import Tokenizer
+
+    tokenizer, start, out = Tokenizer.from_file(tokenizer_path), 0, []
     for doc_id, text in sorted(rows):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, end_id]
         out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))

@@ -5,6 +5,9 @@ white space always starts a new match. So a text without white space before a sp
 and each part encoded on its own gives the same ids. Other texts, and vocabularies that normalise their input or
 split otherwise, are encoded whole. Arrow's dictionary encoding finds the distinct parts, so the library sees each
 once a batch, many in one call.
+
+The ids are what the library gives for the file as it is: a special token's string in a text, such as ``<|endoftext|>``, becomes that
+token's id (``add_special_tokens=False`` only adds none). Such texts are encoded whole. With ``plain`` its string is ordinary text.
 """
 
 from __future__ import annotations
@@ -22,21 +25,22 @@ JOINED, CALL = 500, 1 << 18
 #: White space before a space, or any white space that Arrow and the pattern may see differently.
 UNSAFE = "[\t\n\x0b\x0c\r\x1c-\x1f ] |[\x1c-\x1f\u0085   -     　]"
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
-    """Encodes arrays of texts with a tokenizer file; special tokens' strings count as ordinary text."""
+    """Encodes arrays of texts with a tokenizer file, as the library does; ``plain``: special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executors' cores are dealt out by Spark
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]  # found in a text before it is split
         self.by_parts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.starts_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -83,6 +87,8 @@ class Encoder:
         """The ids of each text, as unsigned 32-bit numbers; texts hold no nulls."""
         n = len(texts)
         safe = ~pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False) if self.by_parts and n else np.zeros(n, bool)
+        for token in self.added if n else ():
+            safe &= ~pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         out: list[np.ndarray | None] = [None] * n
         rest = np.flatnonzero(~safe)
         if len(rest):
@@ -111,8 +117,8 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """The encoder of a tokenizer file, kept for the life of the process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = Encoder(path, plain)
+    return _ENCODERS[path, plain]
