@@ -108,3 +108,63 @@ def test_read_mode_refuses(spark, sf):
     for tool in ("execute_sql", "edit_row", "import_data", "apply_ddl", "run_maintenance", "terminate_query"):
         with pytest.raises(PolicyError):
             engine.call(tool)
+
+
+@pytest.fixture()
+def notes(spark, tmp_path):
+    """People with a protected column, notes without one, and an engine in write mode over both."""
+    spark.createDataFrame([(1, "a@x.com", "A"), (2, "b@x.com", "B"), (3, None, "C")], "id long, email string, name string").write.parquet(str(tmp_path / "people"))
+    spark.createDataFrame([(1, "one"), (2, "two"), (4, None)], "id long, note string").write.parquet(str(tmp_path / "notes"))
+    tables = {t: str(tmp_path / t) for t in ("people", "notes")}
+    return Engine(spark, {"main": Connection(tables, policy=Policy("write", pii_columns=("public.People.email",)))})
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "INSERT INTO notes SELECT id, email FROM people",
+        "INSERT INTO notes (note) SELECT upper(p.email) || '!' FROM people p",
+        "INSERT INTO notes WITH x AS (SELECT id, email AS e FROM people) SELECT id, e FROM x",
+        "INSERT INTO notes SELECT id, (SELECT max(email) FROM people) FROM notes",
+        "UPDATE notes SET note = (SELECT max(email) FROM people) WHERE id = 1",
+        "UPDATE people SET name = email",
+        "MERGE INTO notes USING people ON notes.id = people.id WHEN MATCHED THEN UPDATE SET note = people.email",
+        "MERGE INTO notes n USING (SELECT id, email AS e FROM people) p ON n.id = p.id WHEN NOT MATCHED THEN INSERT (id, note) VALUES (p.id, p.e)",
+    ],
+)
+def test_protected_values_do_not_move(notes, sql):
+    dry = notes.call("execute_sql", sql=sql)
+    assert dry["rows_affected"] > 0 and "x.com" not in str(dry).lower()
+    with pytest.raises(PolicyError):
+        notes.call("execute_sql", sql=sql, dry_run=False)
+
+
+def test_protected_cells_are_masked(notes):
+    for sql in ("DELETE FROM people WHERE id = 1", "UPDATE people SET email = 'new@x.com' WHERE id = 2", "INSERT INTO people VALUES (9, 'z@x.com', 'Z')", "INSERT INTO people SELECT id + 10, email, name FROM people"):
+        out = notes.call("execute_sql", sql=sql)
+        assert "x.com" not in str(out) and "<redacted>" in str(out), sql
+    notes.call("execute_sql", sql="INSERT INTO people SELECT id + 10, email, name FROM people", dry_run=False)
+    assert notes.call("run_select", sql="SELECT count(*) AS n, count(DISTINCT id) AS d FROM people")["rows"] == [[6, 6]]
+    assert "x.com" not in str(notes.call("edit_row", table="people", action="insert", values={"id": 7, "email": "q@x.com"}))
+
+
+def test_statements(notes):
+    def rows():
+        return notes.call("run_select", sql="SELECT id, note FROM notes ORDER BY id")["rows"]
+
+    out = notes.call("execute_sql", sql="UPDATE notes AS n SET note = upper(n.note) || '!', id = n.id + 100 WHERE n.id IN (SELECT id FROM people) AND note > 'a'", dry_run=False)
+    assert out["rows_affected"] == 2 and rows() == [[4, None], [101, "ONE!"], [102, "TWO!"]]
+    assert notes.call("execute_sql", sql="DELETE FROM notes WHERE note LIKE 'T%' OR id BETWEEN 50 AND 101", dry_run=False)["rows_affected"] == 2
+    assert rows() == [[4, None]]
+    notes.call("execute_sql", sql="INSERT INTO notes (note, id) VALUES ('x', 1), ('y', 2)", dry_run=False)
+    merge = "MERGE INTO notes t USING (SELECT id, name FROM people) s ON t.id = s.id WHEN MATCHED AND s.id = 1 THEN DELETE WHEN MATCHED THEN UPDATE SET note = s.name WHEN NOT MATCHED THEN INSERT (id, note) VALUES (s.id, 'new') WHEN NOT MATCHED BY SOURCE THEN UPDATE SET note = 'kept'"
+    dry = notes.call("execute_sql", sql=merge)
+    assert dry["rows_affected"] == 4 and rows() == [[1, "x"], [2, "y"], [4, None]]
+    notes.call("execute_sql", sql=merge, dry_run=False)
+    assert rows() == [[2, "B"], [3, "new"], [4, "kept"]]
+    with pytest.raises(ValueError, match="more than one"):
+        notes.call("execute_sql", sql="MERGE INTO notes t USING (SELECT 2 AS id UNION ALL SELECT 2) s ON t.id = s.id WHEN MATCHED THEN DELETE")
+    with pytest.raises(ValueError, match="no such column"):
+        notes.call("execute_sql", sql="UPDATE notes SET nothing = 1")
+    with pytest.raises(PolicyError):
+        notes.call("execute_sql", sql="INSERT OVERWRITE notes SELECT 1, 'a'")

@@ -181,3 +181,18 @@ def test_plans(spark, sf):
 def test_ddl(spark, ddl, worst):
     found = analysis.ddl_safety(spark, ddl)
     assert (found[0]["severity"] if found else None) == worst
+
+
+def test_names_of_rules_have_no_case():
+    assert not Policy(deny_schemas=("HR",)).allows("hr.people") and not Policy(deny_schemas=("hr",)).allows("HR.people")
+    assert not Policy(deny_tables=("Public.Orders",)).allows("orders") and not Policy(deny_tables=("PEOPLE",)).allows("hr.people")
+    assert Policy(allow_schemas=("Sales",)).allows("SALES.x") and not Policy(allow_schemas=("Sales",)).allows("x")
+    assert Policy(pii_columns=("Public.Customer.Email",)).protects("customer", "EMAIL")
+
+
+@pytest.mark.parametrize("rule", [{"deny_tables": ("public.orders",)}, {"deny_schemas": ("public",)}, {"deny_tables": ("*.orders",)}, {"deny_tables": ("public.*",)}, {"deny_tables": ("spark_catalog.public.orders",)}])
+def test_catalog_does_not_hide_a_schema(spark, rule):
+    policy = Policy(**rule)
+    assert not policy.allows("spark_catalog.public.orders") and policy.allows("spark_catalog.sales.people")
+    with pytest.raises(PolicyError):
+        check(spark, "SELECT * FROM spark_catalog.public.orders", policy)

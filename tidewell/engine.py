@@ -7,7 +7,6 @@ name; every result is plain JSON data. Tools that would need a server's credenti
 
 from __future__ import annotations
 
-import re
 import threading
 import time
 from dataclasses import dataclass, field
@@ -15,9 +14,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import advise, diff, graph, lookup, profile, search, write
+from tidewell.operators import advise, diff, graph, lookup, profile, search, statements, write
 from tidewell.operators.policy import ADMIN, READ, WRITE, Policy, PolicyError, check
-from tidewell.operators.select import Caps, run_select
+from tidewell.operators.select import Caps, dialect, run_select
 from tidewell.plans import analysis
 from tidewell.sources import exports, store
 from tidewell.sources.catalog import CatalogSpec, fingerprint, from_frames, list_objects, object_hashes, prefix_completion
@@ -235,7 +234,7 @@ class Engine:
 
     def _require_column(self, ref: str, col: str) -> None:
         full = ref if "." in ref else f"{self.now.policy.default_schema}.{ref}"
-        if not self.now.policy.allows(full) or f"{full}.{col}" in self.now.policy.pii_columns or any(t.ref == full and c.name == col and c.pii for t in self.spec().tables for c in t.columns):
+        if not self.now.policy.allows(full) or self.now.policy.protects(full, col) or any(t.ref == full and c.name == col and c.pii for t in self.spec().tables for c in t.columns):
             raise PolicyError(f"{full}.{col} is not allowed")
 
     # --- search
@@ -317,7 +316,7 @@ class Engine:
         for t in self.spec().tables:
             if t.name not in self.now.tables or not self.now.policy.allows(t.ref):
                 continue
-            open_columns = [c.name for c in t.columns if not c.pii and f"{t.ref}.{c.name}" not in self.now.policy.pii_columns]
+            open_columns = [c.name for c in t.columns if not c.pii and not self.now.policy.protects(t.ref, c.name)]
             one = profile.profile(self.table(t.name), t.ref, open_columns, approximate=True)
             texts = [c.name for c in t.columns if c.name in open_columns and c.type in ("string", "varchar", "text")]
             profiles = one if profiles is None else profiles.unionAll(one)
@@ -477,32 +476,27 @@ class Engine:
         return {"rows_affected": n}
 
     def _execute_sql(self, sql: str, dry_run: bool = True):
-        """DELETE and UPDATE with a WHERE of key = value, and INSERT of VALUES, rewritten as edits of folders."""
+        """INSERT, UPDATE, DELETE or MERGE, rewritten as edits of folders."""
+        sql = dialect(sql)
         check(self.spark, sql, self.now.policy)
-        deleted = re.fullmatch(r"\s*DELETE\s+FROM\s+([\w.]+)\s+WHERE\s+(\w+)\s*=\s*('[^']*'|-?[\d.]+)\s*;?\s*", sql, re.I)
-        updated = re.fullmatch(r"\s*UPDATE\s+([\w.]+)\s+SET\s+(\w+)\s*=\s*('[^']*'|-?[\d.]+|NULL)\s+WHERE\s+(\w+)\s*=\s*('[^']*'|-?[\d.]+)\s*;?\s*", sql, re.I)
-        inserted = re.fullmatch(r"\s*INSERT\s+INTO\s+([\w.]+)\s*(?:\(([\w,\s]+)\))?\s*(VALUES\s.+|SELECT\s.+)", sql, re.I | re.S)
-
-        def value(text: str):
-            return None if text.upper() == "NULL" else text[1:-1] if text[0] == "'" else float(text) if "." in text else int(text)
-
-        if deleted:
-            return self._edit_row(deleted[1], "delete", None, {deleted[2]: value(deleted[3])}, dry_run)
-        if updated:
-            return self._edit_row(updated[1], "update", {updated[2]: value(updated[3])}, {updated[4]: value(updated[5])}, dry_run)
-        if inserted:
-            path = self.now.tables[inserted[1].split(".")[-1]]
-            schema = self.spark.read.parquet(path).schema
-            names = [n.strip() for n in inserted[2].split(",")] if inserted[2] else schema.names
-            new = self.spark.sql(inserted[3].rstrip().rstrip(";")).toDF(*names)
-            full = new.select(*[(F.col(f.name) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
-            n = full.count()
-            if not dry_run:
-                write.require(self.now.policy, inserted[1])
-                full.write.mode("append").parquet(path)
-                self._warm()
-            return {"rows_affected": n, "dry_run": dry_run, "diff": _rows(full, write.DIFF_ROWS)}
-        raise PolicyError("only edits by one key = value, and INSERT, can be rewritten for Parquet folders")
+        specs = {t.name.lower(): t for t in self.spec().tables}
+
+        def path_of(ref: str) -> str:
+            name = next((n for n in self.now.tables if n.lower() == self.now.policy.parts(ref)[1]), None)
+            if name is None:
+                raise KeyError(f"no table {ref}")
+            return self.now.tables[name]
+
+        def keys_of(ref: str) -> list[str]:
+            t = specs.get(self.now.policy.parts(ref)[1])
+            return [c.name for c in t.columns if c.is_pk] if t else []
+
+        out = statements.execute(self.spark, sql, self.now.policy, path_of, keys_of, dry_run)
+        if not dry_run:
+            self._warm()
+        elif not out["rows_affected"]:
+            out["critique"] = [{"signal": "zero_rows", "hint": "no row fits the condition"}]
+        return exports.cell(out)
 
     def _apply_ddl(self, ddl: str, dry_run: bool = True):
         check(self.spark, ddl, self.now.policy)

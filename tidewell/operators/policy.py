@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tidewell.plans import tree
 
 READ, WRITE, ADMIN = "read", "write", "admin"
+#: Stands for a protected value.
+REDACTED = "<redacted>"
 
 READ_NODES = frozenset(
     "Project Filter Aggregate Sort GlobalLimit LocalLimit LimitAll Offset Distinct Union Except Intersect Join LateralJoin SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedWith UnresolvedRelation LocalRelation OneRowRelation OneRowRelation$ UnresolvedInlineTable UnresolvedHaving WithWindowDefinition Generate Pivot Unpivot UnresolvedTableValuedFunction Sample ExplainCommand Window ResolvedInlineTable UnresolvedTVFAliases UnresolvedOrdinal UnionLoop Deduplicate".split()
@@ -40,18 +42,37 @@ class Policy:
     pii_columns: tuple[str, ...] = ()
     default_schema: str = "public"
 
+    def __post_init__(self):
+        """Names in rules are compared without case, as Spark compares them."""
+        for rule in ("allow_schemas", "deny_schemas", "deny_tables", "pii_columns"):
+            object.__setattr__(self, rule, tuple(x.lower() for x in getattr(self, rule)))
+        object.__setattr__(self, "default_schema", self.default_schema.lower())
+
+    def parts(self, ref: str) -> tuple[str, str]:
+        """Schema and name of a table: the last two parts of what a statement calls it, whatever catalog stands before them."""
+        *before, name = ref.lower().split(".")
+        return before[-1] if before else self.default_schema, name
+
     def allows(self, ref: str) -> bool:
-        schema, _, name = ref.rpartition(".")
-        schema = (schema or self.default_schema).lower()
-        return self.schema_allowed(schema) and not any(denied(schema, name.lower(), glob.lower()) for glob in self.deny_tables)
+        schema, name = self.parts(ref)
+        return self.schema_allowed(schema) and not any(denied(schema, name, glob) for glob in self.deny_tables)
 
     def schema_allowed(self, schema: str) -> bool:
+        schema = schema.lower()
         return schema not in self.deny_schemas and (not self.allow_schemas or schema in self.allow_schemas)
 
+    @property
+    def protected(self) -> set[tuple[str, str]]:
+        """Table and column of each protected column."""
+        return {tuple(c.rsplit(".", 2)[-2:]) for c in self.pii_columns}
+
+    def protects(self, ref: str, column: str) -> bool:
+        return (self.parts(ref)[1], column.lower()) in self.protected
+
 
 def denied(schema: str, name: str, glob: str) -> bool:
-    """A glob has a schema and a name, either of them * or exact; without a dot it means a name in any schema."""
-    own_schema, _, own_name = glob.rpartition(".") if "." in glob else ("*", "", glob)
+    """A glob has a schema and a name, either of them * or exact; without a dot it means a name in any schema. All in lower case."""
+    own_schema, own_name = glob.rsplit(".", 2)[-2:] if "." in glob else ("*", glob)
     return all(g in ("*", x) for g, x in ((own_schema, schema), (own_name, name)))
 
 

@@ -10,12 +10,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators.policy import Policy, check
+from tidewell.operators.policy import REDACTED, Policy, check
 from tidewell.plans.lineage import tainted_outputs
 from tidewell.sources import exports
 
-REDACTED = "<redacted>"
-
 
 @dataclass(frozen=True)
 class Caps:
@@ -98,8 +96,7 @@ def run_select(spark: SparkSession, sql: str, policy: Policy = Policy(), caps: C
     sql = dialect(sql)
     tables = check(spark, sql, policy)
     df = spark.sql(sql, args={f"p{k}": v for k, v in enumerate(parameters, 1)} if parameters else None)
-    protected = {(c.split(".")[-2].lower(), c.split(".")[-1].lower()) for c in policy.pii_columns}
-    hidden = tainted_outputs(df, protected) if protected else []
+    hidden = tainted_outputs(df, policy.protected) if policy.pii_columns else []
     shown = mask(df, hidden) if hidden else df
     n = caps.row_limit(limit)
     first, total = page(shown, n)

@@ -87,9 +87,10 @@ def cap(text: str, limit: int) -> tuple[str, bool]:
     return (text, False) if len(data) <= limit else (data[:limit].decode(errors="ignore"), True)
 
 
-def as_text(df: DataFrame, name: str) -> Column:
+def as_text(df: DataFrame, name: str, col: Column | None = None) -> Column:
+    """A column of df as text, or another column of its type."""
     kind = df.schema[name].dataType.typeName()
-    col = F.col(f"`{name}`")
+    col = F.col(f"`{name}`") if col is None else col
     if kind in ("timestamp", "timestamp_ntz"):
         return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss")
     if kind in ("array", "map", "struct"):
