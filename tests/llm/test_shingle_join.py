@@ -50,6 +50,45 @@ def test_list_pairs():
     rng = np.random.default_rng(3)
     n = rng.integers(5, 40, 80)
     place, label, name = rng.integers(0, n // 5 + 1), rng.integers(0, 9, 80), np.arange(80)
-    a, b = shingle_join.list_pairs(name, label, n, place)
-    got = {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    assert got == {frozenset((i, j)) for i in range(80) for j in range(i) if label[i] != label[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and 9 * min(n[i] - place[i], n[j] - place[j]) >= 4 * (n[i] + n[j])}
+    alike = np.zeros((80, shingle_join.BITS // 8), np.uint8)
+    want = {frozenset((i, j)) for i in range(80) for j in range(i) if label[i] != label[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and 9 * min(n[i] - place[i], n[j] - place[j]) >= 4 * (n[i] + n[j])}
+
+    def got(**more):
+        a, b = shingle_join.list_pairs(name, label, n, place, alike, **more)
+        return {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
+
+    assert got() == want
+    assert got(leaders=80) == want and got(leaders=3) < want
+    halves = np.arange(80) % 2
+    assert got(tile=halves) == {p for p in want if len({k % 2 for k in p}) == 2}
+
+
+def test_bitmaps_drop_no_similar_pair():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        base = rng.integers(0, 1 << 63, rng.integers(1, 600)).astype(np.uint64)
+        other = base.copy()
+        k = rng.integers(0, len(base) // 4 + 1)
+        other[:k] = rng.integers(0, 1 << 63, k).astype(np.uint64)
+        sets = [np.unique(base), np.unique(other)]
+        bits = np.stack([np.frombuffer(shingle_join.bitmap(s), np.uint8) for s in sets])
+        a, _ = shingle_join.list_pairs(np.array([1, 2]), np.array([1, 2]), np.array([len(s) for s in sets]), np.zeros(2, int), bits)
+        assert len(a) or not shingle_join.similar(*sets)
+
+
+def test_long_lists(spark, monkeypatch):
+    """Lists of several tiles give the same components."""
+    monkeypatch.setattr(shingle_join, "LIST", 7)
+    rng, texts = random.Random(8), []
+    words = [f"w{k}" for k in range(120)]
+    texts = [edited(rng, words, k % 6) for k in range(60)] + [edited(rng, words[20:] + [f"v{k}" for k in range(20)], k % 3) for k in range(20)]
+    rows = list(enumerate(texts))
+    assert kept(spark, rows) == want(rows)
+
+
+def test_ids_that_are_null_or_repeat(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, "a text of its own with some words"), (1, "this is text A and nothing else"), (1, "quite another text B of the same id"), (1, "quite another text B of the same id"), (None, text), (5, text + " more"), (4, text.upper())]
+    docs = spark.createDataFrame([(i, t, f"l{k}", "s", 0) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = sorted(((r.doc_id, r.text, r.lang) for r in corpus_pipeline.stage_near_dedup(spark, docs, "").collect()), key=str)
+    assert out == sorted([(None, rows[0][1], "l0"), (1, rows[1][1], "l1"), (1, rows[2][1], "l2"), (4, text.upper(), "l6")], key=str)

@@ -1,11 +1,13 @@
-"""Documents in blocks, and the search for keys that occur more than once among all blocks.
+"""Documents in blocks, and how often keys occur among all blocks.
 
 A block is one row: some documents whose texts have about ``BLOCK_BYTES``, as a compressed Arrow stream. The
 table of blocks is written once, so a block's documents and their order are the same in every pass over it.
 
-Keys are unsigned 64-bit hashes. A block sends each of its distinct keys once, sorted and dealt to buckets by their top bits,
-with a bit that tells whether the block has it twice. A bucket sends back one bit a key: whether it occurs twice
-at all. So a key that every document holds costs no more than one per block, and no group is larger than its bucket.
+A key is one unsigned 64-bit hash or several. A block sends each of its distinct keys once, ascending and dealt to buckets by their top bits,
+with how often the block has it. A bucket sends back a class a key: 0 for a key that occurs once at all, k for one that occurs
+2**k times or less, up to ``MOST``. So a key that every document holds costs no more than one per block, and no group is larger than
+its bucket. A block sends at most one row a bucket and a key, and looks only at the buckets that its keys fall into: work and rows
+grow with the keys, whatever the number of buckets.
 """
 
 from __future__ import annotations
@@ -75,59 +77,89 @@ def word_hashes(words: pa.DictionaryArray) -> np.ndarray:
     return distinct[words.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(words) else np.empty(0, np.uint64)
 
 
-def bucket_bounds(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's keys begin and end in an ascending array: bucket = key * buckets >> 64, by 32 bits."""
-    limits = np.array([(-(-(b << 32) // buckets)) << 32 for b in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(sorted_keys, limits, "left"), [len(sorted_keys)]]).astype(np.int64)
+def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key, which rises with the key: key * buckets >> 64, by 32 bits."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-KEYS_SCHEMA = "bucket int, block long, keys binary, twice binary"
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows of keys (n, width), ascending, the place of each row among them, and how often each occurs."""
+    n = len(keys)
+    if not n:
+        return keys, np.empty(0, np.int64), np.empty(0, np.int64)
+    order = np.argsort(keys[:, 0], kind="stable") if keys.shape[1] == 1 else np.lexsort(keys.T[::-1])
+    ordered = keys[order]
+    new = np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(axis=1)])
+    inverse = np.empty(n, np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], inverse, np.diff(np.append(np.flatnonzero(new), n))
+
+
+def planes(keys: np.ndarray) -> bytes:
+    """Ascending keys byte plane by byte plane, so that what they share compresses."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(len(keys), -1).T[::-1]).tobytes()
+
+
+def from_planes(data: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8 * width, -1)[::-1].T).view("<u8")
+
+
+KEYS_SCHEMA = "bucket int, block long, keys binary, counts binary"
+#: The highest class of a key.
+MOST = 15
 
 
 def key_rows(block: int, keys: np.ndarray, buckets: int) -> pa.Table | None:
-    """The rows that a block sends: its distinct keys by bucket."""
-    distinct, counts = np.unique(keys, return_counts=True)
-    bounds = bucket_bounds(distinct, buckets)
-    used = np.flatnonzero(np.diff(bounds)).tolist()
-    if not used:
+    """The rows that a block sends: its distinct keys (n, width) by bucket, and how often it has each (up to 255)."""
+    if not len(keys):
         return None
-    parts = [(distinct[bounds[b] : bounds[b + 1]].tobytes(), np.packbits(counts[bounds[b] : bounds[b + 1]] > 1).tobytes()) for b in used]
-    return pa.table([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], ["bucket", "block", "keys", "twice"])
+    distinct, _, counts = distinct_keys(keys)
+    bucket = buckets_of(distinct[:, 0], buckets)
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    ends = np.append(starts[1:], len(bucket))
+    counts = np.minimum(counts, 255).astype(np.uint8)
+    parts = [(planes(distinct[a:b]), counts[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return pa.table([pa.array(bucket[starts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], ["bucket", "block", "keys", "counts"])
+
+
+def _nibbles(values: np.ndarray) -> bytes:
+    values = np.append(values, np.uint8(0)) if len(values) % 2 else values
+    return (values[::2] | values[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def _from_nibbles(data: bytes, n: int) -> np.ndarray:
+    packed = np.frombuffer(data, np.uint8)
+    return np.stack([packed & 15, packed >> 4], axis=1).ravel()[:n]
 
 
-def shared_bits(sent: DataFrame) -> DataFrame:
-    """For each block, its buckets and their bits in the order of its keys: block, found array<struct<bucket, bits>>."""
+def classes(sent: DataFrame, width: int = 1) -> DataFrame:
+    """For each block, its buckets and the classes of its keys in their order: block, found array<struct<bucket, classes>>."""
 
     def judge(key, table):
-        keys = [np.frombuffer(k, np.uint64) for k in column(table, "keys").to_pylist()]
-        twice = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(k)) for k, t in zip(keys, column(table, "twice").to_pylist(), strict=True)]
-        flat = np.concatenate(keys)
-        order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
-        same = ordered[1:] == ordered[:-1]
-        shared = np.zeros(len(flat), bool)
-        shared[order[1:]] |= same
-        shared[order[:-1]] |= same
-        shared |= np.concatenate(twice).astype(bool)
-        # a key that one block has twice is shared wherever else it is, which the neighbours above have told
+        keys = [from_planes(k, width) for k in column(table, "keys").to_pylist()]
+        counts = np.concatenate([np.frombuffer(c, np.uint8) for c in column(table, "counts").to_pylist()]).astype(np.int64)
+        _, inverse, _ = distinct_keys(np.concatenate(keys))
+        total = np.bincount(inverse, counts)
+        found = np.minimum(np.ceil(np.log2(total)), MOST).astype(np.uint8)[inverse]
         ends = np.cumsum([len(k) for k in keys])
-        bits = [np.packbits(shared[e - len(k) : e]).tobytes() for k, e in zip(keys, ends, strict=True)]
-        return pa.table([table["block"], table["bucket"], pa.array(bits, pa.binary())], ["block", "bucket", "bits"])
+        out = [_nibbles(found[e - len(k) : e]) for k, e in zip(keys, ends, strict=True)]
+        return pa.table([table["block"], table["bucket"], pa.array(out, pa.binary())], ["block", "bucket", "classes"])
 
-    found = sent.groupBy("bucket").applyInArrow(judge, "block long, bucket int, bits binary")
-    return found.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("found"))
+    found = sent.groupBy("bucket").applyInArrow(judge, "block long, bucket int, classes binary")
+    return found.groupBy("block").agg(F.collect_list(F.struct("bucket", "classes")).alias("found"))
 
 
-def shared_of(keys: np.ndarray, found: list[dict] | None, buckets: int) -> np.ndarray:
-    """Which of a block's keys occur more than once among all blocks."""
+def classes_of(keys: np.ndarray, found: list[dict] | None, buckets: int) -> np.ndarray:
+    """The class of each of a block's keys among all blocks."""
     if not len(keys) or not found:
-        return np.zeros(len(keys), bool)
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    bounds, shared = bucket_bounds(distinct, buckets), np.zeros(len(distinct), bool)
+        return np.zeros(len(keys), np.uint8)
+    distinct, inverse, _ = distinct_keys(keys)
+    bucket = buckets_of(distinct[:, 0], buckets)
+    out = np.zeros(len(distinct), np.uint8)
     for f in found:
-        a, b = bounds[f["bucket"]], bounds[f["bucket"] + 1]
-        shared[a:b] = np.unpackbits(np.frombuffer(f["bits"], np.uint8), count=b - a)
-    return shared[inverse]
+        a, b = np.searchsorted(bucket, [f["bucket"], f["bucket"] + 1])
+        out[a:b] = _from_nibbles(f["classes"], b - a)
+    return out[inverse]
 
 
 def map_blocks(blocks: DataFrame, f: Callable[[dict], pa.Table | None], schema: str) -> DataFrame:

@@ -1,33 +1,44 @@
-"""Near duplicates by exact Jaccard similarity of shingle sets: SimHash finds most links, prefix filtering the others.
+"""Near duplicates by exact Jaccard similarity of shingle sets: SimHash finds links first, prefix filtering the others.
 
 Two texts are linked if the sets of their shingles (simhash's words and hashes) have a Jaccard similarity of at least 4 / 5.
-No SimHash distance guarantees that, so it only collapses groups of near copies first:
+No SimHash distance guarantees that, so it only joins groups of near copies first:
 
 1. Rows of equal sets are one entry. SimHash links between entries are verified by their texts; components are labelled.
-2. Each set is put into one order of all shingles and posted under its first n - ceil(0.8 n) + 1. Two sets that are similar
-   enough share one of these. In a posting list only pairs of different labels are candidates, if their sizes and what
-   remains behind the shared shingle still allow the overlap that is needed; these are verified by their texts too.
-
-Any order is right. The order here puts shingles that are frequent in a sample of texts last, so lists stay short. A set has
-a 64-bit name and shingles 64-bit hashes; collisions are not looked for. Texts without words are one entry.
-A row is known by its id and the hash of its text, so null and repeated ids are rows like others.
+2. All shingles have one order: by how often they occur among all documents (in powers of two, counted in blocks of
+   documents, see ``blocks``), the rare ones first. Each set is posted under its first n - ceil(0.8 n) + 1, since two sets that
+   are similar enough share one of these. A shingle that occurs once in all tables is not posted.
+3. A posting list is of interest while its entries have different labels. A pair of it is a candidate only if sizes, what remains behind
+   the shared shingle, and the bitmaps of both sets still allow the overlap that is needed. The bitmap holds the parities of the
+   shingles in ``BITS`` classes: two sets differ in at least as many shingles as their bitmaps do in bits.
+4. Candidates are verified by their texts in rounds. The first rounds pair the entries of a list only with ``LEADERS`` of it, the same in most
+   lists of a group, so that groups of near copies join without all their pairs; the last one takes all candidates
+   whose labels still differ. Only bounds that hold for every similar pair drop any, so no link is lost.
+
+A set has a 64-bit name and shingles 64-bit hashes; collisions are not looked for. Texts without words (or null) are one entry.
+A row is known by its id and the hash of its text, so null and repeated ids are rows like others. Lists of over ``LIST`` entries
+are dealt to tiles by name, and each pair of tiles is one group: no task holds more than about two tiles.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import column, inputs, map_batches, materialize, mix64, prepare
+from tidewell.llm import blocks as bl
+from tidewell.llm.common import column, discard, inputs, map_batches, materialize, mix64, prepare
 from tidewell.llm.components import components
 from tidewell.llm.simhash import links, majority, shingle_hashes
 
 #: The least similarity as a fraction: bounds stay whole numbers.
 PART, WHOLE = 4, 5
-#: Texts whose shingles are counted for the order, and the count from which a shingle is frequent.
-SAMPLE_DOCS, FREQUENT = 4_000, 3
+#: Bits of a set's bitmap; entries of a list that the others are paired with in each of the first rounds; entries of a tile.
+BITS, LEADERS, LIST = 512, (1, 4), 4_000
+#: Distinct shingles of a block, about, for the number of buckets.
+KEYS_PER_BLOCK = bl.BLOCK_BYTES // 6
 
 
 def least_overlap(a, b):
@@ -47,153 +58,198 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return len(np.intersect1d(a, b, assume_unique=True)) >= least_overlap(len(a), len(b))
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """The parity of the set's hashes in each of BITS classes."""
+    return np.packbits(np.bincount((mix64(hashes) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
 def _named(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, h, fp, name, n of every row."""
+    """doc_id, h, fp, name of every row."""
 
     def make():
         def run(table: pa.Table) -> pa.Table:
-            fps, names, sizes = [], [], []
+            fps, names = [], []
             for text in column(table, "text").to_pylist():
                 hashes = shingle_hashes(text, shingle)
                 fps.append(majority(hashes))
-                hashes = np.unique(hashes)
-                names.append(_name(hashes))
-                sizes.append(len(hashes))
-            return pa.table({"doc_id": table["doc_id"], "h": table["h"], "fp": np.array(fps, np.uint64).view(np.int64), "name": np.array(names, np.int64), "n": np.array(sizes, np.int32)})
-
-        return run
-
-    return map_batches(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, fp long, name long, n int")
-
-
-def _frequent(docs: DataFrame, total: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a sample, ascending, and their counts."""
-
-    def make():
-        def run(table: pa.Table) -> pa.Table:
-            sets = [_set(t, shingle) for t in column(table, "text").to_pylist()]
-            return pa.table({"key": np.concatenate(sets).view(np.int64)})
-
-        return run
-
-    share = min(1.0, SAMPLE_DOCS / max(1, total))
-    some = docs.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share)
-    found = map_batches(some, make, "key long").groupBy("key").count().where(F.col("count") >= FREQUENT).toArrow()
-    keys, counts = found["key"].to_numpy().view(np.uint64), found["count"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def _posted(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shingle: int) -> DataFrame:
-    """key, name, n, place: the prefix of each set."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def make():
-        keys, counts = shared.value
-
-        def run(table: pa.Table) -> pa.Table:
-            out: list[tuple] = []
-            for text in column(table, "text").to_pylist():
-                hashes = _set(text, shingle)
-                n = len(hashes)
-                rank = np.zeros(n, np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                    rank = np.where(keys[at] == hashes, counts[at], 0)
-                first = hashes[np.lexsort((hashes, rank))][: n + PART * -n // WHOLE + 1 if n else 0]
-                out.append((first, _name(hashes), n))
-            sizes = [len(f) for f, _, _ in out]
-            return pa.table(
-                {
-                    "key": np.concatenate([f for f, _, _ in out]).view(np.int64),
-                    "name": np.repeat(np.array([x for _, x, _ in out], np.int64), sizes),
-                    "n": np.repeat(np.array([n for _, _, n in out], np.int32), sizes),
-                    "place": np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]),
-                }
-            )
+                names.append(_name(np.unique(hashes)))
+            return pa.table({"doc_id": table["doc_id"], "h": table["h"], "fp": np.array(fps, np.uint64).view(np.int64), "name": np.array(names, np.int64)})
 
         return run
 
-    return map_batches(docs, make, "key long, name long, n int, place int")
-
-
-def list_pairs(name: np.ndarray, label: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one posting list."""
-    order = np.argsort(n, kind="stable")
-    name, label, n, rest = name[order], label[order], n[order].astype(np.int64), (n - place)[order].astype(np.int64)
+    return map_batches(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, fp long, name long")
+
+
+def prefix(hashes: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Places of a set's first hashes in the order of rank and hash, as many as a similar set must share one of."""
+    n = len(hashes)
+    return np.lexsort((hashes, rank))[: n - -(-PART * n // WHOLE) + 1 if n else 0]
+
+
+def _posted(docs: DataFrame, shingle: int) -> DataFrame:
+    """key, name, n, place, bits: the prefix of each set without the shingles that occur once in all documents."""
+    table = bl.write_blocks(docs)
+    buckets = max(24, -(-table.count() * KEYS_PER_BLOCK // bl.BUCKET_KEYS))
+
+    def sets(row: dict) -> dict[int, np.ndarray]:
+        out = {}
+        for text in column(bl.block_table(row["body"]), "text").to_pylist():
+            hashes = _set(text, shingle)
+            out[_name(hashes)] = hashes
+        return out
+
+    def send(row: dict) -> pa.Table | None:
+        return bl.key_rows(row["block"], np.concatenate(list(sets(row).values()))[:, None], buckets)
+
+    def post(row: dict) -> pa.Table | None:
+        own = sets(row)
+        flat = np.concatenate(list(own.values()))
+        ranks, at, out = bl.classes_of(flat[:, None], row["found"], buckets), 0, []
+        for name, hashes in own.items():
+            rank = ranks[at : at + len(hashes)]
+            at += len(hashes)
+            first = prefix(hashes, rank)
+            places = np.flatnonzero(rank[first])
+            if len(places):
+                out.append((hashes[first[places]], name, len(hashes), places, bitmap(hashes)))
+        sizes = [len(x[0]) for x in out]
+        if not out:
+            return None
+        bits = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(out)), sizes), pa.int32()), pa.array([x[4] for x in out], pa.binary()))
+        return pa.table(
+            {
+                "key": np.concatenate([x[0] for x in out]).view(np.int64),
+                "name": np.repeat(np.array([x[1] for x in out], np.int64), sizes),
+                "n": np.repeat(np.array([x[2] for x in out], np.int32), sizes),
+                "place": np.concatenate([x[3] for x in out]).astype(np.int32),
+                "bits": bits.cast(pa.binary()),
+            }
+        )
+
+    found = bl.classes(bl.map_blocks(table, send, bl.KEYS_SCHEMA))
+    posted = bl.map_blocks(table.join(found, "block", "left"), post, "key long, name long, n int, place int, bits binary")
+    # copies of a set are posted alike, so any of them will do
+    out = materialize(posted.groupBy("key", "name").agg(F.min("n").alias("n"), F.min("place").alias("place"), F.min("bits").alias("bits")), "posted")
+    discard(table)
+    return out
+
+
+def list_pairs(name: np.ndarray, label: np.ndarray, n: np.ndarray, place: np.ndarray, bits: np.ndarray, leaders: int = 0, salt: int = 0, tile: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of different labels of one posting list; bits is (entries, BITS / 8).
+
+    With leaders only pairs with one of the so many entries of least hashed name; with tile only pairs of two tiles.
+    """
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    if (label != label[0]).any():
-        stops = np.searchsorted(n, n * WHOLE // PART, "right")
-        for i in range(len(n) - 1):
-            j = np.arange(i + 1, stops[i])
+    if len(n) > 1 and (label != label[0]).any():
+        n, rest, words = n.astype(np.int64), (n - place).astype(np.int64), np.ascontiguousarray(bits).view(np.uint64)
+        order = np.argsort(mix64(name.view(np.uint64) + np.uint64(salt)), kind="stable")[:leaders] if leaders else np.argsort(n, kind="stable")
+        if not leaders:
+            name, label, n, rest, words = name[order], label[order], n[order], rest[order], words[order]
+            tile = None if tile is None else tile[order]
+            stops = np.searchsorted(n, n * WHOLE // PART, "right")
+        for i in order if leaders else range(len(n) - 1):
+            j = np.arange(len(n)) if leaders else np.arange(i + 1, stops[i])
             j = j[(label[j] != label[i]) & (np.minimum(rest[i], rest[j]) >= least_overlap(n[i], n[j]))]
+            if tile is not None:
+                j = j[tile[j] != tile[i]]
+            # the sets differ in at least as many shingles as their bitmaps do in bits
+            differ = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
+            j = j[(n[i] + n[j] - differ) // 2 >= least_overlap(n[i], n[j])]
             a.append(np.full(len(j), name[i]))
             b.append(name[j])
     return np.concatenate(a), np.concatenate(b)
 
 
-def _candidates(posted: DataFrame) -> DataFrame:
-    """a, b: candidate pairs of all posting lists; posted has key, name, label, n, place."""
+def _columns(table) -> list[np.ndarray]:
+    name, label, n, place = (column(table, c).to_numpy() for c in ("name", "label", "n", "place"))
+    bits = np.frombuffer(b"".join(column(table, "bits").to_pylist()), np.uint8).reshape(-1, BITS // 8)
+    return [name, label, n, place, bits]
+
+
+def _pairs_table(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _candidates(posted: DataFrame, labels: DataFrame, leaders: int, salt: int) -> DataFrame:
+    """a, b: candidate pairs of all posting lists with more than one label."""
     prepare(posted.sparkSession)
+    labelled = posted.join(labels, posted.name == labels.node, "left").select(*posted.columns, F.coalesce("root", "name").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    live = materialize(labelled.join(mixed.select("key", "size"), "key"), "live")
 
     def read(batches):
-        held: list[np.ndarray] = []
-
-        def pairs(cols: list[np.ndarray]):
-            keys = cols[0]
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            sizes = np.diff(np.append(starts, len(keys)))
-            i = starts[sizes == 2]
-            _, name, label, n, place = cols
-            n, place = n.astype(np.int64), place.astype(np.int64)
-            big, small = np.maximum(n[i], n[i + 1]), np.minimum(n[i], n[i + 1])
-            i = i[(label[i] != label[i + 1]) & (small * WHOLE >= big * PART) & (np.minimum(n[i] - place[i], n[i + 1] - place[i + 1]) >= least_overlap(n[i], n[i + 1]))]
-            a, b = [name[i]], [name[i + 1]]
-            for s, k in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                x, y = list_pairs(*(c[s : s + k] for c in (name, label, n, place)))
-                a.append(x)
-                b.append(y)
-            a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        """Whole lists: rows arrive sorted by key."""
+        held: list[pa.Table] = []
+
+        def pairs(table: pa.Table):
+            keys = column(table, "key").to_numpy()
+            cols = _columns(table)
+            bounds = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
+            found = [list_pairs(*(c[s:e] for c in cols), leaders, salt) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+            out = _pairs_table(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+            return out.combine_chunks().to_batches(max_chunksize=10_000)
 
-        whole: list[list[np.ndarray]] = []  # parts of the open list
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(5)]
             if not batch.num_rows:
                 continue
-            if whole and cols[0][-1] == whole[0][0][0]:
-                whole.append(cols)
-                continue
-            held = [np.concatenate(c) for c in zip(*whole, cols, strict=True)]
-            at = int(np.searchsorted(held[0], held[0][-1], "left"))
-            if at:
-                yield pairs([c[:at] for c in held])
-            whole = [[c[at:] for c in held]]
-        if whole:
-            yield pairs([np.concatenate(c) for c in zip(*whole, strict=True)])
+            keys = batch.column(0).to_numpy()
+            at = int(np.searchsorted(keys, keys[-1], "left"))
+            if at or held and held[0]["key"][0].as_py() != keys[0]:
+                yield from pairs(pa.concat_tables([*held, pa.Table.from_batches([batch.slice(0, at)])]))
+                held = []
+            held.append(pa.Table.from_batches([batch.slice(at)]))
+        if held:
+            yield from pairs(pa.concat_tables(held))
+
+    order = ("key", "name", "label", "n", "place", "bits")
+    short = live.where(F.col("size") <= LIST).select(*order).repartition("key").sortWithinPartitions("key").mapInArrow(read, "a long, b long")
+    long = live.where(F.col("size") > LIST).withColumn("tiles", F.ceil(F.col("size") / LIST).cast("int")).withColumn("tile", F.pmod(F.xxhash64("name"), "tiles").cast("int"))
+    if leaders:
+        # the least names of all, then each tile against them
+        rank = F.xxhash64("name", F.lit(salt))
+        first = long.groupBy("key").agg(F.min_by(F.struct(*order[1:]), rank).alias("lead")).select("key", "lead.*", F.lit(True).alias("lead"))
+        tiles = long.select("key", "tiles").distinct().select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+        dealt = long.select(*order, F.lit(False).alias("lead"), "tile").unionByName(first.join(tiles, "key"))
+
+        def of_tile(table):
+            cols, lead = _columns(table), column(table, "lead").to_numpy(zero_copy_only=False)
+            at = int(np.flatnonzero(lead)[0])
+            keep = ~lead
+            keep[at] = True
+            cols = [c[keep] for c in cols]
+            k = int(keep[:at].sum())
+            cols = [np.concatenate([c[k : k + 1], c[:k], c[k + 1 :]]) for c in cols]
+            a, b = [], []
+            for i in range(1, len(cols[0])):  # the leader against each
+                x, y = list_pairs(*(c[[0, i]] for c in cols))
+                a.append(x)
+                b.append(y)
+            none = [np.empty(0, np.int64)]
+            return _pairs_table(np.concatenate(none + a), np.concatenate(none + b))
 
-    dealt = posted.select("key", "name", "label", "n", "place").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(read, "a long, b long").distinct()
+        tiled = dealt.groupBy("key", "tile").applyInArrow(of_tile, "a long, b long")
+    else:
+        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+        dealt = long.withColumn("j", other).select(*order, "tile", F.least("tile", "j").alias("lo"), F.greatest("tile", "j").alias("hi"))
 
+        def of_tiles(table):
+            lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+            return _pairs_table(*list_pairs(*_columns(table), tile=None if lo == hi else column(table, "tile").to_numpy()))
 
-def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+        tiled = dealt.groupBy("key", "lo", "hi").applyInArrow(of_tiles, "a long, b long")
+    out = materialize(short.unionAll(tiled).distinct(), "pairs")
+    discard(live)
+    return out
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """Those pairs (a, b) of names that are similar, by the shingles of their texts."""
-    pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct()
-    wanted = materialize(entries.join(wanted, "name", "left_semi").select("name", F.col("first.doc_id").alias("id"), F.col("first.h").alias("h")), "wanted")
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.id) & (docs.h == wanted.h)).select("name", "text").dropDuplicates(["name"])
-    texts = materialize(texts, "texts")
     both = pairs.join(texts.select(F.col("name").alias("a"), "text"), "a").join(texts.select(F.col("name").alias("b"), F.col("text").alias("other")), "b")
 
     def make():
-        def run(table: pa.Table) -> pa.Table:
-            sets: dict[str, np.ndarray] = {}
-
-            def of(text: str) -> np.ndarray:
-                if text not in sets:
-                    sets[text] = _set(text, shingle)
-                return sets[text]
+        of = functools.lru_cache(2_000)(lambda text: _set(text, shingle))
 
+        def run(table: pa.Table) -> pa.Table:
             keep = [similar(of(x), of(y)) for x, y in zip(column(table, "text").to_pylist(), column(table, "other").to_pylist(), strict=True)]
             return table.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -216,12 +272,19 @@ def similar_rows(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     x, y = (leads.select(F.col("fp").alias(c), F.col("lead").alias(f"lead_{c}")) for c in "ab")
     near = found.join(x, "a").join(y, "b").select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b")).distinct()
     same = entries.join(leads, "fp").where("name <> lead").select(F.least("name", "lead").alias("a"), F.greatest("name", "lead").alias("b"))
-    sure = _verified(near.unionAll(same), entries, docs, shingle)
-    labels = components(sure)
-    posted = _posted(docs, _frequent(docs, rows.count(), shingle), shingle).distinct()
-    posted = posted.join(labels, posted.name == labels.node, "left").withColumn("label", F.coalesce("root", "name"))
-    more = _verified(_candidates(posted), entries, docs, shingle)
-    roots = components(sure.unionAll(more))
+    near = materialize(near.unionAll(same), "near")
+    posted = _posted(docs, shingle)
+    # the texts of all that may have a partner, fetched once
+    twice = posted.groupBy("key").count().where("count > 1").select("key")
+    posted = materialize(posted.join(twice, "key"), "lists")
+    wanted = posted.select("name").unionAll(near.select("a")).unionAll(near.select("b")).distinct()
+    wanted = entries.join(wanted, "name", "left_semi").select("name", F.col("first.doc_id").alias("id"), F.col("first.h").alias("h"))
+    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.id) & (docs.h == wanted.h)).select("name", "text")
+    texts = materialize(texts.groupBy("name").agg(F.min("text").alias("text")), "texts")
+    sure = _verified(near, texts, shingle)
+    for salt, leaders in enumerate([*LEADERS, 0]):
+        sure = materialize(sure.unionAll(_verified(_candidates(posted, components(sure), leaders, salt), texts, shingle)), "sure")
+    roots = components(sure)
     joined = entries.join(roots, entries.name == roots.node, "left").select("name", "first", F.coalesce("root", "name").alias("root"))
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
     ids = materialize(joined.join(least, "root").select("name", "least"), "ids")

@@ -3,8 +3,8 @@
 1. Documents are put into blocks (``blocks``), and each is recompressed (``recompression``): rounds name runs and pairs by hashes,
    the same for equal substrings wherever they stand. Every window of ``window`` words is anchored at the high-level
    symbol of least hash among those that follow from the window's own words. So windows whose anchor occurs once are unique.
-2. Windows with a shared anchor, and those that hold no whole symbol (inside long runs), are verified: a hash of all
-   their words is searched for among all such windows. The hash has 64 bits; no window is judged by its anchor alone.
+2. Windows with a shared anchor, and those that hold no whole symbol (inside long runs), are verified: two independent hashes
+   of all their words, 128 bits, are searched for among all such windows. No window is judged by its anchor alone.
 3. Words of windows that occur twice, in one document or in two, are removed.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text, unchanged. Null texts count as empty; documents of fewer words than the window
@@ -30,25 +30,28 @@ WINDOW = 35
 #: Words that an anchor stands for and keys of candidate windows a word, for the number of buckets.
 WORDS_PER_BLOCK = bl.BLOCK_BYTES // 6
 
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
-@functools.lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@functools.lru_cache(4)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base to the powers 0 to n - 1 modulo 2**64, and their inverses."""
-    base = np.full(n, _BASE, np.uint64)
-    inverse = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    base[:1] = inverse[:1] = 1
-    return np.cumprod(base, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
+    powers = np.full(n, base, np.uint64)
+    inverse = np.full(n, pow(base, -1, 1 << 64), np.uint64)
+    powers[:1] = inverse[:1] = 1
+    return np.cumprod(powers, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
 
 
 def window_keys(hashes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """A hash of the words of each window."""
+    """Two hashes of the words of each window, of two bases over differently mixed words: (n, 2)."""
     n = 1 << max(10, int(len(hashes)).bit_length())
-    powers, inverses = _powers(n)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers[: len(hashes)], out=sums[1:])
-    return mix64((sums[starts + window] - sums[starts]) * inverses[starts])
+    out = np.empty((len(starts), 2), np.uint64)
+    for k, base in enumerate(_BASES):
+        powers, inverses = _powers(base, n)
+        sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum((mix64(hashes + np.uint64(0x632BE59BD9B4E019)) if k else hashes) * powers[: len(hashes)], out=sums[1:])
+        out[:, k] = mix64((sums[starts + window] - sums[starts]) * inverses[starts])
+    return out
 
 
 class Block:
@@ -78,7 +81,7 @@ class Block:
 def _candidates(block: Block, found: list | None, buckets: int) -> np.ndarray:
     """Which windows may occur twice: their anchor is shared, or they have none."""
     names, own = block.anchors()
-    shared = np.append(bl.shared_of(names, found, buckets), True)
+    shared = np.append(bl.classes_of(names[:, None], found, buckets) > 0, True)
     return shared[own]
 
 
@@ -96,7 +99,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
 
     def send_anchors(row: dict) -> pa.Table | None:
         names, _ = Block(row["body"], window).anchors()
-        return bl.key_rows(row["block"], names, buckets)
+        return bl.key_rows(row["block"], names[:, None], buckets)
 
     def send_windows(row: dict) -> pa.Table | None:
         block = Block(row["body"], window)
@@ -104,7 +107,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
         keys = window_keys(block.hashes, block.starts[marked], window)
         sent = bl.key_rows(row["block"], keys, more)
         # bucket -1 keeps for the last pass which windows these were
-        own = pa.table([pa.array([-1], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([b""], pa.binary()), pa.array([np.packbits(marked).tobytes()], pa.binary())], ["bucket", "block", "keys", "twice"])
+        own = pa.table([pa.array([-1], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([b""], pa.binary()), pa.array([np.packbits(marked).tobytes()], pa.binary())], ["bucket", "block", "keys", "counts"])
         return own if sent is None else pa.concat_tables([own, sent])
 
     def finish(row: dict) -> pa.Table:
@@ -113,7 +116,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
         if row["marked"] is not None:
             marked = np.flatnonzero(np.unpackbits(np.frombuffer(row["marked"], np.uint8), count=len(block.starts)))
             starts = block.starts[marked]
-            starts = starts[bl.shared_of(window_keys(block.hashes, starts, window), row["found"], more)]
+            starts = starts[bl.classes_of(window_keys(block.hashes, starts, window), row["found"], more) > 0]
             np.add.at(drop, starts, 1)
             np.add.at(drop, starts + window, -1)
         keep = np.cumsum(drop[:-1]) == 0
@@ -127,10 +130,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
             texts.append(b" ".join(words if not n else compress(words, keep[a:b].tolist())).decode())
         return pa.table(carried(block.table, names) | {"n_words": block.sizes, "n_removed": removed, "text": pa.array(texts, pa.string())})
 
-    anchors = bl.shared_bits(bl.map_blocks(table, send_anchors, bl.KEYS_SCHEMA))
+    anchors = bl.classes(bl.map_blocks(table, send_anchors, bl.KEYS_SCHEMA))
     sent = materialize(bl.map_blocks(table.join(anchors, "block", "left"), send_windows, bl.KEYS_SCHEMA), "windows", "none")
-    marked = sent.where("bucket < 0").select("block", F.col("twice").alias("marked"))
-    windows = bl.shared_bits(sent.where("bucket >= 0"))
+    marked = sent.where("bucket < 0").select("block", F.col("counts").alias("marked"))
+    windows = bl.classes(sent.where("bucket >= 0"), 2)
     return bl.map_blocks(table.join(marked, "block", "left").join(windows, "block", "left"), finish, f"{typed(docs, names)}n_words long, n_removed long, text string")
 
 
