@@ -6,7 +6,8 @@ table goes through all stages.
 
 1. language_id: documents whose language is rejected go; models learn from the rows outside the held-out fold.
 2. near_dedup: of each component of texts whose five-word shingles have a Jaccard similarity of at least 0.8 the document of
-   least doc_id stays.
+   least doc_id stays. A row without doc_id is one like others and comes after those that have one. Where different texts have one
+   doc_id each is judged by itself; of rows with one doc_id and one text one stays, the least in lang, source and n_chars.
 3. substring_dedup: windows of words that also start elsewhere are cut; texts that lose nothing stay as they are.
 4. pii: personal values become pseudonyms.
 5. packing: pieces of token ids with their places in sequences of at most 2048.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import language_id, packing, pseudonyms, shingle_join, substring_dedup
-from tidewell.llm.common import scratch, shared_dir
+from tidewell.llm.common import materialize, scratch, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 CARRIED = ("lang", "source")
@@ -28,13 +29,6 @@ CARRIED = ("lang", "source")
 SHINGLE = 5
 
 
-def _one_each(docs: DataFrame) -> DataFrame:
-    """One row of each doc_id; texts are shuffled only if some id repeats."""
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs
-    return docs.dropDuplicates(["doc_id"])
-
-
 def _columns(docs: DataFrame) -> DataFrame:
     """The columns of documents, with the length of the text as it now is."""
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -46,8 +40,15 @@ def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = shingle_join.similar_rows(docs, SHINGLE).where("doc_id = least.doc_id").select("doc_id").distinct()
-    return _one_each(docs.join(kept, "doc_id", "left_semi").select(*COLUMNS))
+    first = shingle_join.similar_rows(docs, SHINGLE).where("doc_id <=> least.doc_id AND h = least.h")
+    first = materialize(first.groupBy(F.col("doc_id").alias("id"), "h").agg(F.count("*").alias("rows")), "kept")
+    keyed = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = keyed.join(first, keyed.doc_id.eqNullSafe(first.id) & (keyed.h == first.h)).select(*COLUMNS, first.h.alias("h"), "rows")
+    if first.where("rows > 1").isEmpty():
+        return kept.select(*COLUMNS)
+    # rows of one id and one text: the one that is least in its other columns
+    again = kept.where("rows > 1").groupBy("doc_id", "h").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("r"))
+    return kept.where("rows = 1").select(*COLUMNS).unionByName(again.select("doc_id", "r.*"))
 
 
 def stage_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
