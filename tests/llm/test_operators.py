@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -116,6 +117,49 @@ def test_next_document(spark):
     assert multiset_hash.with_next(df.where("false"), ["text"]).count() == 0
 
 
+def test_next_of_a_repeated_id(spark):
+    """Rows of one id are split over ranges like others, and texts of any id type have their order."""
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).cast("string").alias("doc_id"), F.format_string("%05d", "id").alias("text")).repartition(5)
+    got = {r.text: r.next_text for r in multiset_hash.with_next(rows, ["text"]).collect()}
+    order = [r.text for r in rows.orderBy("doc_id", "text").collect()]
+    assert got == dict(zip(order, [*order[1:], order[0]], strict=True))
+
+
+def test_likeness_brute_force(spark, texts):
+    """The registered fingerprints and likenesses against plain Python sums of the same hashes."""
+    some = [*texts[:40], "", "one. two. one.", "a\nb\na"]
+    split = re.compile(multiset_hash.PARAGRAPH_END)
+    paragraphs = [[p for p in split.split(t) if p] for t in some]
+    flat = sorted({p for ps in paragraphs for p in ps})
+    hashed = {r.p: (r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in spark.createDataFrame([(p,) for p in flat], "p string").select("p", F.xxhash64("p").alias("a"), F.xxhash64(F.lit("second"), "p").alias("b")).collect()}
+
+    def counts(ps):
+        return np.array([2 * sum(hashed[p][h] >> j & 1 for p in ps) - len(ps) for h in (0, 1) for j in (*range(30), *range(31, 61))], float)
+
+    df = multiset_hash.with_vector(frame(spark, some).select("doc_id", "text"), "text", "vector")
+    df = multiset_hash.with_counts(df, "vector", "counts").select("doc_id", "vector", "counts", multiset_hash.fingerprint_of(F.col("vector")).alias("fp"))
+    other = df.where("doc_id = 1").select(F.col("vector").alias("v"), F.col("counts").alias("c"))
+    out = {r.doc_id: r for r in df.join(F.broadcast(other)).select("*", multiset_hash.likeness(F.col("vector"), F.col("v"), F.col("counts"), F.col("c")).alias("near")).collect()}
+    base = counts(paragraphs[1])
+    for k, ps in enumerate(paragraphs):
+        mine = counts(ps)
+        assert out[k].vector[0] == len(ps) and sorted(out[k].counts) == sorted(mine)
+        assert out[k].vector[1:3] == [sum(hashed[p][0] & 0xFFFFFFFF for p in ps) & 0xFFFFFFFF, sum(hashed[p][0] >> 32 for p in ps) & 0xFFFFFFFF]
+        squares = mine @ mine + base @ base
+        want = 1.0 if sorted(ps) == sorted(paragraphs[1]) else 0.0 if not squares else min(1.0, max(0.0, 2 * (mine @ base) / squares))
+        assert out[k].near == pytest.approx(want, abs=1e-9)
+    assert len({(out[k].fp) for k in range(len(some))}) == len({tuple(sorted(ps)) for ps in paragraphs})
+
+
+def test_many_paragraphs(spark):
+    """Counts over a million do not run into each other."""
+    n = 1_100_000
+    r = multiset_hash.fingerprint_documents(frame(spark, ["x\n" * n])).first()
+    one = multiset_hash.fingerprint_documents(frame(spark, ["x"])).first()
+    masks = [(1 << 32) - 1] * 5 + [(1 << 62) - 1] * 60
+    assert [a * n & m for a, m in zip(one.vector, masks, strict=True)] == r.vector
+
+
 def test_fingerprints_odd(spark):
     out = multiset_hash.fingerprint_documents(frame(spark, ODD)).collect()
     assert len(out) == len(ODD) and len({r.fingerprint for r in out if not ODD[r.doc_id]}) == 1

@@ -5,7 +5,8 @@ modulo a power of two. So the order of paragraphs does not matter, and a paragra
 subtracting its vector (``add_vectors``, ``subtract_vectors``) without the rest of the text. The elements are:
 
 * one count of paragraphs and four words of two 64-bit hashes, modulo 2**32: 128 uniform bits that tell multisets apart;
-* ``3 * SHIFTS`` bits of each hash, three to an element of 60 bits, each in a field of 20 bits: counts of set bits.
+* ``2 * SHIFTS`` bits of each hash, two to an element of 62 bits, each in a field of 31 bits: counts of set bits. A text has at
+  most 2**31 bytes, so fewer than 2**30 paragraphs, and no count reaches the next field.
 
 The counts, read as sums of +1 and -1, are a random projection of the multiset, so the inner product of two documents'
 counts estimates how many paragraphs they share. ``likeness`` is twice that product over the sum of both squares, cut to 0 to 1;
@@ -21,15 +22,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.llm.common import documents, inputs
+from tidewell.llm.common import documents, inputs, materialize
 
 PARAGRAPH_END = r"[\r\n]+|(?<=[.!?])[ \t]+"
-SHIFTS, FIELD = 20, 20
-_BITS = 1 | 1 << FIELD | 1 << 2 * FIELD
-_WORD, _ELEMENT, _COUNT = (1 << 32) - 1, (1 << 3 * FIELD) - 1, (1 << FIELD) - 1
+SHIFTS, FIELD = 30, 31
+_BITS = 1 | 1 << FIELD
+_WORD, _ELEMENT, _COUNT = (1 << 32) - 1, (1 << 2 * FIELD) - 1, (1 << FIELD) - 1
 
-#: Rows of one range of ids, about, and ranges at most (their bounds are kept on the driver).
-RANGE_ROWS, RANGES = 200, 16_384
+#: Rows of one range of the order, about; there are as many ranges as that takes.
+RANGE_ROWS = 20_000
+#: Characters of a text that settle the order of rows with one id before its hash does.
+TIE_CHARS = 64
 
 
 def _sum(hashes: str, part: str, modulus_mask: int) -> str:
@@ -66,12 +69,12 @@ def subtract_vectors(a: Column, b: Column) -> Column:
 
 def fingerprint_of(vector: Column) -> Column:
     """The vector as lowercase hexadecimal digits."""
-    return F.lower(F.array_join(F.transform(vector, lambda x, i: F.when(i < 5, F.lpad(F.hex(x), 8, "0")).otherwise(F.lpad(F.hex(x), 15, "0"))), ""))
+    return F.lower(F.array_join(F.transform(vector, lambda x, i: F.when(i < 5, F.lpad(F.hex(x), 8, "0")).otherwise(F.lpad(F.hex(x), 16, "0"))), ""))
 
 
 def with_counts(df: DataFrame, vector: str, counts: str) -> DataFrame:
     """Adds the centred counts of set bits: twice the count less the number of paragraphs."""
-    fields = [f"(shiftright(`{vector}`[{i}], {FIELD * k}) & {_COUNT}L) * 2 - `{vector}`[0]" for i in range(5, 5 + 2 * SHIFTS) for k in range(3)]
+    fields = [f"(shiftright(`{vector}`[{i}], {FIELD * k}) & {_COUNT}L) * 2 - `{vector}`[0]" for i in range(5, 5 + 2 * SHIFTS) for k in range(2)]
     return df.withColumn(counts, F.expr(f"array({', '.join(fields)})"))
 
 
@@ -90,53 +93,36 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return with_vector(inputs(docs, id_col, text_col), "text", "vector").select("doc_id", "vector", fingerprint_of(F.col("vector")).alias("fingerprint"))
 
 
-def _range_of(doc_id: str, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are at most doc_id, found in two steps."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    cut = [bounds[k : k + step] for k in range(0, len(bounds), step)]
-    heads, rests = ("array(" + ", ".join(x) + ")" for x in ([f"{c[0]}L" for c in cut], ["array(" + ", ".join(f"{x}L" for x in c) + ")" for c in cut]))
-    at = f"size(filter({heads}, x -> x <= {doc_id}))"
-    inside = f"size(filter(element_at({rests}, greatest({at}, 1)), x -> x <= {doc_id}))"
-    return F.expr(f"CASE WHEN {doc_id} IS NULL OR {at} = 0 THEN 0 ELSE ({at} - 1) * {step} + {inside} END")
-
-
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """Adds next_<column> of the next row by ascending doc_id (ties: by text; null ids first; after the last row: the first).
+    """Adds next_<column> of the next row by ascending doc_id (null ids first; after the last row: the first).
 
-    Rows are dealt to ranges of ids with about equal counts, and each range gets a copy of the row that follows it. So texts are
-    shuffled once and no task sees all rows. The bounds, at most ``RANGES`` numbers, come from approximate percentiles.
+    Rows of one id follow each other by the first ``TIE_CHARS`` characters of their texts and then by a hash of all of it, so rows
+    of a repeated id are split like others. Spark deals the rows to ranges of that order, which are written to the shared folder
+    with their number; each range then gets a copy of the row that follows it. The copies are found among one row a range.
     """
-    ids = docs.agg(F.count("*").alias("n")).first()
-    n_ranges = max(1, min(RANGES, -(-ids.n // RANGE_ROWS)))
-    bounds: list[int] = []
-    if n_ranges > 1:
-        shares = [k / n_ranges for k in range(1, n_ranges)]
-        found = docs.agg(F.percentile_approx("doc_id", shares, 100_000).alias("q")).first().q
-        bounds = sorted(set(found or []))
-    ranged = docs.withColumn("range", _range_of("doc_id", bounds))
-    # the least id of each range that has rows, then that row itself
-    least = {r["range"]: r.least for r in ranged.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("least")).collect()}
-    used = sorted(least)
-    if not used:
-        return docs.select("*", *[F.lit(None).cast(docs.schema[c].dataType).alias(f"next_{c}") for c in carried])
-    before = {r: used[k - 1] for k, r in enumerate(used)}
-    some_null = None in least.values()
-    firsts = ranged.where(F.col("doc_id").isin([x for x in least.values() if x is not None]) | (F.col("doc_id").isNull() if some_null else F.lit(False)))
-    mapping = F.expr(f"map({', '.join(f'{r}, {before[r]}' for r in used)})")
-    keyed = F.struct(F.col("doc_id").isNotNull().alias("given"), "doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row")
-    copies = firsts.groupBy("range").agg(F.min(keyed).alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns], mapping[F.col("range")].alias("range"), F.lit(True).alias("copy"))
-    every = ranged.withColumn("copy", F.lit(False)).unionByName(copies)
+    spark = docs.sparkSession
+    order = ["doc_id", "__head", "__hash"]
+    keyed = docs.withColumns({"__head": F.substring("text", 1, TIE_CHARS), "__hash": F.xxhash64("text")})
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_ROWS))
+    ranged = materialize(keyed.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    key = F.struct(F.col("doc_id").isNotNull().alias("given"), *order)
+    # the least key of each range from narrow rows, then the rows that have it (equal ones: any)
+    least = ranged.groupBy("__range").agg(F.min(key).alias("__key")).select("__key", F.col("__range").alias("__at"))
+    firsts = ranged.join(least, (F.col("__range") == F.col("__at")) & (key == F.col("__key"))).groupBy("__range").agg(F.first(F.struct(*docs.columns, "__head", "__hash")).alias("row"))
+    # one row a range: the range before it, or the last one for the first
+    near = Window.orderBy("__range")
+    every = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    copies = firsts.select("row.*", F.coalesce(F.lag("__range").over(near), F.max("__range").over(every)).alias("__range"), F.lit(True).alias("__copy"))
     # a stated number of partitions: what follows costs more than its bytes tell, so they must not be coalesced by size
-    every = every.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "range")
-    w = Window.partitionBy("range").orderBy("copy", F.asc_nulls_first("doc_id"), "text")
-    return every.select(*docs.columns, "copy", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried]).where("not copy").drop("copy")
+    both = ranged.withColumn("__copy", F.lit(False)).unionByName(copies).repartition(ranges, "__range")
+    w = Window.partitionBy("__range").orderBy("__copy", F.asc_nulls_first("doc_id"), "__head", "__hash")
+    out = both.select(*docs.columns, "__copy", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried])
+    return out.where("NOT __copy").drop("__copy")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness to each other and to the next document's."""
-    docs = inputs(documents(spark, sf_dir)).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = inputs(documents(spark, sf_dir))
     df = with_next(with_vector(docs, "text", "vector"), ["text", "vector"])
     df = df.select("doc_id", "vector", "next_vector", F.length("text").cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 4) as int))")).alias("edited"))
     df = with_vector(df, "edited", "edited_vector")
