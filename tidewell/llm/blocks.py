@@ -95,13 +95,16 @@ def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return ordered[new], inverse, np.diff(np.append(np.flatnonzero(new), n))
 
 
-def planes(keys: np.ndarray) -> bytes:
-    """Ascending keys byte plane by byte plane, so that what they share compresses."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(len(keys), -1).T[::-1]).tobytes()
+def planes(keys: np.ndarray, width: int) -> bytes:
+    """Ascending keys (n, k) byte plane by byte plane, so that what neighbours share compresses; the first ``width`` bytes of each."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(len(keys), -1)[:, :width].T[::-1]).tobytes()
 
 
 def from_planes(data: bytes, width: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8 * width, -1)[::-1].T).view("<u8")
+    rows = np.frombuffer(data, np.uint8).reshape(width, -1)[::-1]
+    out = np.zeros((rows.shape[1], -(-width // 8) * 8), np.uint8)
+    out[:, :width] = rows.T
+    return out.view("<u8")
 
 
 KEYS_SCHEMA = "bucket int, block long, keys binary, counts binary"
@@ -109,8 +112,8 @@ KEYS_SCHEMA = "bucket int, block long, keys binary, counts binary"
 MOST = 15
 
 
-def key_rows(block: int, keys: np.ndarray, buckets: int) -> pa.Table | None:
-    """The rows that a block sends: its distinct keys (n, width) by bucket, and how often it has each (up to 255)."""
+def key_rows(block: int, keys: np.ndarray, buckets: int, width: int = 8) -> pa.Table | None:
+    """The rows that a block sends: its distinct keys (n, k) of ``width`` bytes by bucket, and how often it has each (up to 255)."""
     if not len(keys):
         return None
     distinct, _, counts = distinct_keys(keys)
@@ -118,7 +121,7 @@ def key_rows(block: int, keys: np.ndarray, buckets: int) -> pa.Table | None:
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     ends = np.append(starts[1:], len(bucket))
     counts = np.minimum(counts, 255).astype(np.uint8)
-    parts = [(planes(distinct[a:b]), counts[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    parts = [(planes(distinct[a:b], width), counts[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
     return pa.table([pa.array(bucket[starts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], ["bucket", "block", "keys", "counts"])
 
 
@@ -132,7 +135,7 @@ def _from_nibbles(data: bytes, n: int) -> np.ndarray:
     return np.stack([packed & 15, packed >> 4], axis=1).ravel()[:n]
 
 
-def classes(sent: DataFrame, width: int = 1) -> DataFrame:
+def classes(sent: DataFrame, width: int = 8) -> DataFrame:
     """For each block, its buckets and the classes of its keys in their order: block, found array<struct<bucket, classes>>."""
 
     def judge(key, table):

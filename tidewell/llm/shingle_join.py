@@ -10,9 +10,10 @@ No SimHash distance guarantees that, so it only joins groups of near copies firs
 3. A posting list is of interest while its entries have different labels. A pair of it is a candidate only if sizes, what remains behind
    the shared shingle, and the bitmaps of both sets still allow the overlap that is needed. The bitmap holds the parities of the
    shingles in ``BITS`` classes: two sets differ in at least as many shingles as their bitmaps do in bits.
-4. Candidates are verified by their texts in rounds. The first rounds pair the entries of a list only with ``LEADERS`` of it, the same in most
-   lists of a group, so that groups of near copies join without all their pairs; the last one takes all candidates
-   whose labels still differ. Only bounds that hold for every similar pair drop any, so no link is lost.
+4. Candidates are verified by their texts in rounds. In each of the first ``ROUNDS`` a set is paired with at most ``LEADERS`` others:
+   for each of so many salts with the one of least salted name among the leaders of its lists, a list's leader being its set of least salted name.
+   So groups of near copies join by links in proportion to their sets. The last round takes all candidates whose labels still
+   differ. Only bounds that hold for every similar pair drop any in it, so no link is lost.
 
 A set has a 64-bit name and shingles 64-bit hashes; collisions are not looked for. Texts without words (or null) are one entry.
 A row is known by its id and the hash of its text, so null and repeated ids are rows like others. Lists of over ``LIST`` entries
@@ -35,8 +36,8 @@ from tidewell.llm.simhash import links, majority, shingle_hashes
 
 #: The least similarity as a fraction: bounds stay whole numbers.
 PART, WHOLE = 4, 5
-#: Bits of a set's bitmap; entries of a list that the others are paired with in each of the first rounds; entries of a tile.
-BITS, LEADERS, LIST = 512, (1, 4), 4_000
+#: Bits of a set's bitmap; rounds of leaders, and leaders that a set is paired with in one; entries of a tile.
+BITS, ROUNDS, LEADERS, LIST = 512, 3, 4, 4_000
 #: Distinct shingles of a block, about, for the number of buckets.
 KEYS_PER_BLOCK = bl.BLOCK_BYTES // 6
 
@@ -58,9 +59,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return len(np.intersect1d(a, b, assume_unique=True)) >= least_overlap(len(a), len(b))
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """The parity of the set's hashes in each of BITS classes."""
-    return np.packbits(np.bincount((mix64(hashes) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """The parity of the set's hashes in each of BITS classes, as signed 64-bit words."""
+    return np.packbits(np.bincount((mix64(hashes) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).view(np.int64)
 
 
 def _named(docs: DataFrame, shingle: int) -> DataFrame:
@@ -87,7 +88,10 @@ def prefix(hashes: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def _posted(docs: DataFrame, shingle: int) -> DataFrame:
-    """key, name, n, place, bits: the prefix of each set without the shingles that occur once in all documents."""
+    """key, name, n, place: the prefix of each set without the shingles that occur once in all documents.
+
+    Each set has one more row, without key and place, with its bitmap in bits.
+    """
     table = bl.write_blocks(docs)
     buckets = max(24, -(-table.count() * KEYS_PER_BLOCK // bl.BUCKET_KEYS))
 
@@ -103,79 +107,80 @@ def _posted(docs: DataFrame, shingle: int) -> DataFrame:
 
     def post(row: dict) -> pa.Table | None:
         own = sets(row)
-        flat = np.concatenate(list(own.values()))
-        ranks, at, out = bl.classes_of(flat[:, None], row["found"], buckets), 0, []
+        ranks, at, out = bl.classes_of(np.concatenate(list(own.values()))[:, None], row["found"], buckets), 0, []
         for name, hashes in own.items():
             rank = ranks[at : at + len(hashes)]
             at += len(hashes)
             first = prefix(hashes, rank)
             places = np.flatnonzero(rank[first])
             if len(places):
-                out.append((hashes[first[places]], name, len(hashes), places, bitmap(hashes)))
-        sizes = [len(x[0]) for x in out]
+                out.append((hashes[first[places]].view(np.int64), name, len(hashes), places, bitmap(hashes)))
         if not out:
             return None
-        bits = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(out)), sizes), pa.int32()), pa.array([x[4] for x in out], pa.binary()))
-        return pa.table(
-            {
-                "key": np.concatenate([x[0] for x in out]).view(np.int64),
-                "name": np.repeat(np.array([x[1] for x in out], np.int64), sizes),
-                "n": np.repeat(np.array([x[2] for x in out], np.int32), sizes),
-                "place": np.concatenate([x[3] for x in out]).astype(np.int32),
-                "bits": bits.cast(pa.binary()),
-            }
-        )
+        sizes = [len(x[0]) for x in out]
+        names, n = np.array([x[1] for x in out], np.int64), np.array([x[2] for x in out], np.int32)
+        lists = pa.table({"key": np.concatenate([x[0] for x in out]), "name": np.repeat(names, sizes), "n": np.repeat(n, sizes), "place": np.concatenate([x[3] for x in out]).astype(np.int32), "bits": pa.nulls(sum(sizes), pa.list_(pa.int64()))})
+        return pa.concat_tables([lists, pa.table({"key": pa.nulls(len(out), pa.int64()), "name": names, "n": n, "place": pa.nulls(len(out), pa.int32()), "bits": pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * (BITS // 64), np.concatenate([x[4] for x in out]))})])
 
     found = bl.classes(bl.map_blocks(table, send, bl.KEYS_SCHEMA))
-    posted = bl.map_blocks(table.join(found, "block", "left"), post, "key long, name long, n int, place int, bits binary")
-    # copies of a set are posted alike, so any of them will do
-    out = materialize(posted.groupBy("key", "name").agg(F.min("n").alias("n"), F.min("place").alias("place"), F.min("bits").alias("bits")), "posted")
+    out = materialize(bl.map_blocks(table.join(found, "block", "left"), post, "key long, name long, n int, place int, bits array<long>"), "posted")
     discard(table)
     return out
 
 
-def list_pairs(name: np.ndarray, label: np.ndarray, n: np.ndarray, place: np.ndarray, bits: np.ndarray, leaders: int = 0, salt: int = 0, tile: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of different labels of one posting list; bits is (entries, BITS / 8).
+def possible(n_a, n_b, rest_a, rest_b):
+    """Whether sets of n shingles, of which ``rest`` lie from the shared one on, may share enough; on numbers, arrays or columns."""
+    return (WHOLE * n_a >= PART * n_b) & (WHOLE * n_b >= PART * n_a) & ((PART + WHOLE) * rest_a >= PART * (n_a + n_b)) & ((PART + WHOLE) * rest_b >= PART * (n_a + n_b))
 
-    With leaders only pairs with one of the so many entries of least hashed name; with tile only pairs of two tiles.
-    """
+
+def list_pairs(name: np.ndarray, label: np.ndarray, n: np.ndarray, place: np.ndarray, tile: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of different labels of one posting list; with tile only pairs of two tiles."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     if len(n) > 1 and (label != label[0]).any():
-        n, rest, words = n.astype(np.int64), (n - place).astype(np.int64), np.ascontiguousarray(bits).view(np.uint64)
-        order = np.argsort(mix64(name.view(np.uint64) + np.uint64(salt)), kind="stable")[:leaders] if leaders else np.argsort(n, kind="stable")
-        if not leaders:
-            name, label, n, rest, words = name[order], label[order], n[order], rest[order], words[order]
-            tile = None if tile is None else tile[order]
-            stops = np.searchsorted(n, n * WHOLE // PART, "right")
-        for i in order if leaders else range(len(n) - 1):
-            j = np.arange(len(n)) if leaders else np.arange(i + 1, stops[i])
-            j = j[(label[j] != label[i]) & (np.minimum(rest[i], rest[j]) >= least_overlap(n[i], n[j]))]
+        order = np.argsort(n, kind="stable")
+        name, label, n, rest = name[order], label[order], n[order].astype(np.int64), (n - place)[order].astype(np.int64)
+        tile = None if tile is None else tile[order]
+        stops = np.searchsorted(n, n * WHOLE // PART, "right")
+        for i in range(len(n) - 1):
+            j = np.arange(i + 1, stops[i])
+            j = j[(label[j] != label[i]) & possible(n[i], n[j], rest[i], rest[j])]
             if tile is not None:
                 j = j[tile[j] != tile[i]]
-            # the sets differ in at least as many shingles as their bitmaps do in bits
-            differ = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
-            j = j[(n[i] + n[j] - differ) // 2 >= least_overlap(n[i], n[j])]
             a.append(np.full(len(j), name[i]))
             b.append(name[j])
     return np.concatenate(a), np.concatenate(b)
 
 
 def _columns(table) -> list[np.ndarray]:
-    name, label, n, place = (column(table, c).to_numpy() for c in ("name", "label", "n", "place"))
-    bits = np.frombuffer(b"".join(column(table, "bits").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-    return [name, label, n, place, bits]
+    return [column(table, c).to_numpy() for c in ("name", "label", "n", "place")]
 
 
 def _pairs_table(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _candidates(posted: DataFrame, labels: DataFrame, leaders: int, salt: int) -> DataFrame:
-    """a, b: candidate pairs of all posting lists with more than one label."""
-    prepare(posted.sparkSession)
-    labelled = posted.join(labels, posted.name == labels.node, "left").select(*posted.columns, F.coalesce("root", "name").alias("label"))
+def _live(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The posting lists whose entries have different labels, with size: a table in the shared folder."""
+    labelled = lists.join(labels, lists.name == labels.node, "left").select(*lists.columns, F.coalesce("root", "name").alias("label"))
     mixed = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
-    live = materialize(labelled.join(mixed.select("key", "size"), "key"), "live")
+    return materialize(labelled.join(mixed.select("key", "size"), "key"), "live")
+
+
+def _proposed(live: DataFrame, salt: int) -> DataFrame:
+    """a, b: each set with at most LEADERS others, one a salt."""
+    salts = range(salt * LEADERS, (salt + 1) * LEADERS)
+    lead = [F.min(F.struct(F.xxhash64("name", F.lit(k)).alias("rank"), "name", "label", "n", "place")).alias(f"l{k}") for k in salts]
+    led = live.groupBy("key").agg(*lead)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("salt"), F.col(f"l{k}").alias("l")) for k in salts])).alias("x")
+    met = live.join(led.select("key", each), "key").where("label <> x.l.label")
+    met = met.where(possible(F.col("n"), F.col("x.l.n"), F.col("n") - F.col("place"), F.col("x.l.n") - F.col("x.l.place")))
+    best = met.groupBy("name", F.col("x.salt").alias("salt")).agg(F.min(F.struct("x.l.rank", "x.l.name")).alias("best"))
+    return best.select(F.least("name", "best.name").alias("a"), F.greatest("name", "best.name").alias("b"))
+
+
+def _candidates(live: DataFrame) -> DataFrame:
+    """a, b: all candidate pairs of the posting lists."""
+    prepare(live.sparkSession)
 
     def read(batches):
         """Whole lists: rows arrive sorted by key."""
@@ -185,7 +190,7 @@ def _candidates(posted: DataFrame, labels: DataFrame, leaders: int, salt: int) -
             keys = column(table, "key").to_numpy()
             cols = _columns(table)
             bounds = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
-            found = [list_pairs(*(c[s:e] for c in cols), leaders, salt) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+            found = [list_pairs(*(c[s:e] for c in cols)) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
             out = _pairs_table(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
             return out.combine_chunks().to_batches(max_chunksize=10_000)
 
@@ -201,50 +206,32 @@ def _candidates(posted: DataFrame, labels: DataFrame, leaders: int, salt: int) -
         if held:
             yield from pairs(pa.concat_tables(held))
 
-    order = ("key", "name", "label", "n", "place", "bits")
+    order = ("key", "name", "label", "n", "place")
     short = live.where(F.col("size") <= LIST).select(*order).repartition("key").sortWithinPartitions("key").mapInArrow(read, "a long, b long")
-    long = live.where(F.col("size") > LIST).withColumn("tiles", F.ceil(F.col("size") / LIST).cast("int")).withColumn("tile", F.pmod(F.xxhash64("name"), "tiles").cast("int"))
-    if leaders:
-        # the least names of all, then each tile against them
-        rank = F.xxhash64("name", F.lit(salt))
-        first = long.groupBy("key").agg(F.min_by(F.struct(*order[1:]), rank).alias("lead")).select("key", "lead.*", F.lit(True).alias("lead"))
-        tiles = long.select("key", "tiles").distinct().select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-        dealt = long.select(*order, F.lit(False).alias("lead"), "tile").unionByName(first.join(tiles, "key"))
-
-        def of_tile(table):
-            cols, lead = _columns(table), column(table, "lead").to_numpy(zero_copy_only=False)
-            at = int(np.flatnonzero(lead)[0])
-            keep = ~lead
-            keep[at] = True
-            cols = [c[keep] for c in cols]
-            k = int(keep[:at].sum())
-            cols = [np.concatenate([c[k : k + 1], c[:k], c[k + 1 :]]) for c in cols]
-            a, b = [], []
-            for i in range(1, len(cols[0])):  # the leader against each
-                x, y = list_pairs(*(c[[0, i]] for c in cols))
-                a.append(x)
-                b.append(y)
-            none = [np.empty(0, np.int64)]
-            return _pairs_table(np.concatenate(none + a), np.concatenate(none + b))
-
-        tiled = dealt.groupBy("key", "tile").applyInArrow(of_tile, "a long, b long")
-    else:
-        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-        dealt = long.withColumn("j", other).select(*order, "tile", F.least("tile", "j").alias("lo"), F.greatest("tile", "j").alias("hi"))
-
-        def of_tiles(table):
-            lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
-            return _pairs_table(*list_pairs(*_columns(table), tile=None if lo == hi else column(table, "tile").to_numpy()))
-
-        tiled = dealt.groupBy("key", "lo", "hi").applyInArrow(of_tiles, "a long, b long")
-    out = materialize(short.unionAll(tiled).distinct(), "pairs")
-    discard(live)
-    return out
+    tiles = F.ceil(F.col("size") / LIST).cast("int")
+    long = live.where(F.col("size") > LIST).withColumn("tile", F.pmod(F.xxhash64("name"), tiles).cast("int"))
+    dealt = long.withColumn("j", F.explode(F.sequence(F.lit(0), tiles - 1))).select(*order, "tile", F.least("tile", "j").alias("lo"), F.greatest("tile", "j").alias("hi"))
+
+    def of_tiles(table):
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        return _pairs_table(*list_pairs(*_columns(table), None if lo == hi else column(table, "tile").to_numpy()))
 
+    return short.unionAll(dealt.groupBy("key", "lo", "hi").applyInArrow(of_tiles, "a long, b long"))
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Those pairs (a, b) of names that are similar, by the shingles of their texts."""
-    both = pairs.join(texts.select(F.col("name").alias("a"), "text"), "a").join(texts.select(F.col("name").alias("b"), F.col("text").alias("other")), "b")
+
+def _differ(a, b):
+    """In how many bits two columns of bitmaps differ, as a column."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Those pairs (a, b) of names that are similar: by their bitmaps first, then by the shingles of their texts."""
+    x, y = (sets.select(F.col("name").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    n = F.col("n_a") + F.col("n_b")
+    # sets differ in at least as many shingles as their bitmaps do in bits; a pair without bitmaps is read
+    near = pairs.distinct().join(x, "a", "left").join(y, "b", "left").where(F.coalesce((PART + WHOLE) * (n - _differ(F.col("bits_a"), F.col("bits_b"))) >= 2 * PART * n, F.lit(True)))
+    near = materialize(near.select("a", "b"), "pairs")
+    both = near.join(texts.select(F.col("name").alias("a"), "text"), "a").join(texts.select(F.col("name").alias("b"), F.col("text").alias("other")), "b")
 
     def make():
         of = functools.lru_cache(2_000)(lambda text: _set(text, shingle))
@@ -274,16 +261,24 @@ def similar_rows(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     same = entries.join(leads, "fp").where("name <> lead").select(F.least("name", "lead").alias("a"), F.greatest("name", "lead").alias("b"))
     near = materialize(near.unionAll(same), "near")
     posted = _posted(docs, shingle)
-    # the texts of all that may have a partner, fetched once
-    twice = posted.groupBy("key").count().where("count > 1").select("key")
-    posted = materialize(posted.join(twice, "key"), "lists")
-    wanted = posted.select("name").unionAll(near.select("a")).unionAll(near.select("b")).distinct()
-    wanted = entries.join(wanted, "name", "left_semi").select("name", F.col("first.doc_id").alias("id"), F.col("first.h").alias("h"))
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.id) & (docs.h == wanted.h)).select("name", "text")
+    # copies of a set are posted alike, so any of them will do
+    lists = posted.where("key IS NOT NULL").groupBy("key", "name").agg(F.min("n").alias("n"), F.min("place").alias("place"))
+    lists = materialize(lists, "lists")
+    shared = lists.groupBy("key").count().where("count > 1").select("key")
+    lists = materialize(lists.join(shared, "key"), "lists")
+    # the bitmaps and texts of all that may have a partner, fetched once
+    wanted = materialize(lists.select("name").unionAll(near.select("a")).unionAll(near.select("b")).distinct(), "wanted")
+    sets = materialize(posted.where("key IS NULL").groupBy("name").agg(F.min("n").alias("n"), F.first("bits").alias("bits")).join(wanted, "name", "left_semi"), "sets")
+    discard(posted)
+    first = entries.join(wanted, "name", "left_semi").select("name", F.col("first.doc_id").alias("id"), F.col("first.h").alias("h"))
+    texts = docs.join(first, docs.doc_id.eqNullSafe(first.id) & (docs.h == first.h)).select("name", "text")
     texts = materialize(texts.groupBy("name").agg(F.min("text").alias("text")), "texts")
-    sure = _verified(near, texts, shingle)
-    for salt, leaders in enumerate([*LEADERS, 0]):
-        sure = materialize(sure.unionAll(_verified(_candidates(posted, components(sure), leaders, salt), texts, shingle)), "sure")
+    sure = _verified(near, sets, texts, shingle)
+    for salt in range(ROUNDS + 1):
+        live = _live(lists, components(sure))
+        more = _verified(_proposed(live, salt) if salt < ROUNDS else _candidates(live), sets, texts, shingle)
+        discard(live)
+        sure = materialize(sure.unionAll(more), "sure")
     roots = components(sure)
     joined = entries.join(roots, entries.name == roots.node, "left").select("name", "first", F.coalesce("root", "name").alias("root"))
     least = joined.groupBy("root").agg(F.min("first").alias("least"))

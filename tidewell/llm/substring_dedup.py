@@ -4,7 +4,7 @@
    the same for equal substrings wherever they stand. Every window of ``window`` words is anchored at the high-level
    symbol of least hash among those that follow from the window's own words. So windows whose anchor occurs once are unique.
 2. Windows with a shared anchor, and those that hold no whole symbol (inside long runs), are verified: two independent hashes
-   of all their words, 128 bits, are searched for among all such windows. No window is judged by its anchor alone.
+   of all their words, of 64 and 32 bits, are searched for among all such windows. No window is judged by its anchor alone.
 3. Words of windows that occur twice, in one document or in two, are removed.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text, unchanged. Null texts count as empty; documents of fewer words than the window
@@ -30,6 +30,8 @@ WINDOW = 35
 #: Words that an anchor stands for and keys of candidate windows a word, for the number of buckets.
 WORDS_PER_BLOCK = bl.BLOCK_BYTES // 6
 
+#: Bytes of a window's key.
+KEY_BYTES = 12
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
@@ -43,7 +45,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_keys(hashes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """Two hashes of the words of each window, of two bases over differently mixed words: (n, 2)."""
+    """Two hashes of the words of each window, of two bases over differently mixed words: (n, 2), the second of 32 bits."""
     n = 1 << max(10, int(len(hashes)).bit_length())
     out = np.empty((len(starts), 2), np.uint64)
     for k, base in enumerate(_BASES):
@@ -51,6 +53,7 @@ def window_keys(hashes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarr
         sums = np.zeros(len(hashes) + 1, np.uint64)
         np.cumsum((mix64(hashes + np.uint64(0x632BE59BD9B4E019)) if k else hashes) * powers[: len(hashes)], out=sums[1:])
         out[:, k] = mix64((sums[starts + window] - sums[starts]) * inverses[starts])
+    out[:, 1] >>= np.uint64(32)
     return out
 
 
@@ -105,7 +108,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
         block = Block(row["body"], window)
         marked = _candidates(block, row["found"], buckets)
         keys = window_keys(block.hashes, block.starts[marked], window)
-        sent = bl.key_rows(row["block"], keys, more)
+        sent = bl.key_rows(row["block"], keys, more, KEY_BYTES)
         # bucket -1 keeps for the last pass which windows these were
         own = pa.table([pa.array([-1], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([b""], pa.binary()), pa.array([np.packbits(marked).tobytes()], pa.binary())], ["bucket", "block", "keys", "counts"])
         return own if sent is None else pa.concat_tables([own, sent])
@@ -131,9 +134,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
         return pa.table(carried(block.table, names) | {"n_words": block.sizes, "n_removed": removed, "text": pa.array(texts, pa.string())})
 
     anchors = bl.classes(bl.map_blocks(table, send_anchors, bl.KEYS_SCHEMA))
-    sent = materialize(bl.map_blocks(table.join(anchors, "block", "left"), send_windows, bl.KEYS_SCHEMA), "windows", "none")
+    sent = materialize(bl.map_blocks(table.join(anchors, "block", "left"), send_windows, bl.KEYS_SCHEMA), "windows")
     marked = sent.where("bucket < 0").select("block", F.col("counts").alias("marked"))
-    windows = bl.classes(sent.where("bucket >= 0"), 2)
+    windows = bl.classes(sent.where("bucket >= 0"), KEY_BYTES)
     return bl.map_blocks(table.join(marked, "block", "left").join(windows, "block", "left"), finish, f"{typed(docs, names)}n_words long, n_removed long, text string")
 
 
