@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -353,15 +354,60 @@ def test_toxicity_odd(spark, sf):
     assert all(r.score == 0 for r in toxicity.score_toxicity(frame(spark, ODD), nothing).collect())
 
 
+def test_toxicity_rows(spark):
+    """Null and repeated ids, repeated texts, extra labels and a very long text; a hot id does not take the sample."""
+    docs = [(k, f"plain words number {k} and {k + 1}") for k in range(40)] + [(100 + k, f"you moron number {k} grobnix") for k in range(20)] + [(None, "no id"), (5, "second text of five"), (5, "second text of five")]
+    labels = [(k, 0) for k in range(40)] + [(100 + k, 1) for k in range(20)] + [(None, 1), (5, 0), (5, None), (7777, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    scorer = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic long"))
+    more = spark.createDataFrame([(1, "a word " * 200_000 + "grobnix moron"), (2, None), (3, "moron grobnix"), (3, "moron grobnix")], "doc_id long, text string")
+    out = toxicity.score_toxicity(df.unionAll(more), scorer).collect()
+    assert len(out) == len(docs) + 4 and sum(r.predicted for r in out if r.doc_id is not None and r.doc_id >= 100) == 20
+    assert len({r.score for r in out if r.doc_id == 3 and r.predicted}) == 1 and not any(r.predicted for r in out if r.doc_id is None)
+    assert toxicity.score_toxicity(df.where("false"), scorer).count() == 0
+
+
+def planted_votes(rng, n=4000):
+    """Votes of good voters, a copy, one that excludes another, and one that guesses; and the truth."""
+    y = rng.random(n) < 0.3
+    good = np.where(rng.random(n) < 0.9, np.where(y, 1, -1), 0)
+    bad = np.where(rng.random(n) < 0.5, 1, -1)
+    side = rng.random(n) < 0.5
+    left, right = np.where(y & side, 1, 0), np.where(y & ~side, 1, 0)
+    some = np.where(rng.random(n) < 0.2, np.where(y, 1, -1), 0)
+    return np.stack([good, good.copy(), bad, some, left, right], axis=1), y
+
+
 def test_label_model_finds_bad_voters():
-    rng = np.random.default_rng(3)
-    y = rng.random(3000) < 0.3
-    good = np.where(rng.random(3000) < 0.9, np.where(y, 1, -1), 0)
-    copy = good.copy()
-    bad = np.where(rng.random(3000) < 0.5, 1, -1)
-    posterior, found = toxicity.label_model(np.stack([good, copy, bad, np.where(rng.random(3000) < 0.2, np.where(y, 1, -1), 0)], axis=1), 0.3)
-    assert ((posterior > 0.5) == y).mean() > 0.9
+    votes, y = planted_votes(np.random.default_rng(3))
+    posterior, found = toxicity.label_model(votes, 0.3)
+    assert ((posterior > 0.5) == y).mean() > 0.95
     assert found["accuracy"][0] > 0.9 and abs(found["accuracy"][2] - 0.5) < 0.1
+    assert found["weight"][0] < 0.6  # a copy: both together count about once
+    assert abs(found["prior"] - y.mean()) < 0.05
+
+
+def test_label_model_has_signed_correlations():
+    votes, y = planted_votes(np.random.default_rng(4))
+    r = toxicity.correlations(votes.astype(float), y.astype(float))
+    for i in range(votes.shape[1]):
+        for j in range(i):
+            cov = np.mean([(votes[k, i] - votes[y == y[k], i].mean()) * (votes[k, j] - votes[y == y[k], j].mean()) for k in range(0, len(y), 7)])
+            scale = np.sqrt(np.prod([np.mean([(votes[y == c, v] - votes[y == c, v].mean()) ** 2 @ np.ones((y == c).sum()) for c in (True, False)]) / len(y) * 2 for v in (i, j)]))
+            assert abs(r[i, j] - np.clip(cov / max(scale, 1e-6), -1, 1)) < 0.15
+    assert r[0, 1] > 0.99 and r[4, 5] < -0.5
+
+
+def test_label_model_posterior_by_hand():
+    """The posteriors are Bayes' rule on the estimated tables, vote by vote."""
+    votes, _ = planted_votes(np.random.default_rng(5), 400)
+    posterior, found = toxicity.label_model(votes, 0.3, rounds=400)
+    for k in range(0, 400, 13):
+        odds = math.log(0.3 / 0.7)
+        for v in range(votes.shape[1]):
+            p = found["table"][votes[k, v] + 1]
+            odds += found["weight"][v] * (math.log(p[1, v]) - math.log(p[0, v]))
+        assert posterior[k] == pytest.approx(1 / (1 + math.exp(-max(-50, min(50, odds)))), abs=5e-3)
 
 
 # --- pseudonyms

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Text bytes that one call of a batch function sees, unless a single text is longer.
 BATCH_BYTES = 8 << 20
@@ -172,5 +173,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def bounded_sample(rows: DataFrame, group: str, most: int | dict[object, int], most_bytes: int) -> pa.Table:
+    """A sample of (group, text) rows on the driver: of each group the distinct texts of least hash.
+
+    A group gives at most ``most`` texts (or ``most[group]``) and as many as have ``most_bytes`` characters together (its first text always). Copies
+    count once, so neither a repeated id nor a repeated text takes the sample. Candidates are thinned by hash and joined with
+    their copies before they are ranked; null texts count as empty. In ascending order of group and hash.
+    """
+    sizes = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
+    empty = pa.table({group: pa.array([], pa.string()), "text": pa.array([], pa.string())})
+    if not sizes:
+        return empty
+    hashed = rows.select(group, F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    most = most if isinstance(most, dict) else dict.fromkeys(sizes, most)
+    # twice as many as are wanted pass, so that few groups fall short after copies are joined
+    share = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, min(1.0, 2 * most[g] / n))])
+    some = hashed.where(F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30) < share[F.col(group)])
+    some = materialize(some.groupBy(group, "h").agg(F.min("text").alias("text")), "sample")
+    w = Window.partitionBy(group).orderBy("h")
+    limit = F.create_map(*[F.lit(x) for g in sizes for x in (g, most[g])])
+    ranked = some.select(group, "h", F.row_number().over(w).alias("k"), F.sum(F.length("text")).over(w).alias("upto"), F.length("text").alias("n"))
+    wanted = ranked.where((F.col("k") <= limit[F.col(group)]) & (F.col("upto") - F.col("n") < most_bytes)).select(group, "h")
+    out = some.join(F.broadcast(wanted), [group, "h"]).toArrow()
+    discard(some)
+    return out.sort_by([(group, "ascending"), ("h", "ascending")]) if out.num_rows else empty
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -1,17 +1,19 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
-1. From a bounded sample of labelled rows (``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` whole texts, those of least hashed id) words and
-   beginnings of words are mined whose presence speaks for the label by a lower confidence bound. Each becomes a voter
-   (the strongest ones) or joins a lexicon of several. A voter votes toxic or abstains; two voters that count all hits
-   (at least two; none at all) vote for either side, and the given label is one more voter of the sample's rows.
-2. The label model is a mixture of two classes fitted by expectation maximisation: it estimates for each voter how often it votes
-   what in each class (its accuracy), and from what is left of the agreement of pairs inside the classes their
-   correlations. A voter counts for one over the votes that it repeats.
+1. Voters. A lexicon of common English insults is given. For other languages none is, so words and beginnings of words are mined from
+   a bounded sample of labelled rows (at most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` different texts): those whose presence speaks for the
+   label by a lower confidence bound. Each becomes a voter (the strongest ones) or joins one of several lexicons. A voter
+   votes toxic or abstains; two voters that count all mined hits (at least two; none at all) vote for either side. This is
+   the only use of labels, beside the share of toxic rows.
+2. The label model sees votes alone, of the labelled texts and of ``SAMPLE_OTHER`` others, never a label. It is a mixture of two
+   classes fitted by expectation maximisation: it estimates for each voter how often it votes what in each class (its accuracy),
+   and, once these have settled, in every round from what is left of the votes inside the classes the correlations of all pairs, of either sign. Voters are weighted by the
+   solution w of R w = 1 for the matrix R of correlations: k copies count about 1 / k each.
 3. A logistic regression on counts of the voters' hits learns the posterior labels. Its score is a probability.
 
 Hits are found by distinct words: ASCII white space separates, runs of letters inside count, in lower case. Null and empty
 texts have no hits and get the score of a text without hits. Without labelled rows every score is 0. Rows keep their
-number; labels, lang, source and doc_id never reach a score.
+number, also where doc_id is null or repeats; labels, lang, source and doc_id never reach a score.
 """
 
 from __future__ import annotations
@@ -23,17 +25,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewell.llm.blocks import words_of
-from tidewell.llm.common import column, documents, inputs, map_batches
+from tidewell.llm.common import bounded_sample, column, discard, documents, inputs, map_batches, materialize, release
 from tidewell.llm.language_id import fold
 
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2_000, 4_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_OTHER, SAMPLE_BYTES = 2_000, 4_000, 4_000, 32 << 20
+#: Common English insults, in alphabetical order.
+INSULTS = frozenset("bastard bitch clown crap cretin damn disgusting dumb fool freak garbage hideous idiot idiotic ignorant imbecile jerk lame loser lunatic moron moronic nasty pathetic pig psycho retard scum shit shut stupid sucks trash ugly useless vermin vile worthless wretched".split())
 #: Voters of one feature each, and lexicons that share the features after them.
 SINGLE, LEXICONS = 120, 20
-#: Features kept at most, lengths of word beginnings, texts that a feature must be in, and the bound's width in deviations.
-FEATURES, BEGINNINGS, LEAST_TEXTS, WIDTH = 2_000, (4, 5, 6), 3, 2.6
+#: Features kept at most, lengths of word beginnings, texts that a feature must be in, the width of its bound in deviations, the least bound and
+#: the least log odds themselves.
+FEATURES, BEGINNINGS, LEAST_TEXTS, WIDTH, BOUND, ODDS = 2_000, (4, 5, 6), 3, 2.6, 0.7, 3.5
 THRESHOLD = 0.3
+#: Rounds of the label model before it weights voters by their correlations.
+SETTLED = 5
+#: Correlations that are taken for none, and how far their matrix is drawn towards the unit matrix.
+NOISE, RIDGE = 0.05, 0.3
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -72,42 +82,62 @@ def mine(present: list[set[str]], toxic: np.ndarray) -> list[str]:
             n = against[f]
             odds = np.log((p + 0.5) / (p_all - p + 0.5)) - np.log((n + 0.5) / (n_all - n + 0.5))
             bound = odds - WIDTH * np.sqrt(1 / (p + 0.5) + 1 / (p_all - p + 0.5) + 1 / (n + 0.5) + 1 / (n_all - n + 0.5))
-            if bound > 0.7:
+            if bound > BOUND and odds > ODDS:
                 bounds[f] = (bound, p)
     ranked = sorted(bounds, key=lambda f: (-bounds[f][0], len(f), f))
     return ranked[:FEATURES]
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, dict]:
+def label_model(votes: np.ndarray, prior: np.ndarray | float, rounds: int = 50) -> tuple[np.ndarray, dict]:
     """Posteriors of the toxic class of each row of votes (+1, -1, 0), and what was estimated.
 
-    votes' last column is the given label. The classes start from it and from any vote for toxicity.
+    prior is the share of the class, of all rows or of each. The classes start from the rows with most votes for toxicity, as many as the
+    prior says. The log odds of a row are those of its prior plus, for each voter, its weight times the log odds of its vote.
     """
     values = (-1, 0, 1)
-    posterior = np.clip(np.where(votes[:, -1] != 0, np.where(votes[:, -1] > 0, 0.9, 0.1), np.where((votes > 0).any(axis=1), 0.8, prior)), 0.01, 0.99)
+    prior = np.clip(np.broadcast_to(np.asarray(prior, float), len(votes)), 0.01, 0.99)
+    sums = votes.sum(axis=1)
+    at = np.quantile(sums, 1 - prior.mean())
+    posterior = np.where(sums > max(at, votes.sum(axis=1).min()), 0.9, np.where(sums == at, prior.mean(), 0.05))
     weight = np.ones(votes.shape[1])
     for step in range(rounds):
         w = np.stack([1 - posterior, posterior])
         total = w.sum(axis=1)
-        share = np.clip(total / total.sum(), 0.01, 0.99)
         table = np.stack([(w @ (votes == v) + 1 / 3) / (total + 1)[:, None] for v in values])  # value, class, voter
-        if step == 5:  # correlations inside the classes, once these have settled
-            mean = np.stack([(w @ votes) / total[:, None]])[0]
-            residual = votes - (posterior[:, None] * mean[1] + (1 - posterior)[:, None] * mean[0])
-            scale = np.sqrt((residual**2).mean(axis=0)) + 1e-9
-            correlation = (residual.T @ residual) / len(votes) / np.outer(scale, scale)
-            np.fill_diagonal(correlation, 1)
-            weight = 1 / np.maximum(1, np.maximum(correlation, 0).sum(axis=1))
-            weight[-1] = 1.0
-        logs = np.log(table)
-        score = np.log(share)[:, None] + sum(logs[k] * weight @ (votes == v).T for k, v in enumerate(values))
-        new = 1 / (1 + np.exp(np.clip(score[0] - score[1], -50, 50)))
+        if step >= SETTLED:  # before, what the classes themselves explain would pass for correlation
+            weight = (weight + correlation_weights(votes, posterior)) / 2
+        odds = np.log(table[:, 1]) - np.log(table[:, 0])  # value, voter
+        score = np.log(prior / (1 - prior)) + sum((votes == v) @ (odds[k] * weight) for k, v in enumerate(values))
+        new = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
         moved = np.abs(new - posterior).max()
         posterior = new
-        if moved < 1e-4 and step > 5:
+        if moved < 1e-4 and step > SETTLED + 5:
             break
+    share = np.array([1 - posterior.mean(), posterior.mean()])
     accuracy = (table[2, 1] * share[1] + table[0, 0] * share[0]) / np.maximum(1e-9, ((table[0] + table[2]) * share[:, None]).sum(axis=0))
-    return posterior, {"accuracy": accuracy, "weight": weight, "prior": float(share[1])}
+    return posterior, {"accuracy": accuracy, "weight": weight, "prior": float(share[1]), "table": table}
+
+
+def correlations(votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    """The correlations of all pairs of voters inside the two classes, of either sign."""
+    w = np.stack([1 - posterior, posterior])
+    mean = (w @ votes) / np.maximum(w.sum(axis=1), 1e-9)[:, None]
+    # the covariance inside the classes is that of all rows less what the classes' means explain
+    covariance = (votes.T @ votes) / len(votes) - sum((w[c].sum() / len(votes)) * np.outer(mean[c], mean[c]) for c in (0, 1))
+    scale = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
+    out = np.clip(covariance / np.outer(scale, scale), -1, 1)
+    np.fill_diagonal(out, 1)
+    return out
+
+
+def correlation_weights(votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    """What each voter counts for beside the others: the solution of R w = 1 for the correlations R, from 0 to 1.
+
+    R is drawn towards the unit matrix by ``RIDGE``, since voters that exclude each other would blow up small errors of it.
+    """
+    r = correlations(votes.astype(float), posterior)
+    r = np.where(np.abs(r) < NOISE, 0.0, r)
+    return np.clip(np.linalg.solve((1 - RIDGE) * r + RIDGE * np.eye(len(r)), np.ones(len(r))), 0.0, 1.0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
@@ -127,11 +157,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30
 
 
 class Scorer:
-    """Voters and weights, fitted on a sample with columns text and toxic."""
+    """Voters and weights, fitted on labelled texts (columns text and toxic) and on others without a label."""
 
-    def __init__(self, sample: pa.Table):
+    def __init__(self, sample: pa.Table, others: list[str] = (), rate: float | None = None):
         texts = sample.column("text").to_pylist()
-        toxic = np.array(sample.column("toxic").to_pylist(), int) > 0
+        toxic = np.array([int(x) for x in sample.column("toxic").to_pylist()], int) > 0
         self.voter: dict[str, int] = {}
         self.voters = 0
         self.weights = None
@@ -139,12 +169,16 @@ class Scorer:
             self.constant = float(toxic.all()) if len(texts) else 0.0
             return
         ranked = mine(_present(texts), toxic)
-        self.voter = {f: k if k < SINGLE else SINGLE + k % LEXICONS for k, f in enumerate(ranked)}
-        self.voters = max(self.voter.values(), default=-1) + 1
-        counts, length = self.counts(pa.array(texts, pa.string()))
-        hits = counts.sum(axis=1)
-        votes = np.concatenate([(counts > 0).astype(int), np.where(hits >= 2, 1, np.where(hits == 0, -1, 0))[:, None], np.where(hits == 0, -1, 1)[:, None], np.where(toxic, 1, -1)[:, None]], axis=1)
-        posterior, self.model = label_model(votes, toxic.mean())
+        # voter 0 is the given lexicon; a word of it that is mined too has a voter of its own beside it
+        self.voter = {f: 1 + (k if k < SINGLE else SINGLE + k % LEXICONS) for k, f in enumerate(ranked)}
+        self.voters = max(self.voter.values(), default=0) + 1
+        counts, length = self.counts(pa.array([*texts, *others], pa.string()))
+        # how often each voter's words come in texts that are labelled clean: what a voter must exceed
+        clean = np.flatnonzero(~toxic)
+        self.usual = (counts[clean].sum(axis=0) + 0.1) / max(1, length[clean].sum())
+        votes = self.votes(counts, length)
+        prior = np.concatenate([np.full(len(texts), toxic.mean()), np.full(len(others), rate if rate is not None else toxic.mean())])
+        posterior, self.model = label_model(votes, prior)
         self.weights = logistic(self.inputs(counts, length), posterior)
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +186,10 @@ class Scorer:
         words, ends = words_of(texts)
         hit_words, hit_voters = [], []
         for k, w in enumerate(words.dictionary.to_pylist()):
-            found = {self.voter[f] for f in features_of(w) if f in self.voter} if self.voter else ()
+            features = features_of(w)
+            found = {self.voter[f] for f in features if f in self.voter}
+            if any(f[0] == "=" and f[1:] in INSULTS for f in features):
+                found.add(0)
             hit_words += [k] * len(found)
             hit_voters += found
         out = np.zeros((len(texts), self.voters), np.int32)
@@ -168,11 +205,23 @@ class Scorer:
             np.add.at(out, (np.repeat(doc, sizes), hit_voters[pick]), 1)
         return out, np.diff(ends, prepend=0)
 
-    @staticmethod
-    def inputs(counts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def surprise(self, counts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By how many deviations each voter's hits, and all hits, exceed what so many words usually have."""
+        usual = length[:, None] * self.usual
+        hits, all_usual = counts.sum(axis=1), usual.sum(axis=1)
+        return (counts - usual) / np.sqrt(usual + 0.25), (hits - all_usual) / np.sqrt(all_usual + 0.25)
+
+    def votes(self, counts: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """One column a voter (toxic or nothing), then two of patterns over all hits (toxic, clean or nothing)."""
+        each, whole = self.surprise(counts, length)
+        patterns = [np.where(whole > high, 1, np.where(whole < low, -1, 0)) for high, low in ((6.0, 1.0), (3.0, 2.0))]
+        return np.concatenate([((counts > 0) & (each > 1.5)).astype(int), np.stack(patterns, axis=1)], axis=1)
+
+    def inputs(self, counts: np.ndarray, length: np.ndarray) -> np.ndarray:
+        each, whole = self.surprise(counts, length)
         hits = counts.sum(axis=1)
-        more = np.stack([hits > 0, np.log1p(hits), np.log1p(100 * hits / np.maximum(20, length)), np.ones(len(hits))], axis=1)
-        return np.concatenate([np.minimum(counts, 3) / 3, more], axis=1)
+        more = np.stack([hits > 0, np.log1p(hits), np.log1p(100 * hits / np.maximum(20, length)), np.log1p(np.maximum(whole, 0)), np.ones(len(hits))], axis=1)
+        return np.concatenate([np.clip(each, 0, 6) / 6, more], axis=1)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.weights is None:
@@ -180,18 +229,26 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.inputs(*self.counts(texts)) @ self.weights, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN) -> Scorer:
-    """Fits on a sample of labels (doc_id, toxic) of docs (doc_id, text); null labels are none.
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN, other_rows: int = SAMPLE_OTHER) -> Scorer:
+    """Fits on a sample of labels (doc_id, toxic) of docs (doc_id, text) and on other texts of docs; null labels are none.
 
-    The sample is drawn from the labels by the hash of their id and bounded by the two numbers, so it is broadcast.
+    Labels are drawn by the hash of their id, each id and label once, up to the two numbers, so they are broadcast; an id that
+    several texts have gives them all, and of these again no more than the numbers are taken.
     """
-    labels = labels.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).where(F.col("toxic").isNotNull())
+    most = {"1": toxic_rows, "0": clean_rows}
+    labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.when(F.col("toxic") > 0, "1").otherwise("0").alias("toxic"))
     sizes = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
-    share = F.when(F.col("toxic") == 1, min(1.0, toxic_rows / max(1, sizes.get(1, 0)))).otherwise(min(1.0, clean_rows / max(1, sizes.get(0, 0))))
-    picked = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < share).limit(2 * (toxic_rows + clean_rows))
-    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
-    sample = joined.select("toxic", "text", F.xxhash64("doc_id", "text").alias("h")).toArrow()
-    return Scorer(sample.sort_by([("h", "ascending")]) if sample.num_rows else sample)
+    share = F.when(F.col("toxic") == "1", min(1.0, 2 * toxic_rows / max(1, sizes.get("1", 0)))).otherwise(min(1.0, 2 * clean_rows / max(1, sizes.get("0", 0))))
+    hashed = labels.withColumn("h", F.xxhash64("doc_id")).where(F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30) < share).distinct()
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("h"))
+    picked = hashed.withColumn("k", rank).where(F.col("k") <= F.when(F.col("toxic") == "1", toxic_rows).otherwise(clean_rows)).select("doc_id", "toxic")
+    joined = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text"), "labelled")
+    sample = bounded_sample(joined, "toxic", most, SAMPLE_BYTES)
+    discard(joined)
+    others = bounded_sample(docs.select(F.lit("any").alias("all"), "text"), "all", other_rows, SAMPLE_BYTES)
+    scorer = Scorer(sample, others["text"].to_pylist(), sizes.get("1", 0) / max(1, sum(sizes.values())))
+    release()
+    return scorer
 
 
 def score_toxicity(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,4 +272,5 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document, learned from labels outside the held-out fold."""
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 4) != 2)
-    return score_toxicity(docs, fit(docs, labels)).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    scorer = fit(docs.where(fold("doc_id", 4) != 2), labels)
+    return score_toxicity(docs, scorer).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
