@@ -4,8 +4,9 @@ The models are of order ``ORDER`` and see one word at a time, between two word e
 white space separates. So a distinct word is scored once a batch, and a text's cross-entropy is the sum over its words
 divided by the characters predicted (word ends count). The language of least cross-entropy wins; ties go to the first by name.
 
-Fitting takes a bounded sample of labelled rows: about ``SAMPLE_DOCS`` whole texts a language, those of least hashed id, which bounds
-the model. Four of five of them are counted, the others calibrate: the temperature that makes the softmax of negative
+Fitting takes a bounded sample of labelled rows: at most ``SAMPLE_DOCS`` whole texts and about ``SAMPLE_BYTES`` characters a language,
+different texts of least hash, which bounds the model of a language. All languages are learned, ``SIDE`` of them side by side in one
+table, so the model grows with their number and no more. Four of five of them are counted, the others calibrate: the temperature that makes the softmax of negative
 cross-entropies most likely, and for each language how high its own texts come. That is judged by a text's distinct words, each
 in the language that fits it best: so words said over and over and passages in another learned language do not count against a
 text. A text is rejected if it lies further above its language's median than ``REJECT_AT`` deviations (of texts, or of characters
@@ -14,7 +15,7 @@ Letters count in lower case, signs around a word do not; words without a letter
 and do not count, unless a text has no others.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected. With no labelled row at all every text is. Rows
-keep their number; lang, source and doc_id never reach a prediction.
+keep their number, also where doc_id is null or repeats; equal texts have equal predictions. lang, source and doc_id never reach one.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.blocks import words_of
-from tidewell.llm.common import carried, column, documents, inputs, map_batches, mix64, typed
+from tidewell.llm.common import bounded_sample, carried, column, documents, inputs, map_batches, mix64, release, typed
 
-ORDER, SAMPLE_DOCS, REJECT_AT = 5, 1_000, 6.0
-#: Languages that a model holds; with more, those of most rows.
-LANGUAGES = 200
+ORDER, SAMPLE_DOCS, SAMPLE_BYTES, REJECT_AT = 5, 1_000, 8 << 20, 6.0
+#: Languages whose tables stand side by side, and texts that fitting reads at a time.
+SIDE, PART = 8, 64
+#: Text bytes that are scored at a time.
+SCORED_BYTES = 3 << 20
 
 _ROOTS = mix64(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
 
@@ -119,11 +122,11 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Model:
     """All languages' tables side by side; a gram that some language has not seen holds its backed-off value there."""
 
-    def __init__(self, names: list[str], words: list[pa.Array], counts: list[np.ndarray], order: int = ORDER):
+    def __init__(self, names: list[str], words: list[pa.Array], counts: list[np.ndarray], order: int = ORDER, alphabet: int | None = None):
         self.names, self.order = names, order
         texts = pa.chunked_array(words).combine_chunks() if words else pa.array([], pa.string())
         points, place = _characters(texts)
-        self.alphabet = len(np.unique(points)) + 1
+        self.alphabet = alphabet or len(np.unique(points)) + 1
         models = [OneLanguage(w, c, self.alphabet, order) for w, c in zip(words, counts, strict=True)]
         self.grams, self.logs, self.contexts, self.weights = [], [], [], []
         for k in range(1, order + 1):
@@ -164,6 +167,20 @@ class Model:
         starts = np.cumsum(sizes + 1) - (sizes + 1)
         return np.add.reduceat(total, starts, axis=0) if len(words) else np.zeros((0, len(self.names))), sizes
 
+
+class Models:
+    """All languages, ``SIDE`` to a table: a language's scores do not depend on which others share its table."""
+
+    def __init__(self, names: list[str], words: list[pa.Array], counts: list[np.ndarray], order: int = ORDER):
+        self.names = names
+        alphabet = len(np.unique(np.concatenate([np.unique(_characters(w)[0]) for w in words]))) + 1 if words else 1
+        self.tables = [Model(names[k : k + SIDE], words[k : k + SIDE], counts[k : k + SIDE], order, alphabet) for k in range(0, len(names), SIDE)]
+
+    def score(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The log probability of each word in each language, and the characters it predicts."""
+        found = [t.score(words)[0] for t in self.tables]
+        return np.concatenate(found, axis=1) if found else np.zeros((len(words), 0)), pc.utf8_length(words).to_numpy().astype(np.int64) + 1
+
     def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each text its cross-entropy by language (nats a character), what ``_once`` gives, and whether it has a letter."""
         words, ends = _words(texts)
@@ -212,13 +229,16 @@ class Identifier:
         for name in names:
             own = rows[name]
             counted = own[np.arange(len(own)) % 5 != 4]
-            found, _ = _words(texts.take(pa.array(counted)))
-            c = np.bincount(found.indices.to_numpy(zero_copy_only=False), minlength=len(found.dictionary))
-            if len(found):
+            total: dict[str, int] = {}
+            for k in range(0, len(counted), PART):
+                found, _ = _words(texts.take(pa.array(counted[k : k + PART])))
+                for word, c in zip(found.dictionary.to_pylist(), np.bincount(found.indices.to_numpy(zero_copy_only=False), minlength=len(found.dictionary)).tolist(), strict=True):
+                    total[word] = total.get(word, 0) + c
+            if total:
                 kept.append(name)
-                words.append(found.dictionary)
-                counts.append(c)
-        self.model = Model(kept, words, counts, order)
+                words.append(pa.array(total.keys(), pa.string()))
+                counts.append(np.array(list(total.values())))
+        self.model = Models(kept, words, counts, order)
         self._calibrate(texts, {n: rows[n] for n in kept})
 
     def _calibrate(self, texts: pa.Array, rows: dict[str, np.ndarray]) -> None:
@@ -227,7 +247,9 @@ class Identifier:
         self.mean, self.deviation, self.limit, self.temperature = np.zeros(len(names)), np.ones(len(names)), np.full(len(names), REJECT_AT), 1.0
         if not held:
             return
-        entropy, once, n, letters = self.model.entropies(texts.take(pa.array(np.concatenate([r for _, r in held]))))
+        rows_of_all = np.concatenate([r for _, r in held])
+        found = [self.model.entropies(texts.take(pa.array(rows_of_all[k : k + PART]))) for k in range(0, len(rows_of_all), PART)]
+        entropy, once, n, letters = (np.concatenate(x) for x in zip(*found, strict=True))
         truth = np.concatenate([np.full(len(r), j) for j, r in held])
         for j in range(len(names)):
             rows_of = (truth == j) & letters
@@ -269,17 +291,12 @@ def fold(id_col: str | Column, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col) % folds
 
 
-def fit(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> Identifier:
-    """Fits on a sample of labelled (doc_id, text, lang); rows without lang or text are no labels."""
-    labelled = labelled.where(F.col("lang").isNotNull())
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    empty = pa.table({"lang": pa.array([], pa.string()), "text": pa.array([], pa.string())})
-    if not sizes:
-        return Identifier(empty)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs_per_language / n))])
-    picked = labelled.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)) < share[F.col("lang")])
-    sample = picked.select("lang", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("h")).toArrow()
-    return Identifier(sample.sort_by([("lang", "ascending"), ("h", "ascending")]) if sample.num_rows else empty)
+def fit(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, bytes_per_language: int = SAMPLE_BYTES) -> Identifier:
+    """Fits on a sample of labelled (text, lang); rows without lang are no labels."""
+    labelled = labelled.where(F.col("lang").isNotNull()).select("lang", "text")
+    fitted = Identifier(bounded_sample(labelled, "lang", docs_per_language, bytes_per_language))
+    release()
+    return fitted
 
 
 def identify(docs: DataFrame, identifier: Identifier, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -297,7 +314,7 @@ def identify(docs: DataFrame, identifier: Identifier, id_col: str = "doc_id", te
 
     names = ["doc_id", *carry]
     docs = inputs(docs, id_col, text_col, *(c for c in carry if c != "text"))
-    return map_batches(docs, make, f"{typed(docs, names)}lang_pred string, score double, accepted boolean")
+    return map_batches(docs, make, f"{typed(docs, names)}lang_pred string, score double, accepted boolean", SCORED_BYTES)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
