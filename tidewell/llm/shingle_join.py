@@ -37,7 +37,7 @@ from tidewell.llm.simhash import links, majority, shingle_hashes
 #: The least similarity as a fraction: bounds stay whole numbers.
 PART, WHOLE = 4, 5
 #: Bits of a set's bitmap; rounds of leaders, and leaders that a set is paired with in one; entries of a tile.
-BITS, ROUNDS, LEADERS, LIST = 512, 3, 4, 4_000
+BITS, ROUNDS, LEADERS, LIST = 512, 2, 4, 4_000
 #: Distinct shingles of a block, about, for the number of buckets.
 KEYS_PER_BLOCK = bl.BLOCK_BYTES // 6
 
