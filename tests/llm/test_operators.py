@@ -523,6 +523,46 @@ def test_links_keep_components(spark, tile):
     assert len(set(same.values())) == len(same)
 
 
+def test_long_posting_list(spark):
+    """One list of 200,000 entries: full tiles, so an entry is copied once a tile, and the components of brute force."""
+    rng = np.random.default_rng(11)
+    fps = np.unique(rng.integers(0, 1 << 32, 200_000, dtype=np.uint64) | np.uint64(0xABCD1234 << 32))
+    df = spark.createDataFrame(pa.table({"fp": fps.view(np.int64)})).repartition(5)
+    written = []
+    keep = simhash.materialize
+    simhash.materialize = lambda d, name, *more: written.append(keep(d, name, *more)) or written[-1]
+    try:
+        found = materialize(simhash.links(df, 2), "test")  # two bits: six of eight bytes, so the common four decide nothing
+        lists = written[0].where("tile >= 0").groupBy("key", "tile").count().collect()
+        assert not lists
+        found4 = simhash.links(df.limit(50_000), 4, 20_000)
+        lists = {(r.key, r.tile): r["count"] for r in written[1].where("tile >= 0").groupBy("key", "tile").count().collect()}
+    finally:
+        simhash.materialize = keep
+    assert sorted(lists.values()) == [10_000, 20_000, 20_000] and found4.columns == ["a", "b"]
+    got = {r.node: r.root for r in components.components(found).collect()}
+    values, place = {int(f): k for k, f in enumerate(fps)}, list(range(len(fps)))
+
+    def root(x):
+        while place[x] != x:
+            place[x] = place[place[x]]
+            x = place[x]
+        return x
+
+    flips = [1 << i | 1 << j for i in range(32) for j in range(i)] + [1 << i for i in range(32)]
+    for flip in flips:
+        other = fps ^ np.uint64(flip)
+        at = np.minimum(np.searchsorted(fps, other), len(fps) - 1)
+        for k in np.flatnonzero((fps[at] == other) & (other > fps)):
+            place[root(int(k))] = root(int(at[k]))
+    signed = fps.view(np.int64).tolist()
+    same, sizes = {}, {}
+    for k, f in enumerate(signed):
+        assert same.setdefault(root(k), got.get(f, f)) == got.get(f, f)
+        sizes[root(k)] = 1
+    assert len(set(same.values())) == len(sizes) and len(values) == len(fps)
+
+
 def test_simhash_repeats_and_nothing(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d")], "doc_id long, text string")
     assert [r.component_id for r in simhash.near_duplicates(df).collect()] == [1, 1, 1]

@@ -1,14 +1,15 @@
 """SimHash near-dedup by a byte-position inverted index with count filtering.
 
 A fingerprint has 64 bits, that is eight bytes. Fingerprints that differ in at most ``DISTANCE`` bits differ in at most that
-many bytes, so they share at least 8 - DISTANCE bytes at equal positions. The index posts each distinct fingerprint
-under the bytes of every choice of that many positions. So a pair shares a posting list if, and only if, its tally of
-shared bytes reaches the guaranteed minimum; it is then verified by its differing bits. With four bits and four of
-eight bytes there are 70 choices, and a posting list holds about one in 2**32 unrelated fingerprints.
+many bytes, so they share at least 8 - DISTANCE bytes at equal positions. Lists of single bytes would hold one in 256 of all
+fingerprints, so the index posts each distinct fingerprint under the bytes of every choice of 8 - DISTANCE positions instead: with
+four of eight bytes 70 choices, and a posting list holds about one in 2**32 unrelated fingerprints. In a list the bytes that
+a pair shares at equal positions are tallied; pairs that reach the guaranteed minimum are verified by their differing bits.
 
 Copies collapse first: equal fingerprints are one entry. A posting list gives only links that join what is not joined yet
 inside it, at most one fewer than its entries, so groups of near copies give no pairs of all with all. Lists of over
-``LIST`` entries are cut into tiles; each pair of tiles is one group, so no task holds more than two tiles.
+``LIST`` entries are cut into tiles of so many; each pair of tiles is one group, so no task holds more than two tiles and an
+entry is copied once a tile.
 
 Texts: A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``, shingles are ``shingle`` words joined by spaces, repeats included; a
 text of fewer words is one shingle, a text without words (or null) has fingerprint zero and links like any other. A bit is
@@ -75,6 +76,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return map_batches(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
+def shared_bytes(differing: np.ndarray) -> np.ndarray:
+    """How many bytes at equal positions pairs of fingerprints share, from the bits in which they differ."""
+    return (np.ascontiguousarray(differing).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
 def list_links(entries: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Verified links that join all entries of a posting list that are linked inside it, without cycles.
 
@@ -89,7 +95,9 @@ def list_links(entries: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarra
             x = queue.pop()
         else:
             x, rest = rest[0], rest[1:]
-        near = np.bitwise_count(rest ^ x) <= distance
+        differing = rest ^ x
+        near = shared_bytes(differing) >= 8 - distance
+        near[near] = np.bitwise_count(differing[near]) <= distance
         if near.any():
             found = rest[near]
             a.append(np.full(len(found), x))
@@ -119,53 +127,61 @@ def links(distinct: DataFrame, distance: int = DISTANCE, tile: int = LIST) -> Da
             keys = _keys(fps, distance)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fps, keys.shape[1]).view(np.int64))], ["key", "fp"])
 
+    def rows(key, number, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(a), number, np.int32)), pa.array(a), pa.array(b)], ["key", "tile", "a", "b"])
+
+    def whole(keys, fps):
+        """The links of whole lists."""
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        u = fps.view(np.uint64)
+        two = starts[sizes == 2]
+        differing = u[two] ^ u[two + 1]
+        two = two[(shared_bytes(differing) >= 8 - distance) & (np.bitwise_count(differing) <= distance)]
+        a, b = [u[two]], [u[two + 1]]
+        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            x, y = list_links(u[s : s + n], distance)
+            a.append(x)
+            b.append(y)
+        a, b = np.concatenate(a), np.concatenate(b)
+        return rows(np.zeros(len(a), np.int64), -1, a.view(np.int64), b.view(np.int64))
+
     def read(batches):
-        """Lists of a partition sorted by key: links of the short ones, tiles of the others."""
-        last, tiles = None, 0
-        held_k, held_f = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def rows(key, number, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(number.astype(np.int32)), pa.array(a), pa.array(b)], ["key", "tile", "a", "b"])
-
-        def whole(keys, fps):
-            """The links of whole lists."""
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            sizes = np.diff(np.append(starts, len(keys)))
-            u = fps.view(np.uint64)
-            two = starts[sizes == 2]
-            two = two[np.bitwise_count(u[two] ^ u[two + 1]) <= distance]
-            a, b = [u[two]], [u[two + 1]]
-            for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                x, y = list_links(u[s : s + n], distance)
-                a.append(x)
-                b.append(y)
-            a, b = np.concatenate(a), np.concatenate(b)
-            return rows(np.zeros(len(a), np.int64), np.full(len(a), -1), a.view(np.int64), b.view(np.int64))
+        """Lists of a partition sorted by key: links of the short ones, full tiles of the others."""
+        held: list[np.ndarray] = []  # fingerprints of the list that is open
+        key, size, tiles = None, 0, 0
+
+        def closed():
+            """The last tile of a list that was cut, or the links of a whole one."""
+            fps = np.concatenate(held)
+            keys = np.full(len(fps), key, np.int64)
+            return rows(keys, tiles, fps, fps) if tiles else whole(keys, fps)
 
         for batch in batches:
-            keys = np.concatenate([held_k, batch.column(0).to_numpy()])
-            fps = np.concatenate([held_f, batch.column(1).to_numpy()])
-            if not len(keys):
-                continue
-            if tiles and keys[0] == last:  # the rest of a list that is being cut
-                n = int(np.searchsorted(keys, last, "right")) if keys[-1] != last else len(keys)
-                yield rows(keys[:n], np.full(n, tiles), fps[:n], fps[:n])
-                tiles += 1
+            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            while len(keys):
+                if size and keys[0] != key:
+                    yield closed()
+                    held, size, tiles = [], 0, 0
+                if not size:
+                    last = int(np.searchsorted(keys, keys[-1], "left"))
+                    if last:
+                        yield whole(keys[:last], fps[:last])
+                        keys, fps = keys[last:], fps[last:]
+                    key = keys[0]
+                n = int(np.searchsorted(keys, key, "right"))
+                held.append(fps[:n])
+                size += n
                 keys, fps = keys[n:], fps[n:]
-                held_k, held_f = keys, fps
-                if not len(keys):
-                    continue
-            tiles = 0
-            open_at = int(np.searchsorted(keys, keys[-1], "left"))
-            if open_at:
-                yield whole(keys[:open_at], fps[:open_at])
-            held_k, held_f = keys[open_at:], fps[open_at:]
-            if len(held_k) > tile:
-                last, tiles = held_k[0], 1
-                yield rows(held_k, np.zeros(len(held_k)), held_f, held_f)
-                held_k, held_f = held_k[:0], held_f[:0]
-        if len(held_k):
-            yield whole(held_k, held_f)
+                if size > tile:
+                    open_ = np.concatenate(held)
+                    full = (size - 1) // tile * tile  # something stays, so a cut list always ends by a tile
+                    for k in range(0, full, tile):
+                        yield rows(np.full(tile, key, np.int64), tiles, open_[k : k + tile], open_[k : k + tile])
+                        tiles += 1
+                    held, size = [open_[full:]], size - full
+        if size:
+            yield closed()
 
     posted = distinct.select("fp").mapInArrow(post, "key long, fp long")
     found = materialize(posted.repartition("key").sortWithinPartitions("key").mapInArrow(read, "key long, tile int, a long, b long"), "links")
