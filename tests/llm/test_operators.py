@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -437,6 +438,77 @@ def test_left_alone(value):
     assert pseudonyms.Pseudonymiser().replace(f"see {value} there")[1] == []
 
 
+def test_one_day_in_every_layout():
+    own = pseudonyms.Pseudonymiser(b"k")
+
+    def day(text):
+        new = own.replace(text)[1][0][3]
+        mark = next(c for c in new if not c.isdigit())
+        parts = [int(x) for x in new.split(mark)]
+        return tuple(parts) if parts[0] > 31 else (parts[2], parts[1], parts[0]) if mark != "/" else (parts[2], parts[0], parts[1])
+
+    assert len({day(t) for t in ("2020-01-02", "2020-1-2", "02.01.2020", "2.1.2020", "01/02/2020", "2020/01/02", "02-01-2020")}) == 1
+    assert len({day(t) for t in ("2020-01-25", "25.01.2020", "01/25/2020", "25-1-2020")}) == 1
+    assert own.replace("25/12/2020")[1][0][3].split("/")[0] > "12"  # still the day
+
+
+def test_one_address_in_every_case():
+    own = pseudonyms.Pseudonymiser(b"k")
+    new = {own.replace(t)[1][0][3].lower() for t in ("John.Doe7@Mail.example.com", "john.doe7@mail.example.com", "JOHN.DOE7@MAIL.EXAMPLE.COM")}
+    assert len(new) == 1
+    one = own.replace("John.Doe7@Mail.example.com")[1][0][3]
+    assert own._of("email", one, True) == "John.Doe7@Mail.example.com"
+
+
+@pytest.mark.parametrize("part", ["a%", "a.", "a@", "@a", "1-", "+1 ", "a-", "GB82 ", "token=", "12.", "password:a"])
+def test_search_is_linear(part):
+    own, seconds = pseudonyms.Pseudonymiser(b"k"), []
+    for n in (1 << 18, 1 << 20):
+        start = time.perf_counter()
+        own.replace(part * (n // len(part)))
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 8 * max(seconds[0], 0.1) and seconds[1] < 20
+
+
+def plain_luhn(digits):
+    return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits))) % 10
+
+
+def test_pseudonyms_by_brute_force(spark, texts):
+    """Every document: outside the spans nothing changes, inside a plain reading of the formats holds, equal values get equal ones."""
+    rows = [*texts, *ODD, *VALUES]
+    seen, back = {}, {}
+    for r in pseudonyms.pseudonymise(frame(spark, rows), b"k").collect():
+        text, at, out = rows[r.doc_id] or "", 0, []
+        for f in r.found:
+            old = text[f.start : f.end]
+            out += [text[at : f.start], f.pseudonym]
+            at = f.end
+            assert seen.setdefault((f.kind, old), f.pseudonym) == f.pseudonym and back.setdefault((f.kind, f.pseudonym), old) == old
+            digits, plain = ("".join(c for c in x if c.isdigit()) for x in (f.pseudonym, old))
+            if f.kind == "card":
+                assert len(digits) == len(plain) and plain_luhn(digits) == plain_luhn(plain) == 0
+            elif f.kind == "email":
+                assert re.fullmatch(r"[^@\s]+@[^@\s]+\.[A-Za-z]{2,}", f.pseudonym) and len(f.pseudonym) == len(old)
+            elif f.kind == "ip":
+                assert all(0 <= int(x) <= 255 for x in f.pseudonym.split("."))
+            elif f.kind == "date":
+                year, *rest = sorted(map(int, re.findall("[0-9]+", f.pseudonym)), reverse=True)
+                assert 1900 <= year < 2100 and 1 <= min(rest) <= 12 and max(rest) <= 31
+        assert "".join([*out, text[at:]]) == r.text
+    kinds = {k for k, _ in seen}
+    assert len(kinds) >= 6 and len(set(back)) == len(seen)
+
+
+def test_key_of_the_session(spark):
+    assert pseudonyms.session_key(spark) == pseudonyms.DEMO_KEY
+    spark.conf.set(pseudonyms.KEY_SETTING, "mine")
+    try:
+        assert pseudonyms.session_key(spark) == b"mine"
+    finally:
+        spark.conf.unset(pseudonyms.KEY_SETTING)
+
+
 def test_permutation_is_one():
     p = pseudonyms.Permuter(b"k")
     assert sorted(p.permute("x", 997, i) for i in range(997)) == list(range(997))

@@ -2,7 +2,9 @@
 
 Found values are validated and then permuted within their own format by a Feistel network of ``ROUNDS`` rounds whose
 round function is a keyed hash, so one value has one pseudonym in every document, different values have different ones, and
-whoever holds the key can invert it. What does not stay valid is permuted again until it is (cycle walking).
+whoever holds the key can invert it. What does not stay valid is permuted again until it is (cycle walking). A value is one also
+where it is written otherwise: e-mail addresses are permuted without regard to case, and a day is permuted alike in every order and padding.
+So that a pseudonym is read in the same order again, days up to the 12th stay among those and later ones among theirs.
 
 ======== ============================================================ =====================================================
 kind     found if                                                     pseudonym
@@ -38,12 +40,14 @@ from tidewell.llm.common import carried, column, documents, inputs, map_batches,
 ROUNDS = 10
 #: Stands in where no key is given; pass a secret one in production.
 DEMO_KEY = b"tidewell demonstration key"
+#: The session setting that ``session_key`` reads; Spark redacts it in its logs and pages.
+KEY_SETTING = "spark.tidewell.pseudonym.secret"
 
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
 PATTERN = re.compile(
     r"""
-    (?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-]))
+    (?P<email>(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-]))
   | (?P<secret>(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:ghp|gho|ghs|ghu)_[A-Za-z0-9]{36}(?![A-Za-z0-9])
       |(?:(?i:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?["']?)(?P<value>(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{8,}(?![A-Za-z0-9]))))
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
@@ -109,6 +113,11 @@ def _refill(shape: str, characters: str) -> str:
     return "".join(next(out) if c.isalnum() else c for c in shape)
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session's setting, or the demonstration key."""
+    return spark.conf.get(KEY_SETTING, "").encode() or DEMO_KEY
+
+
 class Pseudonymiser:
     def __init__(self, key: bytes = DEMO_KEY):
         self.permuter = Permuter(key)
@@ -141,7 +150,8 @@ class Pseudonymiser:
         if kind == "email":
             name, _, domain = value.rpartition("@")
             labels, _, last = domain.rpartition(".")
-            return f"{self._mixed('name', name, back)}@{self._mixed('domain', labels, back)}.{last}"
+            new = f"{self._mixed('name', name.lower(), back)}@{self._mixed('domain', labels.lower(), back)}.{last}"
+            return "".join(n.upper() if c.isupper() else n for c, n in zip(value, new, strict=True))
         if kind == "secret":
             if re.fullmatch("[0-9a-f]*[a-f][0-9a-f]*", value):  # hexadecimal stays so
                 return f"{self.permuter.permute(f'hex{len(value)}', 16 ** len(value), int(value, 16), lambda y: not f'{y:0{len(value)}x}'.isdigit(), back):0{len(value)}x}"
@@ -196,13 +206,13 @@ class Pseudonymiser:
                 continue
             size = (LAST_DAY - FIRST_DAY).days + 1
 
-            def same_reading(y: int, order=order) -> bool:
-                # the pseudonym must be read in the same order again: later readings need days over 12
-                return order == orders[0] or (FIRST_DAY + datetime.timedelta(y)).day > 12
+            def same_side(y: int, late=day.day > 12) -> bool:
+                # whether a day can be a month decides which order a date is read in
+                return ((FIRST_DAY + datetime.timedelta(y)).day > 12) == late
 
+            y = self.permuter.permute("date", size, (day - FIRST_DAY).days, same_side, back)
             # days and months keep two places, or one where they had one and still can
             wide = all(len(parts[k]) == 2 for k in order[1:])
-            y = self.permuter.permute(f"date{order}{wide}", size, (day - FIRST_DAY).days, same_reading, back)
             new = FIRST_DAY + datetime.timedelta(y)
             out = ["", "", ""]
             for k, n in zip(order, (new.year, new.month, new.day), strict=True):
@@ -249,5 +259,5 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id",
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its personal values replaced."""
-    return pseudonymise(documents(spark, sf_dir))
+    """Every document with its personal values replaced, by the session's key."""
+    return pseudonymise(documents(spark, sf_dir), session_key(spark))
