@@ -9,7 +9,7 @@ table goes through all stages.
    least doc_id stays. A row without doc_id is one like others and comes after those that have one. Where different texts have one
    doc_id each is judged by itself; of rows with one doc_id and one text one stays, the least in lang, source and n_chars.
 3. substring_dedup: windows of words that also start elsewhere are cut; texts that lose nothing stay as they are.
-4. pii: personal values become pseudonyms.
+4. pii: personal values become pseudonyms, by the key that the session names (``pseudonyms.KEY_SETTING``).
 5. packing: pieces of token ids with their places in sequences of at most 2048.
 """
 
@@ -56,7 +56,7 @@ def stage_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _columns(pseudonyms.pseudonymise(docs, carry=CARRIED))
+    return _columns(pseudonyms.pseudonymise(docs, pseudonyms.session_key(spark), carry=CARRIED))
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
