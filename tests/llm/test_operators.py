@@ -546,6 +546,80 @@ def test_stream_damage():
     assert transport_stream.crc32_mpeg(b"123456789") == 0x0376E6E7
 
 
+def packets_of(stream):
+    return [stream[k : k + 188] for k in range(0, len(stream), 188)]
+
+
+def test_stream_packet_sent_twice():
+    payload = random.Random(1).randbytes(5000)
+    packets = packets_of(transport_stream.mux(payload))
+    for k in (0, 1, 2, 5, len(packets) - 1):
+        got = transport_stream.demux(b"".join(packets[: k + 1] + packets[k:]))
+        assert (got["payload"], got["cc_errors"], got["errors"]) == (payload, 0, 0), k
+    thrice = transport_stream.demux(b"".join(packets[:6] + [packets[5]] * 2 + packets[6:]))
+    assert thrice["cc_errors"] == 1  # only one repetition is allowed
+    clock = bytearray(packets[2])
+    clock[6:12] = bytes(6)  # a repeated packet may have another clock reference
+    assert transport_stream.demux(b"".join(packets[:3] + [bytes(clock)] + packets[3:]))["payload"] == payload
+
+
+def test_stream_discontinuity_and_scrambling():
+    packets = [bytearray(p) for p in packets_of(transport_stream.mux(bytes(range(256)) * 400, 10_000))]
+    starts = [k for k, p in enumerate(packets) if p[1] & 0x40 and k > 1]
+    at = next(k for k in starts[1:] if packets[k][3] & 0x20) if any(packets[k][3] & 0x20 for k in starts[1:]) else starts[8]
+    for p in packets[at:]:
+        p[3] = p[3] & 0xF0 | (p[3] + 5) & 0x0F
+    assert transport_stream.demux(b"".join(packets))["cc_errors"] == 1
+    if packets[at][3] & 0x20:
+        packets[at][5] |= 0x80
+        assert transport_stream.demux(b"".join(packets))["cc_errors"] == 0
+    packets[3][3] |= 0x80
+    assert transport_stream.demux(b"".join(packets))["errors"] >= 1
+
+
+def test_stream_of_two_programs_and_long_tables():
+    """Tables of several packets, descriptors, and several streams, muxed by hand from two streams of the writer."""
+    one, two = random.Random(2).randbytes(900), random.Random(3).randbytes(70_000)
+
+    def moved(stream, pid):
+        out = []
+        for p in packets_of(stream)[2:]:
+            q = bytearray(p)
+            q[1], q[2] = q[1] & 0xE0 | pid >> 8, pid & 0xFF
+            out.append(bytes(q))
+        return out
+
+    def section(table_id, extension, body):
+        head = bytes([table_id, 0xB0 | (9 + len(body)) >> 8, (9 + len(body)) & 0xFF]) + extension.to_bytes(2, "big") + b"\xc1\x00\x00" + body
+        return head + transport_stream.crc32_mpeg(head).to_bytes(4, "big")
+
+    def cut(pid, data):
+        data, out = b"\x00" + data, []
+        for k in range(0, len(data), 184):
+            out.append(bytes([0x47, (0x40 if not k else 0) | pid >> 8, pid & 0xFF, 0x10 | len(out) & 15]) + data[k : k + 184].ljust(184, b"\xff"))
+        return out
+
+    def streams(pids):
+        return b"".join(bytes([0x06]) + (0xE000 | p).to_bytes(2, "big") + b"\xf0\x32" + b"\x05\x30" + b"x" * 48 for p in pids)
+
+    pat = b"".join(n.to_bytes(2, "big") + (0xE000 | p).to_bytes(2, "big") for n, p in [(0, 0x10), (7, 0x300), *((k, 0x1F00) for k in range(100, 180)), (9, 0x400)])
+    pmt7 = (0xE000 | 0x101).to_bytes(2, "big") + b"\xf0\x32" + b"\x05\x30" + b"y" * 48 + streams([0x101, 0x102, 0x103, 0x104, 0x105])
+    pmt9 = (0xE000 | 0x201).to_bytes(2, "big") + b"\xf0\x00" + streams([0x201])
+    tables = cut(0, section(0, 1, pat)) + cut(0x300, section(2, 7, pmt7)) + cut(0x400, section(2, 9, pmt9))
+    assert len(tables) == 5  # two of them of two packets
+    a, b = moved(transport_stream.mux(one), 0x101), moved(transport_stream.mux(two), 0x201)
+    mixed = [x for k in range(max(len(a), len(b))) for x in (a[k : k + 1] + b[k : k + 1])]
+    got = transport_stream.demux(b"".join(tables + mixed))
+    assert got["payload"] == one and got["errors"] == got["cc_errors"] == 0
+    by_pid = {x["pid"]: x for x in got["streams"]}
+    assert set(by_pid) == {0x102, 0x103, 0x104, 0x105, 0x201} and by_pid[0x201]["payload"] == two and by_pid[0x201]["program"] == 9
+    assert len(by_pid[0x201]["pts"]) == 3 and by_pid[0x102]["payload"] == b""
+
+
+def test_media_nothing(spark):
+    assert transport_stream.parse_streams(transport_stream.to_streams(frame(spark, []))).count() == 0
+
+
 def test_media_table(spark, sf, texts):
     out = {r.doc_id: r for r in transport_stream.op7_media(spark, sf).collect()}
     for k, t in enumerate(texts):

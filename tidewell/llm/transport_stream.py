@@ -5,8 +5,11 @@ access units of ``UNIT`` bytes; each becomes one PES packet with a presentation
 packets with running continuity counters. Every ``RAP_EVERY``-th unit starts with an adaptation field that marks a
 random-access point and carries a clock reference; the last packet of a unit is stuffed by its adaptation field.
 
-Parsing takes nothing from the writer: it finds the elementary stream by PAT and PMT (with their CRCs), checks the
-continuity counters, joins the PES packets and returns the payload with all timestamps and random-access points.
+Parsing takes nothing from the writer: it finds all elementary streams of all programs by PAT and PMT (sections of any number of
+packets, with their CRCs), checks the continuity counters, joins the PES packets and returns each stream's payload with all
+timestamps and random-access points; ``payload`` and its fellows are those of the first stream, ``streams`` has the others.
+A packet that is sent twice in a row, as the standard allows, counts once. A jump of the counters is no error where the packet
+announces it (discontinuity indicator). Scrambled packets and those marked as damaged are counted in ``errors`` and left out.
 Null texts count as empty. A stream that is cut, lost its tables or fails a CRC has a null payload and its errors
 counted; a gap in the counters is counted in ``cc_errors`` and the payload holds what arrived. Repeated rows give
 repeated rows; other columns are ignored.
@@ -33,7 +36,8 @@ CLOCK_HZ, PTS_MODULUS = 90_000, 1 << 33
 PMT_PID, ES_PID, PROGRAM = 0x1000, 0x0100, 1
 UNIT, UNIT_TICKS, RAP_EVERY = 32_768, 3_003, 8
 
-SCHEMA_PARSED = "payload binary, pts array<long>, unit_offsets array<long>, random_access array<int>, packets int, cc_errors int, errors int"
+STREAM_SCHEMA = "program: int, pid: int, stream_type: int, payload: binary, pts: array<long>, unit_offsets: array<long>, random_access: array<int>, cc_errors: int, errors: int"
+SCHEMA_PARSED = f"payload binary, pts array<long>, unit_offsets array<long>, random_access array<int>, packets int, cc_errors int, errors int, streams array<struct<{STREAM_SCHEMA}>>"
 
 
 @functools.lru_cache(1)
@@ -119,49 +123,77 @@ def mux(payload: bytes, unit: int = UNIT) -> bytes:
     return b"".join(out)
 
 
-def _section(packet: np.ndarray, table_id: int) -> bytes | None:
-    """The section that starts in a packet, if it is whole and its CRC holds."""
-    data = packet[4 + (1 + int(packet[4]) if packet[3] & 0x20 else 0) :].tobytes()
-    data = data[1 + data[0] :] if data else b""
-    length = 3 + (int.from_bytes(data[1:3], "big") & 0x0FFF) if len(data) >= 3 else 0
-    section = data[:length]
-    return section if length >= 12 and len(section) == length and section[0] == table_id and not crc32_mpeg(section) else None
+def _payload(packets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each packet's data begin (the end of the packet if it has none), and its adaptation flags."""
+    has_field, has_data = packets[:, 3] & 0x20 > 0, packets[:, 3] & 0x10 > 0
+    skip = np.where(has_field, 5 + packets[:, 4].astype(np.int32), 4)
+    return np.where(has_data, np.minimum(skip, PACKET), PACKET), np.where(has_field & (packets[:, 4] > 0), packets[:, 5], 0)
+
+
+def _counted(packets: np.ndarray) -> tuple[np.ndarray, int]:
+    """The packets of one pid without those sent twice, and the gaps of their continuity counters."""
+    if len(packets) < 2:
+        return packets, 0
+    data = packets[:, 3] & 0x10 > 0
+    _, flags = _payload(packets)
+    counters = packets[:, 3].astype(np.int32) & 0x0F
+    keep, gaps, last, repeated = np.ones(len(packets), bool), 0, -1, False
+    own = np.flatnonzero(data)  # only packets with data advance the counter
+    if not (np.diff(counters[own]) & 0x0F == 1).all():
+        for i in own.tolist():
+            jump = int(counters[i] - counters[last]) & 0x0F if last >= 0 else 1
+            if jump == 0 and not repeated and _same(packets[last], packets[i]):
+                keep[i], repeated = False, True
+                continue
+            gaps += jump != 1 and not flags[i] & 0x80
+            last, repeated = i, False
+    return packets[keep], gaps
+
+
+def _same(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether a packet repeats the one before it: all bytes but a clock reference, which may be a new one."""
+    if (a == b).all():
+        return True
+    if not a[3] & 0x20 or a[4] < 7 or not a[5] & 0x10:
+        return False
+    return bool((a[:6] == b[:6]).all() and (a[12:] == b[12:]).all())
+
+
+def _sections(packets: np.ndarray) -> list[bytes]:
+    """The sections that the packets of one pid carry, whole and with a right CRC, in their order."""
+    packets, _ = _counted(packets)
+    skip, _ = _payload(packets)
+    out: list[bytes] = []
+    held = b""
+    open_ = False
+    for packet, at in zip(packets, skip.tolist(), strict=True):
+        data = packet[at:].tobytes()
+        if packet[1] & 0x40:
+            if not data:
+                continue
+            held += data[1 : 1 + data[0]] if open_ else b""
+            parts = [held, data[1 + data[0] :]] if open_ else [data[1 + data[0] :]]
+        else:
+            parts = [held + data] if open_ else []
+        for part in parts:
+            while len(part) >= 3 and part[0] != 0xFF:
+                length = 3 + (int.from_bytes(part[1:3], "big") & 0x0FFF)
+                if len(part) < length:
+                    break
+                if length >= 12 and part[5] & 1 and not crc32_mpeg(part[:length]):  # that is in force now
+                    out.append(part[:length])
+                part = part[length:]
+            held, open_ = part, bool(part) and part[0] != 0xFF
+    return out
 
 
-def demux(stream: bytes) -> dict:
-    """Payload, timestamps and random-access points of the first program's first elementary stream."""
-    out = {"payload": None, "pts": [], "unit_offsets": [], "random_access": [], "packets": len(stream) // PACKET, "cc_errors": 0, "errors": int(len(stream) % PACKET > 0)}
-    packets = np.frombuffer(stream, np.uint8, out["packets"] * PACKET).reshape(-1, PACKET)
-    good = (packets[:, 0] == SYNC) & (packets[:, 1] < 0x80)
-    out["errors"] += int((~good).sum())
-    packets = packets[good]
-    pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
+def _elementary(packets: np.ndarray) -> dict:
+    """One elementary stream of its packets: payload, timestamps, random-access points."""
+    packets, gaps = _counted(packets)
+    out = {"payload": None, "pts": [], "unit_offsets": [], "random_access": [], "cc_errors": gaps, "errors": 0}
     starts = packets[:, 1] & 0x40 > 0
-
-    def table(pid: int, table_id: int) -> bytes | None:
-        at = np.flatnonzero((pids == pid) & starts)[:1]
-        return _section(packets[at[0]], table_id) if len(at) else None
-
-    pat, pmt_pid, es_pid = table(PAT_PID, 0x00), None, None
-    for i in range(8, len(pat) - 4 if pat else 0, 4):
-        if int.from_bytes(pat[i : i + 2], "big"):
-            pmt_pid = int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF
-            break
-    pmt = table(pmt_pid, 0x02) if pmt_pid is not None else None
-    if pmt:
-        i = 12 + (int.from_bytes(pmt[10:12], "big") & 0x0FFF)
-        es_pid = int.from_bytes(pmt[i + 1 : i + 3], "big") & 0x1FFF if i + 5 <= len(pmt) - 4 else None
-    if es_pid is None:
-        out["errors"] += 1
-        return out
-    own, starts = packets[pids == es_pid], starts[pids == es_pid]
-    has_field, has_data = own[:, 3] & 0x20 > 0, own[:, 3] & 0x10 > 0
-    counters = own[has_data, 3].astype(np.int32) & 0x0F
-    out["cc_errors"] = int(((counters[1:] - counters[:-1]) & 0x0F != 1).sum())
-    skip = np.where(has_field, 5 + own[:, 4].astype(np.int32), 4)
-    flags = np.where(has_field & (own[:, 4] > 0), own[:, 5], 0)
-    skip = np.where(has_data, np.minimum(skip, PACKET), PACKET)
-    data = own[np.arange(PACKET) >= skip[:, None]].tobytes()
+    skip, flags = _payload(packets)
+    data = packets[np.arange(PACKET) >= skip[:, None]].tobytes()
     ends = np.cumsum(PACKET - skip)
     begins = np.flatnonzero(starts)
     at = [int(ends[i - 1]) if i else 0 for i in begins]
@@ -186,6 +218,44 @@ def demux(stream: bytes) -> dict:
     return out
 
 
+def demux(stream: bytes) -> dict:
+    """All elementary streams, and payload, timestamps and random-access points of the first program's first one."""
+    out = {"payload": None, "pts": [], "unit_offsets": [], "random_access": [], "packets": len(stream) // PACKET, "cc_errors": 0, "errors": int(len(stream) % PACKET > 0), "streams": []}
+    packets = np.frombuffer(stream, np.uint8, out["packets"] * PACKET).reshape(-1, PACKET)
+    good = (packets[:, 0] == SYNC) & (packets[:, 1] < 0x80) & (packets[:, 3] & 0xC0 == 0)
+    out["errors"] += int((~good).sum())
+    packets = packets[good]
+    pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
+    programs: dict[int, int] = {}
+    for section in _sections(packets[pids == PAT_PID]):
+        if section[0] == 0x00:
+            for i in range(8, len(section) - 4, 4):
+                number = int.from_bytes(section[i : i + 2], "big")
+                if number:
+                    programs.setdefault(number, int.from_bytes(section[i + 2 : i + 4], "big") & 0x1FFF)
+    found: dict[int, tuple[int, int]] = {}
+    for number, pid in programs.items():
+        for section in _sections(packets[pids == pid]):
+            if section[0] != 0x02 or int.from_bytes(section[3:5], "big") != number:
+                continue
+            i = 12 + (int.from_bytes(section[10:12], "big") & 0x0FFF)
+            while i + 5 <= len(section) - 4:
+                found.setdefault(int.from_bytes(section[i + 1 : i + 3], "big") & 0x1FFF, (number, section[i]))
+                i += 5 + (int.from_bytes(section[i + 3 : i + 5], "big") & 0x0FFF)
+            break
+    if not found:
+        out["errors"] += 1
+        return out
+    for k, (pid, (number, kind)) in enumerate(found.items()):
+        one = _elementary(packets[pids == pid])
+        if not k:
+            out |= {name: one[name] for name in ("payload", "pts", "unit_offsets", "random_access", "cc_errors")}
+            out["errors"] += one["errors"]
+        else:
+            out["streams"].append({"program": number, "pid": pid, "stream_type": kind} | one)
+    return out
+
+
 def padded(text: str) -> bytes:
     """UTF-8 bytes with zeros appended up to a positive multiple of 64."""
     data = text.encode()
