@@ -219,9 +219,34 @@ def test_shards_ties_and_nothing(spark):
     assert dictionary == b"" and token_shards.read_shards(table, dictionary).count() == 0
 
 
+def test_shards_of_text_ids(spark):
+    rows = [("b", "two"), ("a", "one"), (None, "none"), ("ä", ""), ("b", "two"), ("b", "again")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    table, dictionary = token_shards.write_shards(df, BPE, 2)
+    out = sorted(token_shards.read_shards(table, dictionary, "string").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in out] == [None, "a", "b", "b", "b", "ä"] and out[-1].n_tokens == 1
+    ids = Tokenizer.from_file(BPE).encode("one", add_special_tokens=False).ids
+    assert any((x := token_shards.read_document(r.shard, dictionary, "a")) is not None and x.tolist() == [*ids, 2] for r in table.collect())
+
+
 # --- packing
 
 
+def test_gaps_are_exchanged(spark):
+    """Groups with gaps give all their open bins: the whole comes close to the bound of all pieces, however small the groups."""
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(300, 1200, 3000)
+    pieces = spark.createDataFrame([(k, int(n)) for k, n in enumerate(lengths)], "uid long, length long").repartition(4)
+    report = []
+    out = packing.assign(pieces, group=200, report=report).toPandas()
+    merged = out.merge(pieces.toPandas(), on="uid")
+    assert len(out) == len(set(out.uid)) == 3000 and merged.groupby("sequence_id").length.sum().max() <= packing.CAPACITY
+    at_once = len(packing.best_fit_decreasing(lengths)[1])
+    assert merged.sequence_id.nunique() <= 1.02 * at_once and len(report) > 1
+    ordered = merged.sort_values(["sequence_id", "offset"])
+    assert (ordered.groupby("sequence_id").length.cumsum() - ordered.length == ordered.offset).all()
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=40))
 def test_bound_and_bins(lengths):

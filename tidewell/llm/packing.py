@@ -2,9 +2,9 @@
 
 Pieces are dealt into groups of about ``GROUP`` rows. Each group is packed by best-fit decreasing, and dual-feasible
 functions give a lower bound of its bins. A group whose bins equal its bound is certified: it keeps all bins but the
-emptiest. A group with a gap keeps its full bins only, up to ``OPEN_BINS`` others. What is not kept is exchanged: it
-meets the rest of ``FAN_IN`` groups in a new group that is packed again, until one group is left. Each round's
-groups are bounded, so no task holds more than ``FAN_IN * OPEN_BINS`` bins or ``2 * GROUP`` rows; nothing is dropped.
+emptiest. A group with a gap keeps its full bins only (room of less than ``capacity // SLACK``); all its open bins are
+exchanged. What is exchanged is dealt anew into groups of about ``GROUP`` pieces that are packed again, until one group is left or a round leaves as many
+groups as it had; the last round keeps all its bins. So no task holds more than about ``GROUP`` rows, and nothing is dropped.
 
 A document of more than ``capacity`` ids is cut so that its first piece takes the remainder and the others are full. Null
 texts count as empty: with an end id such a document is one piece of one id, without one it has no ids and no piece.
@@ -26,7 +26,7 @@ from tidewell.llm import tokens
 from tidewell.llm.common import column, documents, inputs, map_batches, materialize
 
 CAPACITY = 2048
-GROUP, FAN_IN, OPEN_BINS = 10_000, 8, 256
+GROUP, SLACK = 10_000, 256
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -86,8 +86,10 @@ def pack_group(lengths: np.ndarray, capacity: int, last: bool) -> tuple[np.ndarr
     bound = lower_bound(lengths, capacity)
     kept = np.ones(len(room), bool)
     if not last:
-        emptiest = np.argsort(-room, kind="stable")[: 1 if len(room) == bound else OPEN_BINS]
-        kept[emptiest] = room[emptiest] == 0
+        if len(room) == bound:
+            kept[np.argmax(room)] = room.max(initial=0) == 0
+        else:
+            kept = room < max(1, capacity // SLACK)
     return bins, kept[bins], len(room), bound
 
 
@@ -158,10 +160,9 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, repo
     n, level, done, tables = lengths.count(), 0, [], []
     groups = max(1, -(-n // group))
     schema = "uid long, length long, sequence_id long, offset long, kept boolean, bins long, bound long"
+    last = groups == 1
     while True:
-        last = groups == 1
-
-        dealt = lengths.withColumn("g", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups))) if level == 0 else lengths.withColumn("g", F.expr(f"(sequence_id >> 24) % (1L << 32) div {FAN_IN}"))
+        dealt = lengths.withColumn("g", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups)))
         packed = materialize(dealt.groupBy("g").applyInArrow(_packer(level, last, capacity), schema), f"packed{level}")
         tables.append(packed)
         if report is not None:
@@ -169,7 +170,9 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, repo
         done.append(packed.where("kept").select("uid", "sequence_id", "offset"))
         if last:
             break
-        lengths, groups, level = packed.where("not kept").select("uid", "length", "sequence_id"), -(-groups // FAN_IN), level + 1
+        lengths = packed.where("not kept").select("uid", "length")
+        before, groups, level = groups, max(1, -(-lengths.count() // group)), level + 1
+        last = groups == 1 or groups >= before
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
