@@ -39,6 +39,33 @@ def texts(spark, sf):
     return [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
 
 
+def test_tables_are_deleted(spark, tmp_path):
+    """What operators write between steps goes at the end of ``scratch``, and at the latest with ``clean``."""
+    import glob
+
+    from tidewell.llm import common
+
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/tidewell-*"))
+    with common.scratch():
+        simhash.near_duplicates(frame(spark, ["a b c d", "a b c e"])).collect()
+        assert set(glob.glob(f"{folder}/tidewell-*")) > before
+    assert set(glob.glob(f"{folder}/tidewell-*")) == before
+    table = common.materialize(spark.range(3), "left")
+    common.clean()
+    assert table._tidewell_path not in set(glob.glob(f"{folder}/tidewell-*")) and not common._WRITTEN
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidewell.llm import common
+
+    sc = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda key: None), getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        common.shared_dir(SimpleNamespace(sparkContext=sc))
+
+
 def words(rng, n):
     return " ".join(rng.choice(["to", "be", "or", "not", "that", "is", "the", "question"]) + str(rng.randrange(40)) for _ in range(n))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
@@ -33,12 +34,14 @@ _WRITTEN: list[DataFrame] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, as the session names it.
 
-    ``spark.checkpoint.dir`` is read first, then the context's checkpoint folder. Only where neither is set
-    (single-machine tests) is a new local folder made and set.
+    ``spark.checkpoint.dir`` is read first, then the context's checkpoint folder. Where neither is set a new local folder is made
+    and set on a local master (single-machine tests); on a cluster that is an error, since its machines share no such folder.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tidewell-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -64,6 +67,14 @@ def discard(table: DataFrame) -> None:
     _WRITTEN[:] = [t for t in _WRITTEN if t is not table]
 
 
+@atexit.register
+def clean() -> None:
+    """Deletes all tables of this process that are left, at its end or when called; their results must have been read by then."""
+    for t in list(_WRITTEN):
+        if t.sparkSession.sparkContext._jsc is not None:  # else the session has ended and took the way to the files along
+            discard(t)
+
+
 @contextlib.contextmanager
 def scratch():
     """Deletes, at its end, the tables that operators wrote inside; their results must have been read by then."""
