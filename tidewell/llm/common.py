@@ -77,12 +77,15 @@ def clean() -> None:
 
 @contextlib.contextmanager
 def scratch():
-    """Deletes, at its end, the tables that operators wrote inside; their results must have been read by then."""
-    before = list(_WRITTEN)
+    """Deletes, at its end, the tables that operators wrote inside but those put into the list that it gives.
+
+    What depends on the others must have been read by then.
+    """
+    before, spared = list(_WRITTEN), []
     try:
-        yield
+        yield spared
     finally:
-        for t in [t for t in _WRITTEN if not any(t is b for b in before)]:
+        for t in [t for t in _WRITTEN if not any(t is b for b in [*before, *spared])]:
             discard(t)
 
 
