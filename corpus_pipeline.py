@@ -15,13 +15,11 @@ table goes through all stages.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import language_id, packing, pseudonyms, shingle_join, substring_dedup
-from tidewell.llm.common import materialize, scratch, shared_dir
+from tidewell.llm.common import discard, materialize, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 CARRIED = ("lang", "source")
@@ -77,14 +75,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, for the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage, for the documents of sf_dir; what the stages before it wrote is deleted once it is read."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/tidewell-pipeline-{uuid.uuid4().hex}/{name}"
-        with scratch():  # what the stage's operators kept for their own use goes once its rows are written
-            out = stage(spark, docs, sf_dir)
-            out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        with scratch() as spared:  # what the stage's operators kept for their own use goes once its rows are written
+            out = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", "snappy")
+            spared.append(out)
+        if before is not None:
+            discard(before)
+        docs = before = out
     return docs
 
 
