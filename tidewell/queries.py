@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,18 +94,10 @@ def policy_table_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.concat_ws(".", "s", "t").alias("ref"), "glob", policy.denied_column(F.col("s"), F.col("t"), F.col("glob")).alias("denied"))
 
 
-@query("""
-SELECT o_orderkey, o_custkey, c_name AS o_custkey__resolved FROM (SELECT * FROM orders WHERE o_custkey <= 40) LEFT JOIN customer ON o_custkey = c_custkey
-""")
-def fk_label_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_custkey <= 40").select("o_orderkey", "o_custkey")
-    return lookup.resolve_labels(rows, "o_custkey", table(spark, sf_dir, "customer"), "c_custkey", "c_name")
-
-
 @query("""
 SELECT o_orderkey, o_custkey, c_name AS o_custkey__resolved FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 """)
-def fk_label_resolve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fk_label_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return lookup.join_labels(rows, "o_custkey", table(spark, sf_dir, "customer"), "c_custkey", "c_name")
 
@@ -279,23 +272,12 @@ def mined_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("comment", F.array_join(F.array_sort(text.mined_synonyms(F.col("comment"))), "|").alias("synonyms"))
 
 
-@query("""
-SELECT p.vec_id AS probe_id, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score
-FROM embeddings p JOIN embeddings v ON p.vec_id <> v.vec_id WHERE p.vec_id IN (0, 7, 99)
-QUALIFY row_number() OVER (PARTITION BY p.vec_id ORDER BY list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) DESC, v.vec_id) <= 20
-""")
-def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    best = search.cosine_top(vectors, vectors.where(F.col("vec_id").isin(0, 7, 99)), 20)
-    return best.select("probe_id", "vec_id", F.round("score", 6).alias("score"))
-
-
 @query("""
 SELECT p.vec_id AS probe_id, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score
 FROM embeddings p JOIN embeddings v ON p.vec_id <> v.vec_id WHERE p.vec_id % 50 = 0
 QUALIFY row_number() OVER (PARTITION BY p.vec_id ORDER BY list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) DESC, v.vec_id) <= 20
 """)
-def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     best = search.cosine_top(vectors, vectors.where("vec_id % 50 = 0"), 20)
     return best.select("probe_id", "vec_id", F.round("score", 6).alias("score"))
@@ -815,3 +797,55 @@ def lineage_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer = table(spark, sf_dir, "orders").alias("orders"), table(spark, sf_dir, "customer").alias("customer")
     df = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).where("o_totalprice > 200000").select("o_orderkey", "o_totalprice", F.upper(F.concat(F.lit("x"), F.col("c_name"))).alias("who"))
     return select.mask(df, tainted_outputs(df, {("customer", "c_name")}))
+
+
+@query("SELECT o_orderkey AS id, '<redacted>' AS note, o_orderstatus AS status FROM orders JOIN customer ON o_custkey = c_custkey")
+def write_insert_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the preview of an INSERT of a query shows: all that depends on a protected column is masked."""
+    from tidewell.plans.lineage import tainted_outputs
+
+    for t in ("orders", "customer"):
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    new = spark.sql("SELECT o_orderkey AS id, upper(c_name) || '!' AS note, o_orderstatus AS status FROM orders o JOIN customer c ON o_custkey = c_custkey")
+    return select.mask(new, tainted_outputs(new, policy.Policy("write", pii_columns=("public.customer.c_name",)).protected))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 4) AS INTEGER) % 10 = 0")
+def sample_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the orders, the same ones on every run and for every partitioning."""
+    rows = table(spark, sf_dir, "orders")
+    place = F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 4), 16, 10).cast("int") % 10
+    return rows.where(place == 0).select("o_orderkey", "o_totalprice")
+
+
+@query("""
+SELECT o_orderstatus, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(CAST(o_orderkey AS VARCHAR))) AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
+WHERE k <= ceil(n / 100.0)
+""")
+def sample_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One in a hundred of each status, at least one: exactly that many, by least hash."""
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", F.md5(F.col("o_orderkey").cast("string")).alias("h"))
+    sizes = rows.groupBy("o_orderstatus").agg(F.ceil(F.count("*") / 100).alias("most"))
+    w = Window.partitionBy("o_orderstatus").orderBy("h")
+    ranked = rows.withColumn("k", F.row_number().over(w)).join(F.broadcast(sizes), "o_orderstatus")
+    return ranked.where("k <= most").select("o_orderstatus", "o_orderkey")
+
+
+@query("SELECT c_custkey, CAST(list_sum(list_transform(string_split(CAST(c_custkey AS VARCHAR), ''), lambda d: CAST(d AS BIGINT) * CAST(d AS BIGINT))) AS BIGINT) AS squares FROM customer")
+def udf_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of one's own over Arrow batches: the sum of the squared digits of a key."""
+
+    @F.pandas_udf("long")
+    def squares(keys: pd.Series) -> pd.Series:
+        return keys.astype(str).map(lambda text: sum(int(d) ** 2 for d in text))
+
+    return table(spark, sf_dir, "customer").select("c_custkey", squares("c_custkey").alias("squares"))
+
+
+@query("SELECT n_nationkey, r_name, upper(n_name) || '!' AS loud FROM nation JOIN region ON n_regionkey = r_regionkey")
+def udf_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of one's own called from SQL: registered by name in SQL itself, so it stays in generated code."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION loud(s STRING) RETURNS STRING RETURN upper(s) || '!'")
+    for t in ("nation", "region"):
+        table(spark, sf_dir, t).createOrReplaceTempView(f"udf_{t}")
+    return spark.sql("SELECT n_nationkey, r_name, loud(n_name) AS loud FROM udf_nation JOIN udf_region ON n_regionkey = r_regionkey")
