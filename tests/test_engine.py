@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
+import time
+
 import pytest
 
 from tidewell import fixtures as fx
 from tidewell.engine import TOOLS, UNAVAILABLE, Connection, Engine
 from tidewell.operators.policy import ADMIN, Policy, PolicyError
 from tidewell.session import TABLES
+from tidewell.sources import store
+from tidewell.sources.catalog import CatalogSpec, ColumnSpec, ForeignKey, TableSpec
 
 
 @pytest.fixture(scope="module")
@@ -168,3 +173,66 @@ def test_statements(notes):
         notes.call("execute_sql", sql="UPDATE notes SET nothing = 1")
     with pytest.raises(PolicyError):
         notes.call("execute_sql", sql="INSERT OVERWRITE notes SELECT 1, 'a'")
+
+
+def test_index_is_read(engine, spark):
+    engine.call("rebuild_index")
+    assert engine.call("search_schema", query="customer balance") == engine.call("search_schema", query="customer balance")
+    cold = Engine(spark, {"main": Connection(engine.now.tables, engine.now.spec, engine.now.policy)})
+    for query in ("customer balance", "clients", "orders", "nothing of this"):
+        # values are known to the index alone, so the order may differ only where they boost
+        assert {h["ref"] for h in cold._search_schema(query)} <= {h["ref"] for h in engine._search_schema(query)}
+    start = time.perf_counter()
+    engine.call("search_schema", query="clients")
+    assert time.perf_counter() - start < 0.3
+    near = engine._search_schema("customer balance", semantic=True)
+    assert near and near[0]["ref"] == "public.customer" and not any("labels" in h["ref"] for h in near)
+    digest = engine.call("orient")
+    assert digest["enums"].get("public.orders.o_orderstatus") and digest["notes"] == []
+    assert "c_name" not in str(digest["enums"])
+
+
+def test_refresh_profiles_what_changed(engine):
+    engine.call("rebuild_index")
+    assert engine.call("refresh_index")["profiled"] == []
+    spec = engine.now.spec
+    orders = next(t for t in spec.tables if t.name == "orders")
+    engine.now.spec = dataclasses.replace(spec, tables=tuple(dataclasses.replace(t, comment="receipts of sales") if t is orders else t for t in spec.tables))
+    try:
+        assert engine.call("refresh_index")["profiled"] == [orders.ref]
+        assert engine.call("search_schema", query="receipts")[0]["ref"] == orders.ref
+        relations = store.load(engine.spark, engine.now.index_root)
+        assert relations["profiles"].groupBy("ref", "col").count().where("count > 1").isEmpty() and relations["profiles"].where("ref = 'public.lineitem'").count() > 0
+        assert relations["embeddings"].groupBy("ref").count().where("count > 1").isEmpty()
+    finally:
+        engine.now.spec = spec
+
+
+def test_export_tells_what_it_cut(engine, tmp_path):
+    some = engine.call("export_query", sql="SELECT o_orderkey, o_orderstatus FROM orders ORDER BY 1")
+    assert some["truncated"] and some["row_count"] <= engine.now.caps.most_rows < some["total_count"]
+    out = engine.call("export_query", sql="SELECT o_orderkey, o_orderstatus FROM orders", path=str(tmp_path / "all"))
+    assert not out["truncated"] and engine.spark.read.text(str(tmp_path / "all")).count() == some["total_count"] and out["header"] == '"o_orderkey","o_orderstatus"'
+    masked = engine.call("export_query", sql="SELECT c_name AS who FROM customer", fmt="sqlinsert", table="copy", path=str(tmp_path / "masked"))
+    assert masked["piiRedactedColumns"] == ["who"] and engine.spark.read.text(str(tmp_path / "masked")).where("value NOT LIKE '%<redacted>%'").isEmpty()
+
+
+def test_unknown_column(engine):
+    with pytest.raises(LookupError, match="o_orderkey"):
+        engine.call("run_select", sql="SELECT o_orderky FROM orders")
+    with pytest.raises(LookupError) as e:
+        engine.call("run_select", sql="SELECT c_nam FROM customer")
+    assert "near it: c_name" not in str(e.value)
+
+
+def test_diff_of_keys_and_indexes(spark, sf):
+    def table_of(schema, extra):
+        cols = (ColumnSpec("id", "bigint", True, is_pk=True), ColumnSpec("other", "bigint"))
+        return TableSpec(f"{schema}.a", cols, foreign_keys=(ForeignKey(("other",), f"{schema}.b", ("id",)),) if extra else (), indexes=(("other",),) if extra else (("id",),)), TableSpec(f"{schema}.b", cols)
+
+    spec = CatalogSpec((*table_of("old", False), *table_of("new", True)))
+    engine = Engine(spark, {"x": Connection({}, spec)})
+    out = engine.call("schema_diff", source="old", target="new")
+    assert "a_other_fkey" in str(out["constraints"]) and "REFERENCES b (id)" in str(out["constraints"]) and "a_other_idx" in str(out["indexes"])
+    steps = engine.call("generate_migration", source="old", target="new").split("\n")
+    assert set(steps) == {'CREATE INDEX "a_other_idx" ON "old"."a" (other);', 'ALTER TABLE "old"."a" ADD CONSTRAINT "a_other_fkey" FOREIGN KEY (other) REFERENCES b (id) NOT VALID;', '-- DROP INDEX "old"."a_id_idx";', 'ALTER TABLE "old"."a" VALIDATE CONSTRAINT "a_other_fkey";'}

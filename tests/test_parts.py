@@ -106,7 +106,7 @@ def test_vectors_in_blocks(spark, sf):
     from tidewell.queries import QUERIES
 
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
-    want = {(r.probe_id, r.vec_id) for r in QUERIES["cosine_topk_all"](spark, sf).collect()}
+    want = {(r.probe_id, r.vec_id) for r in QUERIES["cosine_topk"](spark, sf).collect()}
     assert len(want) == 20 * vectors.where("vec_id % 50 = 0").count()
     got = search.cosine_top(vectors, vectors.where("vec_id % 50 = 0"), 20, block=3, tile=70)
     assert {(r.probe_id, r.vec_id) for r in got.collect()} == want

@@ -177,7 +177,7 @@ def test_plans(spark, sf):
     assert analysis.grade(41) == "critical" and analysis.skew_grade([1, 1, 1, 97])[1] in ("high", "medium")
 
 
-@pytest.mark.parametrize(("ddl", "worst"), [("DROP TABLE x", "CRITICAL"), ("TRUNCATE TABLE x", "CRITICAL"), ("ALTER TABLE x DROP COLUMN y", "HIGH"), ("ALTER TABLE x ALTER COLUMN y TYPE BIGINT", "CRITICAL"), ("nonsense", "CRITICAL"), ("SELECT 'DROP TABLE x'", None)])
+@pytest.mark.parametrize(("ddl", "worst"), [("DROP TABLE x", "CRITICAL"), ("TRUNCATE TABLE x", "CRITICAL"), ("ALTER TABLE x DROP COLUMN y", "HIGH"), ("ALTER TABLE x ALTER COLUMN y TYPE BIGINT", "CRITICAL"), ("nonsense", "CRITICAL"), ("ALTER TABLE x ADD CONSTRAINT k FOREIGN KEY (a) REFERENCES y (b)", "HIGH"), ("ALTER TABLE x ADD CONSTRAINT k FOREIGN KEY (a) REFERENCES y (b) NOT VALID", None), ("SELECT 'DROP TABLE x'", None)])
 def test_ddl(spark, ddl, worst):
     found = analysis.ddl_safety(spark, ddl)
     assert (found[0]["severity"] if found else None) == worst

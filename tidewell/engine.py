@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import advise, diff, graph, lookup, profile, search, statements, write
 from tidewell.operators.policy import ADMIN, READ, WRITE, Policy, PolicyError, check
-from tidewell.operators.select import Caps, dialect, run_select
+from tidewell.operators.select import Caps, dialect, guarded, run_select
 from tidewell.plans import analysis
 from tidewell.sources import exports, store
 from tidewell.sources.catalog import CatalogSpec, fingerprint, from_frames, list_objects, object_hashes, prefix_completion
@@ -51,7 +51,7 @@ TOOLS = {
     "get_join_path": (READ, "the shortest way to join two objects"),
     "sample_values": (READ, "values of a column"),
     "rebuild_index": (READ, "profiles the tables and writes the search index"),
-    "refresh_index": (READ, "rebuilds the index with its scope"),
+    "refresh_index": (READ, "brings the index up to date, profiling only what changed"),
     "get_index_status": (READ, "whether the index exists and still fits"),
     "get_ddl": (READ, "the definition of an object"),
     "table_stats": (READ, "size, files and column statistics of a table"),
@@ -86,6 +86,12 @@ TOOLS = {
 SETTINGS = ("spark.master", "spark.driver.memory", "spark.executor.memory", "spark.executor.cores", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes", "spark.sql.ansi.enabled", "spark.sql.session.timeZone", "spark.sql.warehouse.dir", "spark.checkpoint.dir", "spark.serializer", "spark.memory.fraction", "spark.sql.cbo.enabled", "spark.sql.ansi.doubleQuotedIdentifiers")
 
 
+#: Answers of searches that are kept for each version of an index.
+KEPT_ANSWERS = 256
+#: Most distinct values of a column that orient calls an enumeration.
+ENUM_VALUES = 20
+
+
 @dataclass
 class Connection:
     """Tables by name (folders), their catalog, and statistics relations that other systems may fill."""
@@ -109,6 +115,7 @@ class Engine:
         self.spark, self.connections = spark, connections
         self.active = next(iter(connections))
         self.log: list[tuple[str, float, int]] = []
+        self._loaded: dict[tuple[str, str], dict] = {}
         self._lock = threading.Lock()
         self._warm()
 
@@ -143,7 +150,7 @@ class Engine:
         order = (READ, WRITE, ADMIN)
         if order.index(self.now.policy.mode) < order.index(TOOLS[tool][0]):
             raise PolicyError(f"{tool} needs {TOOLS[tool][0]} mode")
-        return exports.columnarize(getattr(self, f"_{tool}")(**arguments), keep=("path", "objects"))
+        return exports.columnarize(getattr(self, f"_{tool}")(**arguments), keep=("path", "objects", "enums"))
 
     def _list_connections(self):
         return [{"name": n, "host": c.host, "database": c.database, "mode": c.policy.mode, "active": n == self.active} for n, c in self.connections.items()]
@@ -213,20 +220,34 @@ class Engine:
         check(self.spark, sql, self.now.policy)
         return self.spark._jvm.PythonSQLUtils.explainString(self.spark.sql(sql)._jdf.queryExecution(), mode)
 
-    def _export_query(self, sql: str, fmt: str = "csv", table: str | None = None):
+    def _export_query(self, sql: str, fmt: str = "csv", table: str | None = None, path: str | None = None):
+        """A query's rows as text, at most the cap of rows and characters, which the result tells; or all rows as files in a new folder.
+
+        With a path the rows stay distributed: each task writes lines, one for a row; the CSV header is returned, not written.
+        """
         c = self.now
-        r = run_select(self.spark, sql, c.policy, c.caps, limit=c.caps.most_rows)
+        if fmt == "sqlinsert" and not table:
+            raise ValueError("INSERT statements need a table")
+        if path is None:
+            r = run_select(self.spark, sql, c.policy, c.caps, limit=c.caps.most_rows)
+            text = exports.insert_statements(r.columns, r.rows, *self._named(table)) if fmt == "sqlinsert" else exports.render(r.columns, r.rows, fmt)
+            text, cut = exports.cap(text, c.caps.characters)
+            return {"format": fmt, "content": text, "row_count": len(r.rows), "total_count": r.total_count, "truncated": cut or r.has_more, "piiRedactedColumns": r.redacted}
+        df, hidden = guarded(self.spark, sql, c.policy)
         if fmt == "sqlinsert":
-            if not table:
-                raise ValueError("INSERT statements need a table")
-            schema, _, name = table.rpartition(".")
-            quoted = ", ".join('"' + x.replace('"', '""') + '"' for x in r.columns)
-
-            def one(v):
-                return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int | float) else "'" + str(v).replace("'", "''") + "'"
-
-            return "\n".join(f'INSERT INTO "{schema or "public"}"."{name}" ({quoted}) VALUES ({", ".join(map(one, row))});' for row in r.rows)
-        return exports.render(r.columns, r.rows, fmt)
+            lines = exports.insert_lines(df, *self._named(table))
+        elif fmt in ("csv", "markdown"):
+            lines = exports.csv_lines(df) if fmt == "csv" else exports.markdown_lines(df)
+        elif fmt == "json":
+            lines = df.select(F.to_json(F.struct(*[F.col(f"`{n}`") for n in df.columns])).alias("line"))
+        else:
+            raise ValueError(f"{fmt} cannot be written as files")
+        lines.write.text(path)
+        return {"format": fmt, "path": path, "header": exports.csv_header(df) if fmt == "csv" else None, "truncated": False, "piiRedactedColumns": hidden}
+
+    def _named(self, table: str) -> tuple[str, str]:
+        schema, _, name = table.rpartition(".")
+        return schema or self.now.policy.default_schema, name
 
     def _sample_values(self, ref: str, col: str, limit: int = 20):
         self._require_column(ref, col)
@@ -243,12 +264,49 @@ class Engine:
         s = self.spec()
         return self._visible(s.objects(self.spark)), self._visible(s.columns(self.spark)), s.keys(self.spark)
 
-    def _search_schema(self, query: str, limit: int = search.TOP):
-        objects, columns, _ = self._frames()
+    def _index(self) -> dict | None:
+        """The stored index of the active connection while it fits the catalog: its relations, kept in memory by version."""
+        if not self.now.index_root:
+            return None
+        version = store.version(self.spark, self.now.index_root)
+        if version is None:
+            return None
+        key = (self.now.index_root, version)
+        if key not in self._loaded:
+            kept = store.read(self.spark, self.now.index_root)
+            if kept["fingerprint"] != self._fingerprint():
+                return None  # an index of another catalog would name what is not there
+            relations = {n: df.cache() if n in ("postings", "synonyms", "values", "embeddings", "objects", "edges") else df for n, df in kept["relations"].items()}
+            for old in [k for k in self._loaded if k[0] == key[0]]:
+                for df in self._loaded.pop(old)["relations"].values():
+                    df.unpersist()
+            self._loaded[key] = {"relations": relations, "tables": relations["objects"].where("kind = 'table'").count(), "hits": {}}
+        return self._loaded[key]
+
+    def _search_schema(self, query: str, limit: int = search.TOP, semantic: bool = False):
+        """Objects by words, names, comments and values; with ``semantic`` fused with the nearest vectors where the index has some.
+
+        The stored postings, synonyms and values are read if there are any. Answers are kept with the index's version and the
+        policy, so the same question is not worked out twice.
+        """
+        index, rules = self._index(), self.now.policy
+        asked_for = (query, limit, semantic, rules)
+        if index and asked_for in index["hits"]:
+            return index["hits"][asked_for]
         asked = self.spark.createDataFrame([(query,)], "query string")
-        values = store.load(self.spark, self.now.index_root)["values"] if self._get_index_status()["exists"] else None
-        hits = search.search(asked, objects, columns, search.synonyms(self.spark, objects, columns), limit, None if values is None else self._visible(values))
-        return _rows(hits.select("ref", "kind", "score", "rank").orderBy("rank"))
+        if index:
+            r = index["relations"]
+            objects = self._visible(r["objects"])
+            hits = search.search_postings(asked, self._visible(r["postings"]), r["synonyms"], objects, index["tables"], limit, self._visible(r["values"]), self._visible(r["embeddings"]) if semantic and "embeddings" in r else None)
+        else:
+            objects, columns, _ = self._frames()
+            hits = search.search(asked, objects, columns, search.synonyms(self.spark, objects, columns), limit)
+        out = _rows(hits.select("ref", "kind", "score", "rank").orderBy("rank"))
+        if index:
+            if len(index["hits"]) >= KEPT_ANSWERS:
+                index["hits"].pop(next(iter(index["hits"])))
+            index["hits"][asked_for] = out
+        return out
 
     def _inspect_or_search(self, query: str, limit_objects: int = 3):
         return [h | {"object": self._describe_object(h["ref"])} for h in self._search_schema(query, max(1, min(20, limit_objects)))]
@@ -302,19 +360,31 @@ class Engine:
         objects, columns, keys = self._frames()
         if focus:
             objects = objects.where(F.lower("ref").contains(focus.lower()))
-        return {"objects": _rows(graph.orient(objects, columns, graph.join_graph(objects, columns, keys)))}
+        out = {"objects": _rows(graph.orient(objects, columns, graph.join_graph(objects, columns, keys))), "enums": {}, "notes": []}
+        total = objects.where("NOT excluded").count()
+        if total > len(out["objects"]):
+            out["notes"].append(f"{len(out['objects'])} of {total} objects are shown; name a focus for others")
+        status, index = self._get_index_status(), self._index()
+        if not status["exists"]:
+            out["notes"].append("there is no index: rebuild_index makes one, with profiles and values")
+        elif status["drift"]:
+            out["notes"].append("the catalog has changed since the index was built: refresh_index")
+        if index and "profiles" in index["relations"]:
+            r, shown = index["relations"], {o["ref"] for o in out["objects"]}
+            few = profile.enum_like(self._visible(r["top"]), self._visible(r["profiles"]), ENUM_VALUES)
+            out["enums"] = {f"{x.ref}.{x.col}": x["values"].split(", ") for x in few.collect() if x.ref in shown and not self.now.policy.protects(x.ref, x.col)}
+        return out
 
     def _db_schema_completions(self, prefix: str):
         return [r["ref"] for r in prefix_completion(self._frames()[0].where("NOT excluded"), prefix).collect()]
 
     # --- the index
 
-    def _rebuild_index(self):
-        """Profiles every visible table and writes objects, columns, keys, postings, synonyms, edges, values and profiles."""
-        objects, columns, keys = self._frames()
+    def _profiled(self, refs: set[str] | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+        """Profiles and common values of the visible tables (of ``refs`` only, if given)."""
         profiles, top = None, None
         for t in self.spec().tables:
-            if t.name not in self.now.tables or not self.now.policy.allows(t.ref):
+            if t.name not in self.now.tables or not self.now.policy.allows(t.ref) or refs is not None and t.ref not in refs:
                 continue
             open_columns = [c.name for c in t.columns if not c.pii and not self.now.policy.protects(t.ref, c.name)]
             one = profile.profile(self.table(t.name), t.ref, open_columns, approximate=True)
@@ -323,13 +393,38 @@ class Engine:
             if texts:
                 few = profile.top_values(self.table(t.name), t.ref, texts)
                 top = few if top is None else top.unionAll(few)
-        relations = {"objects": objects, "columns": columns, "keys": keys, "postings": search.postings(objects, columns), "synonyms": search.synonyms(self.spark, objects, columns), "edges": graph.join_graph(objects, columns, keys), "hashes": object_hashes(objects, columns, keys)}
+        return profiles, top
+
+    def _rebuild_index(self, old: dict | None = None, refs: set[str] | None = None):
+        """Profiles every visible table and writes objects, columns, keys, postings, synonyms, edges, values, profiles and vectors."""
+        objects, columns, keys = self._frames()
+        hashes = object_hashes(objects, columns, keys)
+        profiles, top = self._profiled(refs)
+        relations = {"objects": objects, "columns": columns, "keys": keys, "postings": search.postings(objects, columns), "synonyms": search.synonyms(self.spark, objects, columns), "edges": graph.join_graph(objects, columns, keys), "hashes": hashes}
+        relations["embeddings"] = search.build_embeddings(search.embedding_document(objects, columns), hashes, old.get("embeddings") if old else None)
+        if old is not None:
+            # what did not change keeps its rows; objects that are gone lose theirs
+            same = objects.select("ref").where(~F.col("ref").isin(sorted(refs))) if refs else objects.select("ref")
+            profiles, top = (kept if new is None else kept.unionByName(new) for kept, new in ((old[n].join(same, "ref", "left_semi").select(old[n].columns), x) for n, x in (("profiles", profiles), ("top", top))))
         if profiles is not None:
             relations["profiles"] = profiles
-        relations["values"] = search.values_index(top) if top is not None else self.spark.createDataFrame([], "token string, ref string, col string")
-        return {"version": store.save(self.spark, self.now.index_root, relations, self._fingerprint()), "relations": sorted(relations)}
-
-    _refresh_index = _rebuild_index
+        relations["top"] = top if top is not None else self.spark.createDataFrame([], "ref string, col string, value string, freq long, share double, rank int")
+        relations["values"] = search.values_index(relations["top"])
+        return {"version": store.save(self.spark, self.now.index_root, relations, self._fingerprint()), "relations": sorted(relations), "profiled": sorted(refs) if refs is not None else "all"}
+
+    def _refresh_index(self):
+        """Profiles and embeds again only objects whose definition has changed or that are new; all of them if there is no index."""
+        if not self._get_index_status()["exists"]:
+            return self._rebuild_index()
+        old = store.load(self.spark, self.now.index_root)
+        if not {"hashes", "profiles", "top", "embeddings"} <= old.keys():
+            return self._rebuild_index()
+        objects, columns, keys = self._frames()
+        changed = {r.ref for r in store.changed_objects(old["hashes"], object_hashes(objects, columns, keys)).collect()}
+        gone = old["hashes"].join(objects, "ref", "left_anti").count()
+        if not changed and not gone and not self._get_index_status()["drift"]:
+            return {"version": store.version(self.spark, self.now.index_root), "relations": sorted(old), "profiled": []}
+        return self._rebuild_index(old, changed)
 
     def _fingerprint(self) -> str:
         return fingerprint(self.spec().objects(self.spark)).first()[0]
@@ -444,14 +539,32 @@ class Engine:
 
         return side(source), side(target)
 
+    def _parts(self, schema: str) -> DataFrame:
+        """Keys and indexes of a schema as table_name, kind, name, definition."""
+        rows = []
+        for t in (t for t in self.spec().tables if t.schema == schema):
+            primary = [c.name for c in t.columns if c.is_pk]
+            if primary:
+                rows.append((t.name, "primary_key", f"{t.name}_pkey", f"PRIMARY KEY ({', '.join(primary)})"))
+            for k in t.foreign_keys:
+                ref = k.ref if k.ref.split(".")[0] != schema else k.ref.split(".", 1)[1]  # a key inside the schema is the same in both
+                rows.append((t.name, "foreign_key", k.name or f"{t.name}_{k.columns[0]}_fkey", f"FOREIGN KEY ({', '.join(k.columns)}) REFERENCES {ref} ({', '.join(k.ref_columns)})"))
+            rows += [(t.name, "index", f"{t.name}_{'_'.join(i)}_idx", f"({', '.join(i)})") for i in t.indexes]
+        return self.spark.createDataFrame(rows, "table_name string, kind string, name string, definition string")
+
     def _schema_diff(self, source: str, target: str):
         a, b = self._sides(source, target)
-        return {"tables": _rows(diff.ordered(diff.table_diff(a, b), "table_name")), "columns": _rows(diff.ordered(diff.schema_diff(a, b), "table_name", "name"))}
+        parts = _rows(diff.ordered(diff.part_diff(self._parts(source), self._parts(target)), "table_name", "kind", "name"))
+        return {
+            "tables": _rows(diff.ordered(diff.table_diff(a, b), "table_name")), "columns": _rows(diff.ordered(diff.schema_diff(a, b), "table_name", "name")),
+            "constraints": [p for p in parts if p["kind"] != "index"], "indexes": [p for p in parts if p["kind"] == "index"],
+        }
 
     def _generate_migration(self, source: str, target: str):
         a, b = self._sides(source, target)
-        steps = diff.migration(diff.schema_diff(a, b), diff.table_diff(a, b), source)
-        return "\n".join(r.statement for r in steps.orderBy("table_name", "step", "statement").collect())
+        steps = diff.migration(diff.schema_diff(a, b), diff.table_diff(a, b), source).unionByName(diff.part_migration(diff.part_diff(self._parts(source), self._parts(target)), diff.table_diff(a, b), source))
+        # keys to a table come after all tables, whatever its name
+        return "\n".join(r.statement for r in steps.orderBy(F.col("step") >= 6, "table_name", "step", "statement").collect())
 
     # --- edits
 

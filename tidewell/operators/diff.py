@@ -37,6 +37,33 @@ def table_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     return compare(source.select("table_name").distinct(), target.select("table_name").distinct(), ["table_name"], [])
 
 
+def part_diff(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Differences of keys and indexes (table_name, kind, name, definition) of two schemas."""
+    return compare(source, target, ["table_name", "kind", "name"], ["definition"])
+
+
+def part_migration(diff: DataFrame, tables: DataFrame, schema: str = "public") -> DataFrame:
+    """table_name, step, statement for keys and indexes: dropped ones are commented out, changed ones are dropped and made anew.
+
+    A foreign key is added without checking old rows and validated afterwards, so no table stays locked while it is read.
+    """
+    gone = tables.where("status = 'removed'").select("table_name")
+    own = diff.where("status <> 'unchanged'").join(gone, "table_name", "left_anti")
+    table = F.concat(F.lit(f'"{schema}"."'), F.col("table_name"), F.lit('"'))
+    name = F.concat(F.lit('"'), F.col("name"), F.lit('"'))
+    is_index, is_foreign = F.col("kind") == "index", F.col("kind") == "foreign_key"
+    drop = F.when(is_index, F.concat(F.lit(f'DROP INDEX "{schema}".'), name, F.lit(";"))).otherwise(F.concat(F.lit("ALTER TABLE "), table, F.lit(" DROP CONSTRAINT "), name, F.lit(";")))
+    add = F.when(is_index, F.concat(F.lit("CREATE INDEX "), name, F.lit(" ON "), table, F.lit(" "), "new_definition", F.lit(";"))).otherwise(F.concat(F.lit("ALTER TABLE "), table, F.lit(" ADD CONSTRAINT "), name, F.lit(" "), "new_definition", F.when(is_foreign, " NOT VALID;").otherwise(";")))
+    validate = F.concat(F.lit("ALTER TABLE "), table, F.lit(" VALIDATE CONSTRAINT "), name, F.lit(";"))
+
+    def steps(condition, step, statement):
+        return own.where(condition).select("table_name", F.lit(step).alias("step"), statement.alias("statement"))
+
+    new = F.col("status").isin("added", "changed")
+    out = steps(F.col("status") == "removed", 8, F.concat(F.lit("-- "), drop))
+    return out.unionAll(steps(F.col("status") == "changed", 6, drop)).unionAll(steps(new, 7, add)).unionAll(steps(new & is_foreign, 9, validate))
+
+
 def ordered(diff: DataFrame, *names: str) -> DataFrame:
     rank = F.lit(len(STATUSES))
     for k, s in reversed(list(enumerate(STATUSES))):

@@ -112,12 +112,20 @@ def ranked(scores: DataFrame, by: list[str], k: int = TOP) -> DataFrame:
 
 def search(queries: DataFrame, objects: DataFrame, columns: DataFrame, syn: DataFrame, k: int = TOP, values_index: DataFrame | None = None) -> DataFrame:
     """query, ref, kind, score, rank: excluded objects never appear; a query without words finds nothing."""
-    shown = objects.where(~F.col("excluded"))
     n = objects.where(F.col("kind") == "table").count()
-    scores = lexical_scores(queries, postings(objects, columns), syn, n)
+    return search_postings(queries, postings(objects, columns), syn, objects, n, k, values_index)
+
+
+def search_postings(queries: DataFrame, posts: DataFrame, syn: DataFrame, objects: DataFrame, n_tables: int, k: int = TOP, values_index: DataFrame | None = None, embeddings: DataFrame | None = None, embed=None) -> DataFrame:
+    """The same over postings that are there already, and fused with vectors if there are some."""
+    shown = objects.where(~F.col("excluded"))
+    scores = lexical_scores(queries, posts, syn, n_tables)
     if values_index is not None:
         scores = with_value_boost(scores, queries, values_index)
-    return ranked(scores.where("score > 0").join(shown.select("ref", "kind"), "ref"), ["query"], k).select("query", "ref", "kind", "score", "rank")
+    scores = scores.where("score > 0")
+    if embeddings is not None:
+        scores = hybrid_search(queries, scores, embeddings, shown, k, embed or hashed_embedding).drop("rank")
+    return ranked(scores.join(shown.select("ref", "kind"), "ref"), ["query"], k).select("query", "ref", "kind", "score", "rank")
 
 
 def cosine_top(vectors: DataFrame, probes: DataFrame, k: int, block: int = 256, tile: int = 4096) -> DataFrame:
@@ -164,9 +172,9 @@ def embedding_document(objects: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
-    """A deterministic stand-in for an embedding model: signed counts of the words' hashes."""
-    tokens = tokenize(text)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(tokens, F.lit(0.0), lambda s, t: s + F.when(F.pmod(F.xxhash64(t), F.lit(size)) == i, F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
+    """A deterministic stand-in for an embedding model: signed counts of the words' hashes. Each word is hashed once."""
+    bucket = F.transform(tokenize(text), lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(size)).cast("int").alias("at"), F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
+    return F.aggregate(bucket, F.array_repeat(F.lit(0.0), size), lambda v, w: F.concat(F.slice(v, F.lit(1), w["at"]), F.array(F.element_at(v, w["at"] + 1) + w["sign"]), F.slice(v, w["at"] + 2, F.lit(size))))
 
 
 def build_embeddings(documents: DataFrame, hashes: DataFrame, old: DataFrame | None = None, embed=hashed_embedding, model: str = "hashed-words", size: int = 64) -> DataFrame:

@@ -7,6 +7,7 @@ import threading
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +89,34 @@ def with_time_limit(spark: SparkSession, milliseconds: int, work):
             spark.sparkContext.setLocalProperty(key, None)
 
 
+def guarded(spark: SparkSession, sql: str, policy: Policy, parameters: list | None = None) -> tuple[DataFrame, list[str]]:
+    """A permitted statement's rows with what depends on protected columns masked, and the masked columns.
+
+    An unknown column is told with those of the statement's tables that are written nearly so.
+    """
+    tables = check(spark, sql, policy)
+    try:
+        df = spark.sql(sql, args={f"p{k}": v for k, v in enumerate(parameters, 1)} if parameters else None)
+    except AnalysisException as e:
+        if "UNRESOLVED_COLUMN" not in (e.getCondition() or ""):
+            raise
+        asked = (e.getMessageParameters() or {}).get("objectName", "").split(".")[-1].strip("`")
+        near = nearest(spark, asked, [c for t in tables for c in spark.table(t).columns if not policy.protects(t, c)])
+        raise LookupError(f"no column {asked}" + (f"; near it: {', '.join(near)}" if near else "")) from e
+    hidden = tainted_outputs(df, policy.protected) if policy.pii_columns else []
+    return (mask(df, hidden) if hidden else df), hidden
+
+
+def nearest(spark: SparkSession, asked: str, names: list[str], most: int = 3) -> list[str]:
+    """The names at the least edit distances from what was asked, at most a third of its length (two at least)."""
+    if not names:
+        return []
+    known = spark.createDataFrame([(n,) for n in sorted(set(names))], "name string")
+    distance = F.levenshtein(F.lower("name"), F.lit(asked.lower()))
+    found = known.select("name", distance.alias("d")).where(F.col("d") <= max(2, len(asked) // 3)).orderBy("d", "name").limit(most)
+    return [r["name"] for r in found.collect()]
+
+
 def run_select(spark: SparkSession, sql: str, policy: Policy = Policy(), caps: Caps = Caps(), parameters: list | None = None, limit: int | None = None, fmt: str = "columnar", timeout_ms: int | None = None, estimates: dict[str, float] | None = None, profiles: dict | None = None) -> Result:
     """Runs one read-only statement and renders at most the row limit; the total is counted beside it.
 
@@ -95,9 +124,7 @@ def run_select(spark: SparkSession, sql: str, policy: Policy = Policy(), caps: C
     """
     sql = dialect(sql)
     tables = check(spark, sql, policy)
-    df = spark.sql(sql, args={f"p{k}": v for k, v in enumerate(parameters, 1)} if parameters else None)
-    hidden = tainted_outputs(df, policy.protected) if policy.pii_columns else []
-    shown = mask(df, hidden) if hidden else df
+    shown, hidden = guarded(spark, sql, policy, parameters)
     n = caps.row_limit(limit)
     first, total = page(shown, n)
 

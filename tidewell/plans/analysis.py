@@ -114,8 +114,9 @@ def tune(spark: SparkSession, sql: str) -> dict:
 
 def ddl_safety(spark: SparkSession, ddl: str) -> list[dict]:
     """Risks of a DDL statement by its parsed commands; one that does not parse is critical."""
+    unchecked = re.compile(r"\s+NOT\s+VALID\b", re.I)
     try:
-        plan = tree.parsed(spark, ddl)
+        plan = tree.parsed(spark, unchecked.sub("", ddl))
     except Exception as e:
         return [{"severity": "CRITICAL", "what": f"it does not parse: {str(e).splitlines()[0][:120]}"}]
     out = []
@@ -129,6 +130,12 @@ def ddl_safety(spark: SparkSession, ddl: str) -> list[dict]:
             out.append({"severity": "CRITICAL" if re.search(r"\bTYPE\b", ddl, re.I) or name == "ReplaceColumns" else "MEDIUM", "what": "changes a column in place"})
         elif name == "DropColumns":
             out.append({"severity": "HIGH", "what": "drops a column with its data"})
+        elif name == "AddConstraint":
+            foreign = re.search(r"\bFOREIGN\s+KEY\b", ddl, re.I)
+            if foreign and not unchecked.search(ddl):
+                out.append({"severity": "HIGH", "what": "checks all rows of both tables while they are locked: add the key NOT VALID and validate it later"})
+            elif not foreign:
+                out.append({"severity": "HIGH" if not unchecked.search(ddl) else "LOW", "what": "checks all rows of the table while it is locked"})
         elif name in ("CreateIndex", "ReplaceTable", "ReplaceTableAsSelect"):
             out.append({"severity": "CRITICAL", "what": "rebuilds an object while it is in use"})
     return out

@@ -131,6 +131,19 @@ def insert_lines(df: DataFrame, schema: str, table: str) -> DataFrame:
     return df.select(F.concat(F.lit(head), F.concat_ws(", ", *[one(c) for c in df.columns]), F.lit(");")).alias("line"))
 
 
+def insert_statements(columns: list[str], rows: list[list], schema: str, table: str) -> str:
+    """INSERT statements of rows that are on the driver, written as ``insert_lines`` writes them."""
+
+    def quoted(name: str) -> str:
+        return '"' + name.replace('"', '""') + '"'
+
+    def one(v) -> str:
+        return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int | float) else "'" + str(v).replace("'", "''") + "'"
+
+    head = f"INSERT INTO {quoted(schema)}.{quoted(table)} ({', '.join(map(quoted, columns))}) VALUES ("
+    return "\n".join(head + ", ".join(map(one, r)) + ");" for r in rows)
+
+
 def markdown_lines(df: DataFrame) -> DataFrame:
     """line: one row of a pipe table; pipes are escaped, line ends become spaces."""
 

@@ -33,10 +33,24 @@ def save(spark: SparkSession, root: str, relations: dict[str, DataFrame], finger
 
 
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The relations of the stored index by name."""
+    return read(spark, root)["relations"]
+
+
+def read(spark: SparkSession, root: str) -> dict:
+    """relations, version and fingerprint of the stored index."""
     manifest = spark.read.parquet(f"{root}/POINTER").first()
     if manifest["format"] != FORMAT:
         raise ValueError(f"index format {manifest['format']} is not {FORMAT}: rebuild it")
-    return {name: spark.read.parquet(f"{root}/{manifest['version']}/{name}") for name in manifest["relations"]}
+    return {"relations": {name: spark.read.parquet(f"{root}/{manifest['version']}/{name}") for name in manifest["relations"]}, "version": manifest["version"], "fingerprint": manifest["fingerprint"]}
+
+
+def version(spark: SparkSession, root: str) -> str | None:
+    """The version that the pointer names, from the pointer's file names alone: a new pointer has new ones."""
+    fs, path = _fs(spark, root)
+    if not fs.exists(path(f"{root}/POINTER")):
+        return None
+    return "|".join(sorted(f.getPath().getName() for f in fs.listStatus(path(f"{root}/POINTER")) if f.getPath().getName().startswith("part-")))
 
 
 def status(spark: SparkSession, root: str, live_fingerprint: str) -> dict:
