@@ -101,21 +101,20 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     with their number; each range then gets a copy of the row that follows it. The copies are found among one row a range.
     """
     spark = docs.sparkSession
-    order = ["doc_id", "__head", "__hash"]
-    keyed = docs.withColumns({"__head": F.substring("text", 1, TIE_CHARS), "__hash": F.xxhash64("text")})
+    order = [F.asc_nulls_first("doc_id"), F.substring("text", 1, TIE_CHARS), F.xxhash64("text")]
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_ROWS))
-    ranged = materialize(keyed.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-    key = F.struct(F.col("doc_id").isNotNull().alias("given"), *order)
+    ranged = materialize(docs.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    key = F.struct(F.col("doc_id").isNotNull().alias("given"), F.col("doc_id"), order[1].alias("head"), order[2].alias("hash"))
     # the least key of each range from narrow rows, then the rows that have it (equal ones: any)
-    least = ranged.groupBy("__range").agg(F.min(key).alias("__key")).select("__key", F.col("__range").alias("__at"))
-    firsts = ranged.join(least, (F.col("__range") == F.col("__at")) & (key == F.col("__key"))).groupBy("__range").agg(F.first(F.struct(*docs.columns, "__head", "__hash")).alias("row"))
+    least = ranged.select("__range", key.alias("key")).groupBy("__range").agg(F.min("key").alias("__key")).select("__key", F.col("__range").alias("__at"))
+    firsts = ranged.join(least, (F.col("__range") == F.col("__at")) & (key == F.col("__key"))).groupBy("__range").agg(F.first(F.struct(*docs.columns)).alias("row"))
     # one row a range: the range before it, or the last one for the first
     near = Window.orderBy("__range")
     every = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     copies = firsts.select("row.*", F.coalesce(F.lag("__range").over(near), F.max("__range").over(every)).alias("__range"), F.lit(True).alias("__copy"))
     # a stated number of partitions: what follows costs more than its bytes tell, so they must not be coalesced by size
     both = ranged.withColumn("__copy", F.lit(False)).unionByName(copies).repartition(ranges, "__range")
-    w = Window.partitionBy("__range").orderBy("__copy", F.asc_nulls_first("doc_id"), "__head", "__hash")
+    w = Window.partitionBy("__range").orderBy("__copy", *order)
     out = both.select(*docs.columns, "__copy", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried])
     return out.where("NOT __copy").drop("__copy")
 
@@ -123,7 +122,8 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness to each other and to the next document's."""
     docs = inputs(documents(spark, sf_dir))
-    df = with_next(with_vector(docs, "text", "vector"), ["text", "vector"])
+    # texts alone are shuffled: a text's vector is computed again where it is the next one, which costs less than carrying it
+    df = with_vector(with_vector(with_next(docs, ["text"]), "text", "vector"), "next_text", "next_vector")
     df = df.select("doc_id", "vector", "next_vector", F.length("text").cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 4) as int))")).alias("edited"))
     df = with_vector(df, "edited", "edited_vector")
     for v in ("vector", "edited_vector", "next_vector"):
