@@ -167,7 +167,7 @@ def _live(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _proposed(live: DataFrame, salt: int) -> DataFrame:
-    """a, b: each set with at most LEADERS others, one a salt."""
+    """a, b: each set a with at most LEADERS others, one a salt."""
     salts = range(salt * LEADERS, (salt + 1) * LEADERS)
     lead = [F.min(F.struct(F.xxhash64("name", F.lit(k)).alias("rank"), "name", "label", "n", "place")).alias(f"l{k}") for k in salts]
     led = live.groupBy("key").agg(*lead)
@@ -175,7 +175,7 @@ def _proposed(live: DataFrame, salt: int) -> DataFrame:
     met = live.join(led.select("key", each), "key").where("label <> x.l.label")
     met = met.where(possible(F.col("n"), F.col("x.l.n"), F.col("n") - F.col("place"), F.col("x.l.n") - F.col("x.l.place")))
     best = met.groupBy("name", F.col("x.salt").alias("salt")).agg(F.min(F.struct("x.l.rank", "x.l.name")).alias("best"))
-    return best.select(F.least("name", "best.name").alias("a"), F.greatest("name", "best.name").alias("b"))
+    return best.select(F.col("name").alias("a"), F.col("best.name").alias("b"))
 
 
 def _candidates(live: DataFrame) -> DataFrame:
@@ -275,9 +275,16 @@ def similar_rows(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     texts = materialize(texts.groupBy("name").agg(F.min("text").alias("text")), "texts")
     sure = _verified(near, sets, texts, shingle)
     for salt in range(ROUNDS + 1):
-        live = _live(lists, components(sure))
+        labels = components(sure)
+        live = _live(lists, labels)
         more = _verified(_proposed(live, salt) if salt < ROUNDS else _candidates(live), sets, texts, shingle)
         discard(live)
+        if salt < ROUNDS:  # one link a set is enough: what else it would join is a candidate later
+            more = more.groupBy("a").agg(F.min("b").alias("b"))
+        else:  # one link a pair of labels
+            x, y = (labels.select(F.col("node").alias(f"node_{c}"), F.col("root").alias(f"root_{c}")) for c in "ab")
+            named = more.join(x, F.col("a") == F.col("node_a"), "left").join(y, F.col("b") == F.col("node_b"), "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+            more = named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         sure = materialize(sure.unionAll(more), "sure")
     roots = components(sure)
     joined = entries.join(roots, entries.name == roots.node, "left").select("name", "first", F.coalesce("root", "name").alias("root"))
