@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from tidewell.llm.blocks import words_of
 from tidewell.llm.common import bounded_sample, column, discard, documents, inputs, map_batches, materialize, release
 from tidewell.llm.language_id import fold
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_OTHER, SAMPLE_BYTES = 2_000, 4_000, 4_000, 32 << 20
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_OTHER, SAMPLE_BYTES = 2_000, 4_000, 2_000, 16 << 20
+#: Texts whose hits are counted at a time while fitting.
+PART = 256
 #: Common English insults, in alphabetical order.
 INSULTS = frozenset("bastard bitch clown crap cretin damn disgusting dumb fool freak garbage hideous idiot idiotic ignorant imbecile jerk lame loser lunatic moron moronic nasty pathetic pig psycho retard scum shit shut stupid sucks trash ugly useless vermin vile worthless wretched".split())
 #: Voters of one feature each, and lexicons that share the features after them.
@@ -57,20 +60,18 @@ def features_of(word: str) -> list[str]:
     return out
 
 
-def _present(texts: list[str]) -> list[set[str]]:
+def _present(texts: list[str]) -> Iterator[set[str]]:
     known: dict[str, list[str]] = {}
-    out = []
     for text in texts:
         found: set[str] = set()
         for w in set(text.split()):
             if w not in known:
                 known[w] = features_of(w)
             found.update(known[w])
-        out.append(found)
-    return out
+        yield found
 
 
-def mine(present: list[set[str]], toxic: np.ndarray) -> list[str]:
+def mine(present: Iterable[set[str]], toxic: np.ndarray) -> list[str]:
     """Features that speak for the label, strongest first; of features in the same texts only the shortest."""
     for_, against = Counter(), Counter()
     for found, y in zip(present, toxic, strict=True):
@@ -172,7 +173,9 @@ class Scorer:
         # voter 0 is the given lexicon; a word of it that is mined too has a voter of its own beside it
         self.voter = {f: 1 + (k if k < SINGLE else SINGLE + k % LEXICONS) for k, f in enumerate(ranked)}
         self.voters = max(self.voter.values(), default=0) + 1
-        counts, length = self.counts(pa.array([*texts, *others], pa.string()))
+        every = [*texts, *others]
+        found = [self.counts(pa.array(every[k : k + PART], pa.string())) for k in range(0, len(every), PART)]
+        counts, length = (np.concatenate(x) for x in zip(*found, strict=True))
         # how often each voter's words come in texts that are labelled clean: what a voter must exceed
         clean = np.flatnonzero(~toxic)
         self.usual = (counts[clean].sum(axis=0) + 0.1) / max(1, length[clean].sum())
