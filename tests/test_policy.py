@@ -177,6 +177,16 @@ def test_plans(spark, sf):
     assert analysis.grade(41) == "critical" and analysis.skew_grade([1, 1, 1, 97])[1] in ("high", "medium")
 
 
+def test_nodes_are_graded(spark, sf):
+    register(spark, sf, ("lineitem", "orders"))
+    df = spark.sql("SELECT l_orderkey % 5 AS k, count(*) AS n, max(o_totalprice) AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+    found = analysis.metrics(df)
+    assert abs(sum(n["share"] for n in found["nodes"]) - 100) < 1e-6 and any(n["partitions"] for n in found["nodes"])
+    node = {"name": "Sort", "kind": "sort", "share": 45.0, "time_ms": 5000.0, "partitions": [1 << 20] * 9 + [1 << 24], "misestimate": 40.0, "data_size": 1 << 22}
+    worst = analysis.findings({"cartesian": 0, "spill_bytes": 0, "scans": 0, "filtered_scans": 0, "exchanges": 0, "joins": 0, "python": 0, "nodes": [node]})
+    assert [f["severity"] for f in worst] == ["critical", "high", "medium"]
+
+
 @pytest.mark.parametrize(("ddl", "worst"), [("DROP TABLE x", "CRITICAL"), ("TRUNCATE TABLE x", "CRITICAL"), ("ALTER TABLE x DROP COLUMN y", "HIGH"), ("ALTER TABLE x ALTER COLUMN y TYPE BIGINT", "CRITICAL"), ("nonsense", "CRITICAL"), ("ALTER TABLE x ADD CONSTRAINT k FOREIGN KEY (a) REFERENCES y (b)", "HIGH"), ("ALTER TABLE x ADD CONSTRAINT k FOREIGN KEY (a) REFERENCES y (b) NOT VALID", None), ("SELECT 'DROP TABLE x'", None)])
 def test_ddl(spark, ddl, worst):
     found = analysis.ddl_safety(spark, ddl)

@@ -11,42 +11,65 @@ from tidewell.plans import tree
 #: Shares of time at which a node is graded, and misestimates.
 GRADES = ((40.0, "critical"), (25.0, "high"), (15.0, "medium"))
 SKEWS = ((10.0, "critical"), (4.0, "high"), (2.0, "medium"))
+#: From which time and size on a node is graded, and how far an estimate may be off.
+LEAST_MS, LEAST_BYTES, MISESTIMATE = 1_000, 1 << 20, 10
 
 
-def _plan_nodes(node, depth: int = 0):
+#: Metrics of a node's own time; generated code counts as the node that holds it. Nanoseconds, if their name is listed as such.
+TIMES = ("pipelineTime", "shuffleWriteTime", "fetchWaitTime", "pythonTotalTime", "buildTime", "collectTime", "broadcastTime")
+
+
+def _plan_nodes(node, depth: int = 0, sizes: list[int] | None = None):
     name = node.getClass().getSimpleName()
     if name == "AdaptiveSparkPlanExec":
         yield from _plan_nodes(node.executedPlan(), depth)
         return
     if name.endswith("QueryStageExec"):
-        yield from _plan_nodes(node.plan(), depth)
+        found = node.mapStats() if name == "ShuffleQueryStageExec" else None
+        yield from _plan_nodes(node.plan(), depth, list(found.get().bytesByPartitionId()) if found is not None and found.isDefined() else None)
         return
-    yield node, depth
+    yield node, depth, sizes
     for child in tree.items(node.children()):
         yield from _plan_nodes(child, depth + 1)
 
 
+def _estimated_bytes(node) -> int | None:
+    link = node.logicalLink()
+    return int(str(link.get().stats().sizeInBytes())) if link.isDefined() else None
+
+
 def physical_nodes(df: DataFrame) -> list[dict]:
-    """The physical plan's nodes from the root down; after an action with what each of them counted."""
+    """The physical plan's nodes from the root down; after an action with what each of them counted.
+
+    time_ms is a node's own time over all tasks, share its part of all nodes' times in percent, partitions the bytes of an
+    exchange's partitions, misestimate how many times larger or smaller they are than the optimizer thought.
+    """
     out = []
-    for node, depth in _plan_nodes(df._jdf.queryExecution().executedPlan()):
+    for node, depth, sizes in _plan_nodes(df._jdf.queryExecution().executedPlan()):
         name = node.nodeName().strip()
         text = node.simpleStringWithNodeId() if hasattr(node, "simpleStringWithNodeId") else node.toString().split("\n")[0]
         kind = "scan" if "Scan" in name else "exchange" if "Exchange" in name else "join" if "Join" in name or "Cartesian" in name else "sort" if name == "Sort" else "aggregate" if "Aggregate" in name else "python" if re.search("Python|Pandas|Arrow", name) else "generate" if name == "Generate" else "window" if name.startswith("Window") else "other"
-        metrics = {}
+        metrics, time_ms = {}, 0.0
         found = node.metrics().iterator()
         while found.hasNext():
             pair = found.next()
             metrics[pair._1()] = pair._2().value()
+            if pair._1() in TIMES:
+                time_ms += max(0, pair._2().value()) / (1e6 if pair._2().metricType() == "nsTiming" else 1)
         detail = node.toString().split("\n")[0] if kind == "scan" else ""
-        out.append({"depth": depth, "name": name, "kind": kind, "rows": metrics.get("numOutputRows"), "spill": metrics.get("spillSize", 0), "data_size": metrics.get("dataSize", 0), "pushed": bool(re.search(r"(PushedFilters|PartitionFilters): \[[^\]]", detail)), "text": text[:200]})
+        size = metrics.get("dataSize", 0)
+        thought = _estimated_bytes(node) if kind == "exchange" and size else None
+        out.append({"depth": depth, "name": name, "kind": kind, "rows": metrics.get("numOutputRows"), "spill": metrics.get("spillSize", 0), "data_size": size, "pushed": bool(re.search(r"(PushedFilters|PartitionFilters): \[[^\]]", detail)), "time_ms": time_ms, "partitions": sizes, "misestimate": max(thought / size, size / thought) if thought else None, "text": text[:200]})
+    total = sum(n["time_ms"] for n in out)
+    for n in out:
+        n["share"] = 100 * n["time_ms"] / total if total else 0.0
     return out
 
 
 def metrics(df: DataFrame, run: bool = True) -> dict:
     """Counts by kind of node; with ``run`` the query is executed without keeping its rows, so counts of rows are there too."""
     if run:
-        df.write.format("noop").mode("overwrite").save()
+        df._jdf.queryExecution().toRdd().count()  # this very plan, so that its own metrics count
     nodes = physical_nodes(df)
     kinds = [n["kind"] for n in nodes]
     return {
@@ -83,6 +106,16 @@ def findings(found: dict) -> list[dict]:
         out.append({"severity": "medium", "what": f"{found['scans'] - found['filtered_scans']} of {found['scans']} scans read whole tables"})
     if found["exchanges"] > 2 * max(1, found["joins"]):
         out.append({"severity": "medium", "what": f"{found['exchanges']} exchanges: bucket or pre-partition the tables by their join keys"})
+    for n in found.get("nodes", ()):
+        if n["time_ms"] >= LEAST_MS and grade(n["share"]) != "low":
+            out.append({"severity": grade(n["share"]), "what": f"{n['name']} takes {n['share']:.0f} % of the plan's time ({n['time_ms']:.0f} ms)"})
+        filled = [p for p in n["partitions"] or () if p]
+        if sum(filled) >= LEAST_BYTES and len(filled) > 1:
+            ratio, step = skew_grade(filled)
+            if step != "low":
+                out.append({"severity": step, "what": f"{n['name']}: its largest partition is {ratio:.1f} times the mean"})
+        if n["misestimate"] and n["data_size"] >= LEAST_BYTES and n["misestimate"] >= MISESTIMATE:
+            out.append({"severity": "medium", "what": f"{n['name']} moved {n['misestimate']:.0f} times more or less than was estimated: compute the tables' statistics"})
     if found["python"]:
         out.append({"severity": "medium", "what": "Python takes part in the plan: built-in functions stay in generated code"})
     return sorted(out, key=lambda f: ("critical", "high", "medium", "low").index(f["severity"]))
@@ -93,7 +126,7 @@ def deep_analysis(spark: SparkSession, sql: str, run: bool = True, policy=None)
 
     check(spark, sql, policy or Policy())
     found = metrics(spark.sql(sql), run)
-    return {"metrics": {k: v for k, v in found.items() if k != "nodes"}, "findings": findings(found), "shape": sql_shape(spark, sql)}
+    return {"metrics": {k: v for k, v in found.items() if k != "nodes"}, "findings": findings(found), "nodes": [{k: n[k] for k in ("depth", "name", "kind", "rows", "time_ms", "share", "spill", "misestimate")} | {"grade": grade(n["share"])} for n in found["nodes"]], "shape": sql_shape(spark, sql)}
 
 
 def sql_shape(spark: SparkSession, sql: str) -> dict:
