@@ -429,7 +429,13 @@ def catalog_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.fingerprint(fx.WAREHOUSE.objects(spark))
 
 
-@query(None)
+@query(f"""
+WITH {ov.catalog(fx.WAREHOUSE)}, {ov.values("defined", "ref, definition", [(t.ref, t.definition) for t in fx.WAREHOUSE.tables])},
+c AS (SELECT ref, string_agg(concat_ws(':', name, type, CAST(not_null AS VARCHAR), coalesce(comment, '')), ',' ORDER BY ordinal) AS cols FROM cols GROUP BY ref),
+k AS (SELECT ref, string_agg(x, ',' ORDER BY x) AS fks FROM (SELECT ref, concat_ws(':', col, ref_table, ref_col) AS x FROM keys) GROUP BY ref)
+SELECT o.ref, sha1(concat_ws(';;', kind, CAST(CAST(row_estimate AS BIGINT) AS VARCHAR), coalesce(comment, ''), coalesce(c.cols, ''), pk, coalesce(fks, ''), coalesce(definition, ''))) AS object_hash
+FROM objects o JOIN defined USING (ref) LEFT JOIN c ON c.ref = o.ref LEFT JOIN k ON k.ref = o.ref
+""")
 def object_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.object_hashes(fx.WAREHOUSE.objects(spark), fx.WAREHOUSE.columns(spark), fx.WAREHOUSE.keys(spark))
 
