@@ -81,3 +81,19 @@ def test_odd_documents(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() > 0
+
+
+def test_each_stage_on_odd_rows(spark, sf):
+    """Every stage but the first keeps every distinct text: null and repeated ids, null, empty and very long texts."""
+    long = " ".join(f"word{k}" for k in range(60_000))
+    rows = [(None, "one text of its own", "en"), (7, "first text of seven", "en"), (7, "second text of seven", "de"), (8, None, "en"), (9, "", "en"), (10, " \t", None), (11, long, "en"), (11, long, "en")]
+    docs = spark.createDataFrame([(*r, None, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    near = corpus_pipeline.stage_near_dedup(spark, docs, sf).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:30]) for r in near) == sorted([(0, rows[0][1]), (7, rows[1][1]), (7, rows[2][1]), (8, ""), (11, long[:30])])
+    cut = corpus_pipeline.stage_substring_dedup(spark, docs, sf).collect()
+    assert len(cut) == len(rows) and {r.n_chars for r in cut if r.doc_id == 11} == {0}
+    assert sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.stage_pii(spark, docs, sf).collect()) == sorted((r[0] or 0, r[1] or "") for r in rows)
+    packed = corpus_pipeline.stage_packing(spark, docs, sf).collect()
+    assert sum(r.piece == 0 for r in packed) == len(rows) and {r.length for r in packed if r.doc_id in (8, 9)} == {1}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), sf).count() == 0

@@ -30,9 +30,7 @@ _BITS = 1 | 1 << FIELD
 _WORD, _ELEMENT, _COUNT = (1 << 32) - 1, (1 << 2 * FIELD) - 1, (1 << FIELD) - 1
 
 #: Rows of one range of the order, about; there are as many ranges as that takes.
-RANGE_ROWS = 20_000
-#: Characters of a text that settle the order of rows with one id before its hash does.
-TIE_CHARS = 64
+RANGE_ROWS = 50_000
 
 
 def _sum(hashes: str, part: str, modulus_mask: int) -> str:
@@ -93,29 +91,48 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return with_vector(inputs(docs, id_col, text_col), "text", "vector").select("doc_id", "vector", fingerprint_of(F.col("vector")).alias("fingerprint"))
 
 
+def _place() -> Column:
+    """A row's place in the order: null ids first, then doc_id, then the first seven bytes of the text as a number and a hash of all of it."""
+    head = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    return F.struct(F.col("doc_id").isNotNull().alias("given"), F.col("doc_id").alias("id"), head.alias("head"), F.xxhash64("text").alias("hash"))
+
+
+def _range_of(bounds: Column, n: Column, place: Column, most: int) -> Column:
+    """The last of the ascending bounds that is at most ``place``, counted from 0: a binary search in a fixed number of steps."""
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        low = F.element_at(bounds, middle + 1) <= place
+        return F.struct(F.when(low, middle).otherwise(s["lo"]).alias("lo"), F.when(low, s["hi"]).otherwise(middle).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, most.bit_length())))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), step, lambda s: s["lo"])
+
+
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """Adds next_<column> of the next row by ascending doc_id (null ids first; after the last row: the first).
 
-    Rows of one id follow each other by the first ``TIE_CHARS`` characters of their texts and then by a hash of all of it, so rows
-    of a repeated id are split like others. Spark deals the rows to ranges of that order, which are written to the shared folder
-    with their number; each range then gets a copy of the row that follows it. The copies are found among one row a range.
+    Rows of one id follow each other by the beginning of their texts and then by a hash of them, so rows of a repeated id are split over
+    ranges like others. Spark's own range partitioning of places alone gives the first place of each range: 32 bytes for
+    ``RANGE_ROWS`` rows, which is what each task gets to know. Then the rows are dealt to their ranges, the first row of a range to the range
+    before it too: texts are shuffled once and no task sees more than its range.
     """
     spark = docs.sparkSession
-    order = [F.asc_nulls_first("doc_id"), F.substring("text", 1, TIE_CHARS), F.xxhash64("text")]
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_ROWS))
-    ranged = materialize(docs.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-    key = F.struct(F.col("doc_id").isNotNull().alias("given"), F.col("doc_id"), order[1].alias("head"), order[2].alias("hash"))
-    # the least key of each range from narrow rows, then the rows that have it (equal ones: any)
-    least = ranged.select("__range", key.alias("key")).groupBy("__range").agg(F.min("key").alias("__key")).select("__key", F.col("__range").alias("__at"))
-    firsts = ranged.join(least, (F.col("__range") == F.col("__at")) & (key == F.col("__key"))).groupBy("__range").agg(F.first(F.struct(*docs.columns)).alias("row"))
-    # one row a range: the range before it, or the last one for the first
-    near = Window.orderBy("__range")
-    every = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    copies = firsts.select("row.*", F.coalesce(F.lag("__range").over(near), F.max("__range").over(every)).alias("__range"), F.lit(True).alias("__copy"))
+    n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_ROWS))
+    places = docs.select(_place().alias("place"))
+    firsts = places.repartitionByRange(n_ranges, "place").groupBy(F.spark_partition_id().alias("range")).agg(F.min("place").alias("place"))
+    # written once, so all tasks search the same bounds, whatever is computed again
+    bounds = materialize(firsts.agg(F.sort_array(F.collect_list("place")).alias("bounds")), "bounds").scalar()
+    n = F.size("__bounds")
+    placed = docs.withColumn("__bounds", bounds).withColumn("__place", _place())
+    placed = placed.withColumn("__range", _range_of(F.col("__bounds"), n, F.col("__place"), n_ranges))
+    is_first = F.element_at("__bounds", F.col("__range") + 1) == F.col("__place")
+    own, copy = F.struct(F.lit(False).alias("__copy"), F.col("__range").alias("__at")), F.struct(F.lit(True).alias("__copy"), F.pmod(F.col("__range") - 1, n).alias("__at"))
+    dealt = placed.withColumn("__to", F.explode(F.when(is_first, F.array(own, copy)).otherwise(F.array(own)))).select(*docs.columns, "__to.__copy", "__to.__at")
     # a stated number of partitions: what follows costs more than its bytes tell, so they must not be coalesced by size
-    both = ranged.withColumn("__copy", F.lit(False)).unionByName(copies).repartition(ranges, "__range")
-    w = Window.partitionBy("__range").orderBy("__copy", *order)
-    out = both.select(*docs.columns, "__copy", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried])
+    dealt = dealt.repartition(n_ranges, "__at")
+    w = Window.partitionBy("__at").orderBy("__copy", _place())
+    out = dealt.select(*docs.columns, "__copy", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried])
     return out.where("NOT __copy").drop("__copy")
 
 
