@@ -33,11 +33,20 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose text is accepted as one of the learned languages.
+
+    Null, empty and letterless texts are rejected and go, very long ones are judged whole. Each row is judged by its text alone, so
+    equal texts stay or go together, whatever their ids. Without any lang all rows go.
+    """
     identifier = language_id.fit(docs.select("doc_id", "text", "lang").where(language_id.fold("doc_id", 3) != 1))
     return _columns(language_id.identify(docs, identifier, carry=CARRIED + ("text",)).where("accepted"))
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of similar texts, see above; which one does not depend on the order of rows.
+
+    Texts without a word, null ones too, are one component. Texts of fewer words than a shingle are one shingle.
+    """
     first = shingle_join.similar_rows(docs, SHINGLE).where("doc_id <=> least.doc_id AND h = least.h")
     first = materialize(first.groupBy(F.col("doc_id").alias("id"), "h").agg(F.count("*").alias("rows")), "kept")
     keyed = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -50,14 +59,17 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without words in repeated windows; null texts become empty. Rows of one id are documents of their own."""
     return _columns(substring_dedup.dedup_substrings(docs, carry=CARRIED, keep_whole=True))
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with personal values replaced; null texts become empty, ids are not looked at."""
     return _columns(pseudonyms.pseudonymise(docs, pseudonyms.session_key(spark), carry=CARRIED))
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows with their places; a null or empty text is one piece of the end id, rows of one id have pieces each."""
     import public_tokenizers
 
     pieces, places = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
