@@ -115,7 +115,7 @@ def test_vectors_in_blocks(spark, sf):
 def test_labels_of_a_whole_table(spark, sf):
     from tidewell.queries import QUERIES
 
-    got = QUERIES["fk_label_resolve_all"](spark, sf)
+    got = QUERIES["fk_label_resolve"](spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/orders.parquet").count() and got.where("o_custkey__resolved IS NULL").isEmpty()
 
 
