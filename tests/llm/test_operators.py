@@ -353,6 +353,39 @@ def test_language_left_out(spark, sf):
         assert out.get(True, 0) <= 0.05 * sum(out.values())  # some texts hold another language too
 
 
+def test_many_languages(spark):
+    """All of 230 languages are learned, over many tables, and a language's scores do not depend on the others of its table."""
+    rng = random.Random(5)
+    words_of = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(230)}
+    rows = [(n, lang, " ".join(rng.choice(own) for _ in range(15))) for lang, own in words_of.items() for n in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    fitted = language_id.fit(df)
+    assert len(fitted.model.names) == 230 and len(fitted.model.tables) == 29
+    out = language_id.identify(df, fitted, carry=("lang",)).collect()
+    assert len(out) == len(rows) and sum(r.lang == r.lang_pred for r in out) > 0.98 * len(rows)
+    some = [pa.array(words_of["l007"]), pa.array(words_of["l100"]), pa.array(words_of["l200"])]
+    counts = [np.ones(12, int)] * 3
+    whole = language_id.Models(["a", "b", "c"], some, counts).score(pa.array(["abcdef", words_of["l100"][0]]))[0]
+    for k in range(3):
+        alphabet = language_id.Models(["a", "b", "c"], some, counts).tables[0].alphabet
+        alone = language_id.Model(["x"], [some[k]], [counts[k]], alphabet=alphabet).score(pa.array(["abcdef", words_of["l100"][0]]))[0]
+        assert np.allclose(alone[:, 0], whole[:, k], atol=1e-4)
+
+
+def test_sample_is_bounded(spark):
+    """A repeated text and a repeated id give the sample one text; rows and bytes are kept to."""
+    from tidewell.llm.common import bounded_sample
+
+    rows = [("a", "copy")] * 500 + [("a", f"text {k}") for k in range(300)] + [("b", None), ("b", "x" * 5_000), ("b", "y" * 5_000), ("b", "z")]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    some = bounded_sample(df, "lang", 50, 1 << 20)
+    assert 20 < some["lang"].to_pylist().count("a") <= 50 and some["lang"].to_pylist().count("b") == 4 and some["text"].to_pylist().count("copy") <= 1
+    few = bounded_sample(df.where("lang = 'b'"), "lang", 50, 4_000)
+    assert sum(map(len, few["text"].to_pylist())) <= 9_002 and few.num_rows < 4
+    assert few.equals(bounded_sample(df.where("lang = 'b'").repartition(2), "lang", 50, 4_000))
+    assert bounded_sample(df.where("false"), "lang", 50, 4_000).num_rows == 0
+
+
 def test_kneser_ney_is_a_distribution():
     model = language_id.Model(["x"], [pa.array(["abc", "abd", "bcd", "abab", "c"])], [np.array([3, 1, 2, 1, 4])])
     points, _ = language_id._characters(pa.array(["abcd"]))
