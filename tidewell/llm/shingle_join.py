@@ -245,6 +245,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int)
     return materialize(map_batches(both.select("a", "b", "text", "other"), make, "a long, b long"), "verified")
 
 
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """node, root after more links (a, b) of nodes: only the links between labels are looked at, each pair of labels once."""
+    x, y = (labels.select(F.col("node").alias(f"node_{c}"), F.col("root").alias(f"root_{c}")) for c in "ab")
+    named = more.join(x, F.col("a") == F.col("node_a"), "left").join(y, F.col("b") == F.col("node_b"), "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    new = components(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    to = new.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = labels.join(to, labels.root == to.old, "left").select("node", F.coalesce("new", "root").alias("root"))
+    return materialize(moved.unionByName(new.join(labels, "node", "left_anti").select("node", "root")), "labels")
+
+
 def similar_rows(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h (xxhash64 of the text, null as empty), least: doc_id and h of the first row of the component, of every row.
 
@@ -273,20 +283,15 @@ def similar_rows(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     first = entries.join(wanted, "name", "left_semi").select("name", F.col("first.doc_id").alias("id"), F.col("first.h").alias("h"))
     texts = docs.join(first, docs.doc_id.eqNullSafe(first.id) & (docs.h == first.h)).select("name", "text")
     texts = materialize(texts.groupBy("name").agg(F.min("text").alias("text")), "texts")
-    sure = _verified(near, sets, texts, shingle)
+    labels = components(_verified(near, sets, texts, shingle))
     for salt in range(ROUNDS + 1):
-        labels = components(sure)
         live = _live(lists, labels)
         more = _verified(_proposed(live, salt) if salt < ROUNDS else _candidates(live), sets, texts, shingle)
         discard(live)
         if salt < ROUNDS:  # one link a set is enough: what else it would join is a candidate later
             more = more.groupBy("a").agg(F.min("b").alias("b"))
-        else:  # one link a pair of labels
-            x, y = (labels.select(F.col("node").alias(f"node_{c}"), F.col("root").alias(f"root_{c}")) for c in "ab")
-            named = more.join(x, F.col("a") == F.col("node_a"), "left").join(y, F.col("b") == F.col("node_b"), "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-            more = named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sure = materialize(sure.unionAll(more), "sure")
-    roots = components(sure)
+        labels = _joined(labels, more)
+    roots = labels
     joined = entries.join(roots, entries.name == roots.node, "left").select("name", "first", F.coalesce("root", "name").alias("root"))
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
     ids = materialize(joined.join(least, "root").select("name", "least"), "ids")
