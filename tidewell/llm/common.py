@@ -58,6 +58,11 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what has been written: it notices that nothing needs them when the driver's heap is collected."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a table that ``materialize`` wrote, once nothing reads it any more."""
     path = table._tidewell_path

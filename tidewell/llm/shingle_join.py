@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import blocks as bl
-from tidewell.llm.common import column, discard, inputs, map_batches, materialize, mix64, prepare
+from tidewell.llm.common import column, discard, free_shuffles, inputs, map_batches, materialize, mix64, prepare
 from tidewell.llm.components import components
 from tidewell.llm.simhash import links, majority, shingle_hashes
 
@@ -125,6 +125,7 @@ def _posted(docs: DataFrame, shingle: int) -> DataFrame:
     found = bl.classes(bl.map_blocks(table, send, bl.KEYS_SCHEMA))
     out = materialize(bl.map_blocks(table.join(found, "block", "left"), post, "key long, name long, n int, place int, bits array<long>"), "posted")
     discard(table)
+    free_shuffles(docs.sparkSession)
     return out
 
 
@@ -283,6 +284,7 @@ def similar_rows(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     first = entries.join(wanted, "name", "left_semi").select("name", F.col("first.doc_id").alias("id"), F.col("first.h").alias("h"))
     texts = docs.join(first, docs.doc_id.eqNullSafe(first.id) & (docs.h == first.h)).select("name", "text")
     texts = materialize(texts.groupBy("name").agg(F.min("text").alias("text")), "texts")
+    free_shuffles(docs.sparkSession)
     labels = components(_verified(near, sets, texts, shingle))
     for salt in range(ROUNDS + 1):
         live = _live(lists, labels)
@@ -291,6 +293,7 @@ def similar_rows(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
         if salt < ROUNDS:  # one link a set is enough: what else it would join is a candidate later
             more = more.groupBy("a").agg(F.min("b").alias("b"))
         labels = _joined(labels, more)
+        free_shuffles(docs.sparkSession)
     roots = labels
     joined = entries.join(roots, entries.name == roots.node, "left").select("name", "first", F.coalesce("root", "name").alias("root"))
     least = joined.groupBy("root").agg(F.min("first").alias("least"))

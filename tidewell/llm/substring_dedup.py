@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import blocks as bl
 from tidewell.llm import recompression
-from tidewell.llm.common import carried, column, documents, inputs, materialize, mix64, typed
+from tidewell.llm.common import carried, column, documents, free_shuffles, inputs, materialize, mix64, typed
 
 WINDOW = 35
 #: Words that an anchor stands for and keys of candidate windows a word, for the number of buckets.
@@ -135,6 +135,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
 
     anchors = bl.classes(bl.map_blocks(table, send_anchors, bl.KEYS_SCHEMA))
     sent = materialize(bl.map_blocks(table.join(anchors, "block", "left"), send_windows, bl.KEYS_SCHEMA), "windows")
+    free_shuffles(docs.sparkSession)
     marked = sent.where("bucket < 0").select("block", F.col("counts").alias("marked"))
     windows = bl.classes(sent.where("bucket >= 0"), KEY_BYTES)
     return bl.map_blocks(table.join(marked, "block", "left").join(windows, "block", "left"), finish, f"{typed(docs, names)}n_words long, n_removed long, text string")
