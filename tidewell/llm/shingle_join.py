@@ -10,7 +10,7 @@ No SimHash distance guarantees that, so it only joins groups of near copies firs
 3. A posting list is of interest while its entries have different labels. A pair of it is a candidate only if sizes, what remains behind
    the shared shingle, and the bitmaps of both sets still allow the overlap that is needed. The bitmap holds the parities of the
    shingles in ``BITS`` classes: two sets differ in at least as many shingles as their bitmaps do in bits.
-4. Candidates are verified by their texts in rounds. In each of the first ``ROUNDS`` a set is paired with at most ``LEADERS`` others:
+4. Candidates are verified by their texts in rounds. In each but the last, until one joins nothing (``ROUNDS`` at most), a set is paired with at most ``LEADERS`` others:
    for each of so many salts with the one of least salted name among the leaders of its lists, a list's leader being its set of least salted name.
    So groups of near copies join by links in proportion to their sets. The last round takes all candidates whose labels still
    differ. Only bounds that hold for every similar pair drop any in it, so no link is lost.
@@ -37,7 +37,7 @@ from tidewell.llm.simhash import links, majority, shingle_hashes
 #: The least similarity as a fraction: bounds stay whole numbers.
 PART, WHOLE = 4, 5
 #: Bits of a set's bitmap; rounds of leaders, and leaders that a set is paired with in one; entries of a tile.
-BITS, ROUNDS, LEADERS, LIST = 512, 2, 4, 4_000
+BITS, ROUNDS, LEADERS, LIST = 512, 8, 4, 4_000
 #: Distinct shingles of a block, about, for the number of buckets.
 KEYS_PER_BLOCK = bl.BLOCK_BYTES // 6
 
@@ -288,11 +288,13 @@ def similar_rows(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     labels = components(_verified(near, sets, texts, shingle))
     for salt in range(ROUNDS + 1):
         live = _live(lists, labels)
-        more = _verified(_proposed(live, salt) if salt < ROUNDS else _candidates(live), sets, texts, shingle)
+        more = _verified(_proposed(live, salt), sets, texts, shingle) if salt < ROUNDS else None
+        if more is None or more.isEmpty():  # leaders join no more: all pairs that are left
+            labels = _joined(labels, _verified(_candidates(live), sets, texts, shingle))
+            break
         discard(live)
-        if salt < ROUNDS:  # one link a set is enough: what else it would join is a candidate later
-            more = more.groupBy("a").agg(F.min("b").alias("b"))
-        labels = _joined(labels, more)
+        # one link a set is enough: what else it would join is a candidate later
+        labels = _joined(labels, more.groupBy("a").agg(F.min("b").alias("b")))
         free_shuffles(docs.sparkSession)
     roots = labels
     joined = entries.join(roots, entries.name == roots.node, "left").select("name", "first", F.coalesce("root", "name").alias("root"))
