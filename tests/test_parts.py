@@ -112,6 +112,61 @@ def test_vectors_in_blocks(spark, sf):
     assert {(r.probe_id, r.vec_id) for r in got.collect()} == want
 
 
+def test_nearest_of_odd_vectors(spark):
+    """Nulls, sizes, zero norms, copies, repeated and missing ids: as the column expression scores them, ties by id."""
+    import random
+
+    from tidewell.functions.text import cosine
+    from tidewell.operators import search
+
+    rng = random.Random(2)
+    rows = [(k, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(6)]) for k in range(300)] + [(1000 + k, [0.5, 1.0, 2.0, 0.0, 0.0, 1.0]) for k in range(90)]
+    rows += [(500, None), (501, None), (550, []), (551, [1.0]), (600, [0.0] * 6), (601, [0.0] * 6), (650, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (700, [float("nan")] + [1.0] * 5), (None, [1.0] * 6), (150, [1.0] * 6)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in search.cosine_top(vectors, vectors.where("vec_id % 50 = 0"), 20, block=4, tile=50).collect():
+        got.setdefault(r.probe_id, []).append((r["rank"], str(r.score)[:9], r.vec_id))
+    probes = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("probe"))
+    every = {}
+    for r in vectors.crossJoin(probes).where("vec_id <> probe_id").select("probe_id", "vec_id", F.when(F.col("embedding").isNotNull() & F.col("probe").isNotNull(), F.round(cosine(F.col("embedding"), F.col("probe")), 12)).alias("score")).collect():
+        every.setdefault(r.probe_id, []).append((r.score is None, 0 if r.score is None or r.score != r.score else -r.score, r.score == r.score, r.vec_id, r.score))
+    assert set(got) == set(every) and len(got) == 13
+    for probe, scores in every.items():
+        best = sorted(scores, key=lambda x: (x[0], -9 if not x[0] and not x[2] else x[1], x[3]))[:20]
+        shown = sorted(got[probe])
+        assert [r for r, _, _ in shown] == list(range(1, 21))
+        assert [s for _, s, _ in shown] == [str(x[4])[:9] for x in best], probe
+        if probe != 150:  # which has two vectors
+            assert sorted(v for _, _, v in shown) == sorted(x[3] for x in best), probe
+
+
+def test_nearest_of_many_vectors(spark):
+    """400 probes of 20,000 vectors are a matter of seconds, and each vector is shuffled once, not once a block of probes."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewell.operators import search
+
+    n, of = 20_000, np.random.default_rng(1).normal(size=(20_000, 64)).astype(np.float32)
+    of[7_000:9_000] = of[7_000]
+    table = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(of.ravel(), 64).cast(pa.list_(pa.float32()))})
+    vectors = spark.createDataFrame(table).localCheckpoint()
+    start = time.perf_counter()
+    got = {}
+    for r in search.cosine_top(vectors, vectors.where("vec_id % 50 = 0"), 20).collect():
+        got.setdefault(r.probe_id, []).append((r["rank"], r.vec_id))
+    assert time.perf_counter() - start < 25
+    assert len(got) == 400
+    unit = of.astype(float) / np.linalg.norm(of.astype(float), axis=1)[:, None]
+    for probe in (0, 7_050, 9_000, 19_950):
+        score = unit @ unit[probe]
+        score[7_000:9_000] = score[7_000]  # copies are equal
+        score[probe] = -9
+        assert [v for _, v in sorted(got[probe])] == np.lexsort((np.arange(n), -score))[:20].tolist()
+
+
 def test_labels_of_a_whole_table(spark, sf):
     from tidewell.queries import QUERIES
 

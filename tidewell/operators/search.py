@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.functions.text import ABBREVIATIONS, SYNONYMS, cosine, mined_synonyms, spaced, tokenize
+from tidewell.operators import nearest
 
 # fixed values: how much a word counts by where it stands
 NAME, COLUMN, KEY_COLUMN, COMMENT, COLUMN_COMMENT = 3.0, 1.0, 1.25, 0.5, 0.3
@@ -131,20 +132,10 @@ def search_postings(queries: DataFrame, posts: DataFrame, syn: DataFrame, object
 def cosine_top(vectors: DataFrame, probes: DataFrame, k: int, block: int = 256, tile: int = 4096) -> DataFrame:
     """probe_id, vec_id, score, rank: the k most similar vectors of each probe, itself left out.
 
-    Up to ``block`` probes are broadcast against all vectors, which stay where they are. More are cut into blocks of about that
-    many, vectors into tiles of about ``tile``; each block meets each tile in a shuffled join. Spark turns the rank's limit
-    into a limit of each task, so k rows a probe and task are shuffled.
+    Each ``tile`` of vectors meets each ``block`` of probes in a matrix product, and what may be among the best is scored again in
+    the order of its elements (``nearest``). Sizes that differ and zero norms score 0; nulls come last. k rows a probe and task are shuffled.
     """
-    probes = probes.select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("probe"))
-    blocks = -(-probes.count() // block)
-    if blocks <= 1:
-        pairs = vectors.join(F.broadcast(probes), F.col("vec_id") != F.col("probe_id"))
-    else:
-        tiles = -(-vectors.count() // tile)
-        left = vectors.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        right = probes.select("*", F.pmod(F.xxhash64("probe_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.expr(f"sequence(0L, {tiles - 1}L)")).alias("tile"))
-        pairs = left.join(right.hint("merge"), ["tile", "block"]).where("vec_id <> probe_id")
-    scored = pairs.select("probe_id", "vec_id", cosine(F.col("embedding"), F.col("probe")).alias("score"))
+    scored = nearest.scored(vectors, probes, k, block, tile)
     w = Window.partitionBy("probe_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
