@@ -89,3 +89,32 @@ def test_ids_that_are_null_or_repeat(spark):
     docs = spark.createDataFrame([(i, t, f"l{k}", "s", 0) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     out = sorted(((r.doc_id, r.text, r.lang) for r in corpus_pipeline.stage_near_dedup(spark, docs, "").collect()), key=str)
     assert out == sorted([(None, rows[0][1], "l0"), (1, rows[1][1], "l1"), (1, rows[2][1], "l2"), (4, text.upper(), "l6")], key=str)
+
+
+def test_group_of_copies_that_are_not_similar(spark, monkeypatch):
+    """Near copies of one text that are too far apart share most lists: the last round sends on few of their pairs."""
+    rng, words, counts, candidates = random.Random(9), [f"w{k}" for k in range(200)], [], shingle_join._candidates
+
+    def counted(*args):
+        out = candidates(*args)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingle_join, "_candidates", counted)
+    rows = list(enumerate([edited(rng, words, 4) for _ in range(300)] + [edited(rng, words, 1) for _ in range(20)]))
+    assert kept(spark, rows) == want(rows)
+    assert counts and counts[0] < 1_000  # of 45,000 pairs in each list
+
+
+def test_nearest_is_of_another_label_and_allowed():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, 100).astype(np.uint64))] * 3
+    sets = [np.concatenate([s[: 100 - k], rng.integers(0, 1 << 63, k).astype(np.uint64)]) for s, k in zip(sets, (0, 5, 9), strict=True)] + [rng.integers(0, 1 << 63, 100).astype(np.uint64)]
+    bits = np.stack([shingle_join.bitmap(s) for s in sets]).view(np.uint64)
+    n, place, name = np.full(4, 100), np.zeros(4, np.int64), np.arange(4)
+    a, b, _ = shingle_join.list_nearest(name, np.array([0, 1, 2, 3]), n, place, bits)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 1), (1, 0), (2, 0)]
+    a, b, _ = shingle_join.list_nearest(name, np.array([0, 0, 2, 3]), n, place, bits)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 2), (1, 2), (2, 0)]
+    a, b = shingle_join.list_pairs(name, name, n, place, bits=bits)
+    assert {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)} == {frozenset(p) for p in ((0, 1), (0, 2), (1, 2))}

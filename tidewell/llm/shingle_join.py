@@ -10,10 +10,13 @@ No SimHash distance guarantees that, so it only joins groups of near copies firs
 3. A posting list is of interest while its entries have different labels. A pair of it is a candidate only if sizes, what remains behind
    the shared shingle, and the bitmaps of both sets still allow the overlap that is needed. The bitmap holds the parities of the
    shingles in ``BITS`` classes: two sets differ in at least as many shingles as their bitmaps do in bits.
-4. Candidates are verified by their texts in rounds. In each but the last, until one joins nothing (``ROUNDS`` at most), a set is paired with at most ``LEADERS`` others:
+4. Candidates are verified by their texts in rounds. In the first, until one joins nothing (``ROUNDS`` at most), a set is paired with at most ``LEADERS`` others:
    for each of so many salts with the one of least salted name among the leaders of its lists, a list's leader being its set of least salted name.
-   So groups of near copies join by links in proportion to their sets. The last round takes all candidates whose labels still
-   differ. Only bounds that hold for every similar pair drop any in it, so no link is lost.
+   In the next (``NEAREST`` at most), a set is paired with one other: lists are dealt to parts of about ``PART_ROWS`` by salted name, and of all it meets there under
+   another label it takes the one whose bitmap differs least. So groups of near copies join by links in proportion to their sets, those
+   without a set that is similar to most others too. The last round takes all candidates whose labels still differ. Only bounds that
+   hold for every similar pair drop any in it, the bitmaps' among them before a pair leaves its list, so no link is lost and a
+   large group sends on few pairs that are not similar.
 
 A set has a 64-bit name and shingles 64-bit hashes; collisions are not looked for. Texts without words (or null) are one entry.
 A row is known by its id and the hash of its text, so null and repeated ids are rows like others. Lists of over ``LIST`` entries
@@ -37,7 +40,9 @@ from tidewell.llm.simhash import links, majority, shingle_hashes
 #: The least similarity as a fraction: bounds stay whole numbers.
 PART, WHOLE = 4, 5
 #: Bits of a set's bitmap; rounds of leaders, and leaders that a set is paired with in one; entries of a tile.
-BITS, ROUNDS, LEADERS, LIST = 512, 8, 4, 4_000
+BITS, ROUNDS, LEADERS, LIST = 512, 3, 4, 4_000
+#: Rounds of the nearest, and entries of a part of a list in them.
+NEAREST, PART_ROWS = 12, 500
 #: Distinct shingles of a block, about, for the number of buckets.
 KEYS_PER_BLOCK = bl.BLOCK_BYTES // 6
 
@@ -134,28 +139,57 @@ def possible(n_a, n_b, rest_a, rest_b):
     return (WHOLE * n_a >= PART * n_b) & (WHOLE * n_b >= PART * n_a) & ((PART + WHOLE) * rest_a >= PART * (n_a + n_b)) & ((PART + WHOLE) * rest_b >= PART * (n_a + n_b))
 
 
-def list_pairs(name: np.ndarray, label: np.ndarray, n: np.ndarray, place: np.ndarray, tile: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of different labels of one posting list; with tile only pairs of two tiles."""
+def _near(n_a, n_b, bits_a: np.ndarray, bits_b: np.ndarray):
+    """Whether bitmaps allow that sets are similar, and in how many bits they differ: sets differ in at least as many shingles."""
+    differ = np.bitwise_count(bits_a ^ bits_b).sum(axis=-1, dtype=np.int64)
+    return (PART + WHOLE) * (n_a + n_b - differ) >= 2 * PART * (n_a + n_b), differ
+
+
+def list_pairs(name: np.ndarray, label: np.ndarray, n: np.ndarray, place: np.ndarray, tile: np.ndarray | None = None, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of different labels of one posting list; with tile only pairs of two tiles, with bits only those that bitmaps allow."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     if len(n) > 1 and (label != label[0]).any():
         order = np.argsort(n, kind="stable")
         name, label, n, rest = name[order], label[order], n[order].astype(np.int64), (n - place)[order].astype(np.int64)
         tile = None if tile is None else tile[order]
+        bits = None if bits is None else bits[order]
         stops = np.searchsorted(n, n * WHOLE // PART, "right")
         for i in range(len(n) - 1):
             j = np.arange(i + 1, stops[i])
             j = j[(label[j] != label[i]) & possible(n[i], n[j], rest[i], rest[j])]
             if tile is not None:
                 j = j[tile[j] != tile[i]]
+            if bits is not None:
+                j = j[_near(n[i], n[j], bits[i], bits[j])[0]]
             a.append(np.full(len(j), name[i]))
             b.append(name[j])
     return np.concatenate(a), np.concatenate(b)
 
 
+def list_nearest(name: np.ndarray, label: np.ndarray, n: np.ndarray, place: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set of one posting list that has one, the candidate of another label whose bitmap differs least; name, other, share of bits."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    n = n.astype(np.int64)
+    rest = n - place
+    if len(n) > 1 and (label != label[0]).any():
+        for i in range(len(n)):
+            j = np.flatnonzero((label != label[i]) & possible(n[i], n, rest[i], rest))
+            ok, differ = _near(n[i], n[j], bits[i], bits[j])
+            if ok.any():
+                share = np.where(ok, differ / (n[i] + n[j]), 2.0)
+                k = np.lexsort((name[j], share))[0]
+                out.append((name[i : i + 1], name[j[k] : j[k] + 1], share[k : k + 1]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _columns(table) -> list[np.ndarray]:
     return [column(table, c).to_numpy() for c in ("name", "label", "n", "place")]
 
 
+def _bits(table) -> np.ndarray:
+    return column(table, "bits").flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)  # bits of signed numbers are those of their absolute values
+
+
 def _pairs_table(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -179,43 +213,71 @@ def _proposed(live: DataFrame, salt: int) -> DataFrame:
     return best.select(F.col("name").alias("a"), F.col("best.name").alias("b"))
 
 
-def _candidates(live: DataFrame) -> DataFrame:
-    """a, b: all candidate pairs of the posting lists."""
-    prepare(live.sparkSession)
+def _with_bits(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """The posting lists with bitmaps: each set that is posted has one."""
+    return live.join(sets.select("name", "bits"), "name")
+
+
+def _whole(rows: DataFrame, by: list[str], f, schema: str) -> DataFrame:
+    """Applies ``f`` to tables of whole lists, rows that agree in the columns ``by``, and where each list begins."""
+    prepare(rows.sparkSession)
 
     def read(batches):
-        """Whole lists: rows arrive sorted by key."""
         held: list[pa.Table] = []
 
-        def pairs(table: pa.Table):
-            keys = column(table, "key").to_numpy()
-            cols = _columns(table)
-            bounds = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
-            found = [list_pairs(*(c[s:e] for c in cols)) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-            out = _pairs_table(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-            return out.combine_chunks().to_batches(max_chunksize=10_000)
+        def some(table: pa.Table):
+            keys = np.stack([column(table, c).to_numpy().astype(np.int64) for c in by], axis=1)
+            bounds = np.append(np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])), len(keys))
+            return f(table, bounds).combine_chunks().to_batches(max_chunksize=10_000)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(0).to_numpy()
-            at = int(np.searchsorted(keys, keys[-1], "left"))
-            if at or held and held[0]["key"][0].as_py() != keys[0]:
-                yield from pairs(pa.concat_tables([*held, pa.Table.from_batches([batch.slice(0, at)])]))
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in by], axis=1)
+            same = (keys == keys[-1]).all(axis=1)
+            at = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
+            if at or held and [held[0][c][0].as_py() for c in by] != keys[0].tolist():
+                yield from some(pa.concat_tables([*held, pa.Table.from_batches([batch.slice(0, at)])]))
                 held = []
             held.append(pa.Table.from_batches([batch.slice(at)]))
         if held:
-            yield from pairs(pa.concat_tables(held))
+            yield from some(pa.concat_tables(held))
+
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(read, schema)
+
+
+def _nearest(live: DataFrame, sets: DataFrame, salt: int) -> DataFrame:
+    """a, b: each set with the nearest by bitmaps, of another label, that it meets in parts of its lists."""
+
+    def of_lists(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        cols = [*_columns(table), _bits(table)]
+        found = [list_nearest(*(c[s:e] for c in cols)) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pa.table(dict(zip(("a", "b", "share"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    parts = live.withColumn("part", F.pmod(F.xxhash64("name", F.lit(salt)), F.ceil(F.col("size") / PART_ROWS)).cast("int"))
+    met = _whole(_with_bits(parts, sets).select("key", "part", "name", "label", "n", "place", "bits"), ["key", "part"], of_lists, "a long, b long, share double")
+    best = met.groupBy("a").agg(F.min(F.struct("share", "b")).alias("best"))
+    return best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
+
+
+def _candidates(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: all candidate pairs of the posting lists that bitmaps allow."""
+
+    def of_lists(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        cols, bits = _columns(table), _bits(table)
+        found = [list_pairs(*(c[s:e] for c in cols), bits=bits[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+        return _pairs_table(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
 
-    order = ("key", "name", "label", "n", "place")
-    short = live.where(F.col("size") <= LIST).select(*order).repartition("key").sortWithinPartitions("key").mapInArrow(read, "a long, b long")
+    live = _with_bits(live, sets)
+    order = ("key", "name", "label", "n", "place", "bits")
+    short = _whole(live.where(F.col("size") <= LIST).select(*order), ["key"], of_lists, "a long, b long")
     tiles = F.ceil(F.col("size") / LIST).cast("int")
     long = live.where(F.col("size") > LIST).withColumn("tile", F.pmod(F.xxhash64("name"), tiles).cast("int"))
     dealt = long.withColumn("j", F.explode(F.sequence(F.lit(0), tiles - 1))).select(*order, "tile", F.least("tile", "j").alias("lo"), F.greatest("tile", "j").alias("hi"))
 
     def of_tiles(table):
         lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
-        return _pairs_table(*list_pairs(*_columns(table), None if lo == hi else column(table, "tile").to_numpy()))
+        return _pairs_table(*list_pairs(*_columns(table), None if lo == hi else column(table, "tile").to_numpy(), _bits(table)))
 
     return short.unionAll(dealt.groupBy("key", "lo", "hi").applyInArrow(of_tiles, "a long, b long"))
 
@@ -286,16 +348,19 @@ def similar_rows(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     texts = materialize(texts.groupBy("name").agg(F.min("text").alias("text")), "texts")
     free_shuffles(docs.sparkSession)
     labels = components(_verified(near, sets, texts, shingle))
-    for salt in range(ROUNDS + 1):
-        live = _live(lists, labels)
-        more = _verified(_proposed(live, salt), sets, texts, shingle) if salt < ROUNDS else None
-        if more is None or more.isEmpty():  # leaders join no more: all pairs that are left
-            labels = _joined(labels, _verified(_candidates(live), sets, texts, shingle))
-            break
-        discard(live)
-        # one link a set is enough: what else it would join is a candidate later
-        labels = _joined(labels, more.groupBy("a").agg(F.min("b").alias("b")))
-        free_shuffles(docs.sparkSession)
+    live = _live(lists, labels)
+    for nearest, rounds in ((False, ROUNDS), (True, NEAREST)):
+        for salt in range(rounds):
+            more = _verified(_nearest(live, sets, salt) if nearest else _proposed(live, salt), sets, texts, shingle)
+            if more.isEmpty():
+                break
+            discard(live)
+            # one link a set is enough: what else it would join is a candidate later
+            labels = _joined(labels, more if nearest else more.groupBy("a").agg(F.min("b").alias("b")))
+            free_shuffles(docs.sparkSession)
+            live = _live(lists, labels)
+    # these join no more: all pairs that are left
+    labels = _joined(labels, _verified(_candidates(live, sets), sets, texts, shingle))
     roots = labels
     joined = entries.join(roots, entries.name == roots.node, "left").select("name", "first", F.coalesce("root", "name").alias("root"))
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
