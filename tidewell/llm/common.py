@@ -27,6 +27,9 @@ ARROW_ROWS = 1000
 #: Bytes of files up to which a table in few files is dealt to all cores.
 SMALL_BYTES = 64 << 20
 
+#: Whether Spark deletes a query's shuffle files once it has run.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Tables of this process that are still in the shared folder.
 _WRITTEN: list[DataFrame] = []
 
@@ -48,10 +51,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes a table into the shared folder and reads it again: cuts lineage, survives lost executors."""
+    """Writes a table into the shared folder and reads it again: cuts lineage, survives lost executors.
+
+    Shuffle files of the write go as soon as it ends, by Spark's own setting: else they stay until the driver's heap is collected after
+    Python's references have been given up, which a thread of py4j does up to a second late.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewell_path = path
     _WRITTEN.append(out)
@@ -59,7 +71,7 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what has been written: it notices that nothing needs them when the driver's heap is collected."""
+    """Lets Spark delete the shuffle files of queries that ``materialize`` did not write: it notices that nothing needs them when the driver's heap is collected."""
     spark.sparkContext._jvm.System.gc()
 
 
